@@ -81,11 +81,11 @@ def tile_pixel(v):
     return v.view("node").select("node_id", mm(px).alias("px"), mm(py).alias("py"))
 
 
-@query("pixel_latlon", f"""SELECT node_id, {mm_sql(lat='1e4 * ' + LATOF.format(f'(5e-1 - y / 1048576) * 2 * PI() * {R}'),
- lon=f'1e4 * DEGREES((x / 1048576 - 5e-1) * 2 * PI() * {R} / {R})')} FROM (SELECT node_id, lon * 5e7 AS x, lat * 5e7 AS y FROM node)""", "node")
+@query("pixel_latlon", f"""SELECT node_id, {mm_sql(lat='7e3 * ' + LATOF.format(f'(5e-1 - y / 1048576) * 2 * PI() * {R}'),
+ lon=f'7e3 * DEGREES((x / 1048576 - 5e-1) * 2 * PI() * {R} / {R})')} FROM (SELECT node_id, lon * 5e7 AS x, lat * 5e7 AS y FROM node)""", "node")
 def pixel_latlon(v):
     lat, lon = G.pixel_latlon(F.col("lon") * 5e7, F.col("lat") * 5e7, 12)
-    return v.view("node").select("node_id", mm(lat * 1e4).alias("lat"), mm(lon * 1e4).alias("lon"))
+    return v.view("node").select("node_id", mm(lat * 7e3).alias("lat"), mm(lon * 7e3).alias("lon"))
 
 
 PX = "CAST(FLOOR((RADIANS({0}) / (2 * PI()) + 5e-1) * 4096) AS BIGINT)"
