@@ -38,7 +38,7 @@ def face_budget(features: DataFrame, budget: int) -> DataFrame:
         return pdf.assign(accepted=taken)[["feature", "accepted"]]
 
     schema = hopeful.select("feature").schema.add("accepted", "boolean")
-    chosen = hopeful.select("feature", "ord", "faces").groupBy(F.lit(1)).applyInPandas(fold, schema)
+    chosen = hopeful.select("feature", "ord", "faces", F.lit(1).alias("one")).groupBy("one").applyInPandas(fold, schema)
     return sized.join(chosen, "feature", "left").select(
         "feature", "faces", F.coalesce("accepted", F.col("faces") == 0).alias("accepted"))
 

@@ -17,15 +17,15 @@ from geoloom.spec import Bounds
 
 MEMBERS = """SELECT c_custkey AS rel_id, 0 AS seq, 'way' AS type, c_custkey * 10 AS ref, 'outer' AS role FROM customer
  UNION ALL SELECT c_custkey, 1, 'way', c_custkey * 10 + 1, CASE WHEN c_custkey % 2 = 0 THEN 'inner' ELSE '' END FROM customer
- UNION ALL SELECT c_custkey, 2, 'relation', c_custkey + CASE WHEN c_custkey % 10 < 5 THEN 1 WHEN c_custkey % 90 = 5 THEN -2 ELSE 2000000000 END,
-  CASE WHEN c_custkey % 3 = 0 THEN 'inner' ELSE 'outer' END FROM customer WHERE c_custkey % 10 < 3 OR c_custkey % 90 = 5"""
+ UNION ALL SELECT c_custkey, 2, 'relation', c_custkey + CASE WHEN c_custkey % 10 < 5 THEN 1 WHEN c_custkey % 20 = 5 THEN 0 ELSE 2000000000 END,
+  CASE WHEN c_custkey % 3 = 0 THEN 'inner' ELSE 'outer' END FROM customer WHERE c_custkey % 10 < 3 OR c_custkey % 10 = 5"""
 
 
 def members(v):
     way = lambda seq, role: v.table("customer").selectExpr("c_custkey AS rel_id", f"{seq} AS seq", "'way' AS type", f"c_custkey * 10 + {seq} AS ref", f"{role} AS role")
-    nested = v.table("customer").where("c_custkey % 10 < 3 OR c_custkey % 90 = 5").selectExpr(
+    nested = v.table("customer").where("c_custkey % 10 < 3 OR c_custkey % 10 = 5").selectExpr(
         "c_custkey AS rel_id", "2 AS seq", "'relation' AS type",
-        "c_custkey + CASE WHEN c_custkey % 10 < 5 THEN 1 WHEN c_custkey % 90 = 5 THEN -2 ELSE 2000000000 END AS ref",
+        "c_custkey + CASE WHEN c_custkey % 10 < 5 THEN 1 WHEN c_custkey % 20 = 5 THEN 0 ELSE 2000000000 END AS ref",
         "CASE WHEN c_custkey % 3 = 0 THEN 'inner' ELSE 'outer' END AS role")
     return way(0, "'outer'").unionByName(way(1, "CASE WHEN c_custkey % 2 = 0 THEN 'inner' ELSE '' END")).unionByName(nested)
 
@@ -328,7 +328,7 @@ def node_degree(v):
 LINKS = "SELECT o_orderkey AS a, CAST(FLOOR(o_orderkey / 10) * 10 AS BIGINT) + o_custkey % 10 AS b FROM orders"
 
 
-@query("connected_groups", f"""WITH RECURSIVE e AS ({LINKS}), both AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, label) AS (SELECT a, a FROM both UNION SELECT both.b, r.label FROM r JOIN both ON both.a = r.node)
+@query("connected_groups", f"""WITH RECURSIVE e AS ({LINKS}), link AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, label) AS (SELECT a, a FROM link UNION SELECT link.b, r.label FROM r JOIN link ON link.a = r.node)
  SELECT COUNT(DISTINCT label) AS groups FROM (SELECT node, MIN(label) AS label FROM r GROUP BY node)""")
 def connected_groups(v):
     return graph.connected_groups(v.table("orders").selectExpr("o_orderkey AS a", "CAST(FLOOR(o_orderkey / 10) * 10 AS BIGINT) + o_custkey % 10 AS b"))
@@ -362,7 +362,7 @@ def retry_safety(v):
     journal = entry.select("dataset_id", (F.col("e") * 10).alias("first"), F.when(F.col("k") == 1, F.col("e") * 20).otherwise(F.col("e") * 10 + 9).alias("last"),
                            F.when(F.col("k") == 2, 1).otherwise(F.col("e")).alias("entity"))
     item = c.select("dataset_id", "k", many(30).alias("index")).select(
-        "dataset_id", "index", (F.col("index") % 2 == 0).alias("selected"), ~((F.col("k") == 3) & (F.col("index") == 22)).alias("ground"),
+        "dataset_id", "index", (F.col("index") % 2 == 0).alias("selected"), (~((F.col("k") == 3) & (F.col("index") == 22))).alias("ground"),
         ((F.col("index") == 20) & (F.col("k") != 4)).alias("collapses"))
     built = entry.select("dataset_id", F.when((F.col("k") == 5) & (F.col("e") == 1), 99).when(F.col("k") == 2, 1).otherwise(F.col("e")).alias("entity"))
     return Q.retry_safety(failed, journal, item, built)

@@ -99,8 +99,8 @@ VIEWS = {
         ("rank", "c_custkey"), ("name", "c_mktsegment || CAST(c_nationkey AS STRING)"),
         ("x", "(c_custkey * 37) % 2011 - 1e3"), ("y", "(c_custkey * 53) % 2017 - 1e3")]),
     "patch": ("customer", [
-        ("id", "c_custkey"), ("map_id", "CAST(FLOOR(c_custkey / 100) AS BIGINT)"), ("x", "(c_custkey * 37) % 900 - 45e1"),
-        ("y", "(c_custkey * 53) % 900 - 45e1"), ("length", "8e0 + c_custkey % 23"), ("width", "8e0 + c_custkey % 19"),
+        ("id", "c_custkey"), ("map_id", "CAST(FLOOR(c_custkey / 100) AS BIGINT)"), ("x", "(c_custkey * 37) % 300 - 15e1"),
+        ("y", "(c_custkey * 53) % 290 - 145e0"), ("length", "8e0 + c_custkey % 23"), ("width", "8e0 + c_custkey % 19"),
         ("margin", "CASE WHEN c_custkey % 2 = 0 THEN 1e1 ELSE 0e0 END")]),
     "asset": ("orders", [
         ("catalog_id", "o_custkey % 25"), ("url", "'https://data.example/' || CAST(o_custkey AS STRING) || "

@@ -49,3 +49,8 @@ def settle(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/geoloom/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Hash rows over all shuffle partitions, before each of them turns into many rows or much work."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
