@@ -15,8 +15,8 @@ LAYER = ["layer"]
 
 
 def odd(c):
-    """Whole 173rds: a unit no derived height falls halfway between."""
-    return F.floor(F.col(c) * 173 + 0.5)
+    """Whole steps of a unit that no derived height falls halfway between."""
+    return F.floor(F.col(c) * 173.2050807 + 0.5)
 
 
 FIELD = GridSpec(260.0, 260.0, 65, 65)            # survey grids for points
@@ -147,12 +147,12 @@ def sites(v):
     return v.table("customer").selectExpr("c_custkey AS id", "CAST(FLOOR(c_custkey / 410) AS BIGINT) AS layer", "((c_custkey * 37) % 2600) / 10D - 13e1 AS x", "((c_custkey * 53) % 2600) / 10D - 13e1 AS y")
 
 
-@query("sample_at_points", SITED.replace("{0}", "dense") + "SELECT site.id, CAST(FLOOR(z * 173 + 0.5) AS BIGINT) AS z FROM site LEFT JOIN hit USING (id)", "dense")
+@query("sample_at_points", SITED.replace("{0}", "dense") + "SELECT site.id, CAST(FLOOR(z * 173.2050807e0 + 0.5) AS BIGINT) AS z FROM site LEFT JOIN hit USING (id)", "dense")
 def sample_at_points(v):
     return R.sample_at_points(v.view("dense"), sites(v), LAYER, ["id"], TILE).select("id", odd("z").alias("z"))
 
 
-@query("resample_grid", SITED.replace("{0}", "cell") + "SELECT site.id, CAST(FLOOR(z * 173 + 0.5) AS BIGINT) AS z FROM site LEFT JOIN hit USING (id)", "cell")
+@query("resample_grid", SITED.replace("{0}", "cell") + "SELECT site.id, CAST(FLOOR(z * 173.2050807e0 + 0.5) AS BIGINT) AS z FROM site LEFT JOIN hit USING (id)", "cell")
 def resample_grid(v):
     return R.sample_at_points(v.view("cell"), sites(v), LAYER, ["id"], TILE).select("id", odd("z").alias("z"))
 
@@ -169,18 +169,18 @@ def resample_nearest(v):
     return R.resample_grid(v.view("cell"), targets, LAYER, ["r", "c"], "Nearest").select("layer", "r", "c", F.col("z").cast("long").alias("z"))
 
 
-@query("reference_heights", SITED.replace("{0}", "dense") + "SELECT site.id, CAST(FLOOR(z * 173 + 0.5) AS BIGINT) AS z FROM site LEFT JOIN hit USING (id)", "dense")
+@query("reference_heights", SITED.replace("{0}", "dense") + "SELECT site.id, CAST(FLOOR(z * 173.2050807e0 + 0.5) AS BIGINT) AS z FROM site LEFT JOIN hit USING (id)", "dense")
 def reference_heights(v):
     return R.reference_heights(sites(v), v.view("dense"), LAYER, TILE).select("id", odd("z").alias("z"))
 
 
-@query("water_bed_heights", SITED.replace("{0}", "dense") + "SELECT site.id, CAST(FLOOR((z - 5e-1) * 173 + 0.5) AS BIGINT) AS z FROM site LEFT JOIN hit USING (id)", "dense")
+@query("water_bed_heights", SITED.replace("{0}", "dense") + "SELECT site.id, CAST(FLOOR((z - 5e-1) * 173.2050807e0 + 0.5) AS BIGINT) AS z FROM site LEFT JOIN hit USING (id)", "dense")
 def water_bed_heights(v):
     return R.water_bed_heights(sites(v), v.view("dense"), LAYER, TILE).select("id", odd("z").alias("z"))
 
 
-@query("estimate_structure_heights", SITED.replace("{0}", "dense") + f"""SELECT a.id, {mm_sql(z0='173e-3 * (h.z * 75e-2 + g.z * 25e-2 - CASE WHEN a.id % 2 = 0 THEN 8 * SIN(25e-2 * PI()) ELSE 0 END)',
- z1='173e-3 * (h.z * 5e-1 + g.z * 5e-1 - CASE WHEN a.id % 2 = 0 THEN 8 * SIN(5e-1 * PI()) ELSE 0 END)')} FROM site a JOIN site b ON b.layer = a.layer AND b.id = a.id + 1 JOIN hit h ON h.id = a.id JOIN hit g ON g.id = b.id""", "dense")
+@query("estimate_structure_heights", SITED.replace("{0}", "dense") + f"""SELECT a.id, {mm_sql(z0='173.2050807e-3 * (h.z * 75e-2 + g.z * 25e-2 - CASE WHEN a.id % 2 = 0 THEN 8 * SIN(25e-2 * PI()) ELSE 0 END)',
+ z1='173.2050807e-3 * (h.z * 5e-1 + g.z * 5e-1 - CASE WHEN a.id % 2 = 0 THEN 8 * SIN(5e-1 * PI()) ELSE 0 END)')} FROM site a JOIN site b ON b.layer = a.layer AND b.id = a.id + 1 JOIN hit h ON h.id = a.id JOIN hit g ON g.id = b.id""", "dense")
 def estimate_structure_heights(v):
     s = sites(v)
     b = s.select((F.col("id") - 1).alias("id"), "layer", F.col("x").alias("gx1"), F.col("y").alias("gy1"))

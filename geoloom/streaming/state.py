@@ -1,0 +1,67 @@
+"""Phase of each dataset import, kept as streaming state over a command stream."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+OUTPUT = "dataset_id long, seq long, command string, accepted boolean, phase string, cursor long, skipped long"
+STATE = "phase string, resume string, cursor long, skipped long, failed_last long, error_kind string, seen long"
+ORDER = ["scenery", "edges", "labels", "finished"]  # fixed order of the import sections
+SKIPPABLE = ("proposal_rejected", "preparation")
+RUNNING = ("scenery", "edges", "labels")
+
+
+def step(state: tuple, command: str, value: int, kind: str | None) -> tuple[tuple, bool]:
+    """One transition: (new state, accepted)."""
+    phase, resume, cursor, skipped, failed_last, error, seen = state
+    if command == "start" and phase == "ready":
+        return ("scenery", None, 1, 0, 0, None, seen), True
+    if command == "pause" and phase in RUNNING:
+        return ("paused", phase, cursor, skipped, failed_last, error, seen), True
+    if command == "resume" and phase == "paused":
+        return (resume, None, cursor, skipped, 0, None, seen), True
+    if command == "applied" and phase in RUNNING:
+        return (phase, None, cursor + value, skipped, 0, None, seen), True
+    if command == "section_done" and phase in RUNNING:
+        return (ORDER[ORDER.index(phase) + 1], None, 1, skipped, 0, None, seen), True
+    if command == "fail" and phase in RUNNING:
+        return ("error", phase, cursor, skipped, cursor + value, kind, seen), True
+    # An outcome nobody knows is never replayed.
+    if command == "retry" and phase == "error" and error != "command_state":
+        return (resume, None, cursor, skipped, 0, None, seen), True
+    if command == "skip" and phase == "error" and error in SKIPPABLE and failed_last >= cursor:
+        return (resume, None, failed_last + 1, skipped + 1, 0, None, seen), True
+    return state, False
+
+
+class ImportPhase(StatefulProcessor):
+    """Commands of one dataset in seq order; a command seen before changes nothing."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.value = handle.getValueState("import", STATE)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        state = tuple(self.value.get()) if self.value.exists() else ("ready", None, 0, 0, 0, None, -1)
+        # The commands of one trigger, which its size limit bounds, in the order they were given.
+        batch = pd.concat(list(rows)).sort_values("seq")
+        out = []
+        for seq, command, value, kind in batch[["seq", "command", "value", "kind"]].itertuples(index=False):
+            if seq <= state[6]:
+                continue
+            state, accepted = step(state, command, int(value), kind)
+            state = (*state[:6], int(seq))
+            out.append((int(key[0]), int(seq), command, accepted, state[0], state[2], state[3]))
+        self.value.update(state)
+        yield pd.DataFrame(out, columns=["dataset_id", "seq", "command", "accepted", "phase", "cursor", "skipped"])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_import_state(commands: DataFrame) -> DataFrame:
+    """Phases after each command (dataset_id, seq, command, value, kind). Needs the RocksDB state store."""
+    return commands.groupBy("dataset_id").transformWithStateInPandas(ImportPhase(), OUTPUT, "append", "none")
