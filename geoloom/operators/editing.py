@@ -234,15 +234,16 @@ def corridor_cells(segments: DataFrame, grid: GridSpec) -> DataFrame:
 
 
 def grade_corridors(cells: DataFrame, lines: DataFrame, by: list[str], grid: GridSpec, width: float, blend: float, smoothing: float,
-                    percent: float, river_depth: float | None = None) -> DataFrame:
+                    percent: float, river_depth: float | None = None, baseline: DataFrame | None = None) -> DataFrame:
     """Fit the ground to lines of one kind (by, line, idx, x, y), in line and segment order.
 
-    Profiles come from the given heights, never from the edited ones. A river only ever lowers the ground.
+    Profiles come from ``baseline`` (the cells as given, without one), never from edited heights. A river
+    only ever lowers the ground.
     """
     step = max(0.1, min(grid.dx, grid.dy, width / 2, 10.0))
     keys = [*by, "line"]
     points = densify_lines(lines, keys, step)
-    profile = settle(sample_at_points(cells, points, by, ["line", "pos", "x", "y"], grid))
+    profile = settle(sample_at_points(cells if baseline is None else baseline, points, by, ["line", "pos", "x", "y"], grid))
     if smoothing > 0:
         profile = smooth_along_line(profile, keys, smoothing / step)
     profile = limit_grade(profile, keys, percent)

@@ -181,3 +181,62 @@ def match_summary(matches: DataFrame, examples: int = 20) -> tuple[DataFrame, Da
                          F.count(F.when(F.col("unmatched"), 1)).alias("unmatched"))
     label = F.concat_ws(": ", "kind", F.coalesce("name", F.lit("no fitting candidate")))
     return counts, first_rows(matches.select(label.alias("label")).distinct(), ["label"], examples)
+
+
+def closed_way_areas(ways: DataFrame, totals: DataFrame, kind: Column, covered: DataFrame) -> DataFrame:
+    """Closed ways of at least four references with a kind, unless an accepted relation draws them already."""
+    chosen = ways.select("way_id", "tags", kind.alias("kind")).where("kind IS NOT NULL")
+    whole = totals.where((F.col("n") > 3) & (F.col("first_node") == F.col("last_node")))
+    return chosen.join(whole, "way_id").join(covered.select("way_id"), "way_id", "left_anti")
+
+
+def resolve_items(items: DataFrame, saved: DataFrame) -> DataFrame:
+    """Items with their saved match: a match replaces the item's own model, an unmatched one drops it.
+
+    ``items`` has item_id, kind, model, x, y, rotation; ``saved`` item_id, m_model, m_x, m_y, m_rotation, m_unmatched.
+    """
+    rows = items.join(saved, "item_id", "left")
+    free = F.col("kind").isNull()
+    told = ~free & F.col("m_unmatched").isNotNull()
+    keep = free | (told & ~F.coalesce("m_unmatched", F.lit(False))) | (~told & F.col("model").isNotNull())
+    pick = lambda c: F.when(told, F.col("m_" + c)).otherwise(F.col(c)).alias(c)
+    return rows.where(keep).select("item_id", "kind", pick("model"), pick("x"), pick("y"), pick("rotation"))
+
+
+def area_edges(ways: DataFrame, relations: DataFrame, members: DataFrame, way_node: DataFrame, position: DataFrame, kind):
+    """Polygons of one rule from relations and closed ways: (edges, areas, issues).
+
+    ``kind`` maps a tags column name to a Column. Edges carry area, ring, idx and their ends; areas carry
+    area, kind, tags. Outer ways of an accepted relation make no area of their own.
+    """
+    from geoloom.operators import graph
+    from geoloom.operators.networks import way_totals
+
+    way_node = way_node.select("way_id", "seq", "node_id")
+    wanted = relations.where(T.same(T.tag("tags", "type"), "multipolygon")).select("rel_id", "tags", kind("tags").alias("kind")).where("kind IS NOT NULL")
+    tree, broken = graph.multipolygon_tree(wanted.select("rel_id"), members, relations, ways)
+    tree = settle(tree)
+    rings, bad = G.assemble_rings(graph.member_order(tree), way_node, ["root", "role"])
+    rings = settle(rings)
+    missing = rings.join(position.select("node_id"), "node_id", "left_anti").select("root").distinct()
+    hollow = tree.select("root").distinct().join(rings.where("role = 'outer'").select("root").distinct(), "root", "left_anti")
+    issues = (broken.select("root", "reason").unionByName(bad.select("root", "reason"))
+              .unionByName(hollow.select("root", F.lit("no outer ring").alias("reason"))))
+    issues = settle(issues.unionByName(missing.select("root", F.lit("missing node").alias("reason"))).groupBy("root").agg(F.min("reason").alias("reason")))
+    covered = tree.where("role = 'outer'").join(issues.where("reason <> 'missing node'").select("root"), "root", "left_anti").select("way_id").distinct()
+    own = settle(closed_way_areas(ways, way_totals(way_node), kind("tags"), covered))
+    inner = (F.col("role") == "inner").cast("int")
+    from_rel = rings.join(issues.select("root"), "root", "left_anti").select(
+        F.concat(F.lit("relation:"), F.col("root").cast("string")).alias("area"), (F.col("ring") * 2 + inner).alias("ring"), "idx", "n", "node_id")
+    from_way = way_node.join(own.select("way_id", F.col("n").alias("_n")), "way_id").where(F.col("seq") < F.col("_n") - 1).select(
+        F.concat(F.lit("way:"), F.col("way_id").cast("string")).alias("area"), F.lit(0).cast("long").alias("ring"), F.col("seq").cast("long").alias("idx"),
+        (F.col("_n") - 1).alias("n"), "node_id")
+    placed = settle(from_rel.unionByName(from_way).join(position, "node_id", "left"))
+    lost = placed.where("x IS NULL").select("area").distinct()
+    edges = settle(G.ring_edges(placed.join(lost, "area", "left_anti"), ["area", "ring"]))
+    areas = (wanted.select(F.concat(F.lit("relation:"), F.col("rel_id").cast("string")).alias("area"), "kind", "tags")
+             .unionByName(own.select(F.concat(F.lit("way:"), F.col("way_id").cast("string")).alias("area"), "kind", "tags")))
+    found = edges.select("area").distinct()
+    notes = issues.select(F.concat(F.lit("relation:"), F.col("root").cast("string")).alias("area"), "reason").unionByName(
+        lost.select("area", F.lit("missing node").alias("reason")))
+    return edges, areas.join(found, "area", "left_semi"), notes.distinct()

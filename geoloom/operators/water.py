@@ -78,6 +78,7 @@ def prepare_water(nodes: DataFrame, ways: DataFrame, relations: DataFrame, membe
                   position: DataFrame, corridors: DataFrame, width: float, height: float,
                   options: SceneryOptions = SceneryOptions()) -> tuple[DataFrame, DataFrame]:
     """(features with status, faces of prepared shallow water)."""
+    way_node = way_node.select("way_id", "seq", "node_id")
     features = settle(water_features(nodes, ways, relations, members))
     open_ = features.where("stage = 'candidate'")
     treated = open_.where("kind = 'shallow'")

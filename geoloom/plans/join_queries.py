@@ -68,15 +68,17 @@ def multipolygon_tree(v):
     return _tree(v)[1].select("root").distinct()
 
 
-@query("closed_way_areas", """SELECT way_id, n FROM (SELECT way_id, COUNT(*) AS n, ARG_MIN(node_id, seq) AS a, ARG_MAX(node_id, seq) AS b FROM way_node GROUP BY way_id)
- JOIN way USING (way_id) WHERE n > 3 AND a % 5 = b % 5 AND t_natural IN ('wood', 'scrub') AND way_id % 10 <> 0""", "way way_node")
+@query("closed_way_areas", """WITH e AS (SELECT way_id, COUNT(*) AS n, ARG_MIN(node_id, seq) AS a, ARG_MAX(node_id, seq) AS b FROM way_node GROUP BY way_id)
+ SELECT way_id, CASE t_natural WHEN 'wood' THEN 'forest' ELSE 'shrubs' END AS kind, n + 1 AS n FROM e JOIN way USING (way_id) WHERE n >= 3 AND way_id % 3 = 0 AND t_natural IN ('wood', 'scrub')
+ AND way_id NOT IN (SELECT c_custkey * 10 FROM customer)""", "way way_node")
 def closed_way_areas(v):
-    # A way whose ends agree modulo five stands for a closed one: the derived ways never close.
-    kinds = v.ways.where(T.tag("tags", "natural").isin("wood", "scrub")).select("way_id")
-    taken = members(v).where("type = 'way' AND seq = 0").select(F.col("ref").alias("way_id"))
-    ends = N.way_totals(v.way_node.withColumn("node_id", F.col("node_id")))
-    rest = kinds.where("way_id % 10 <> 0").join(taken, "way_id", "left_anti")
-    return ends.join(rest, "way_id").where((F.col("n") > 3) & (F.col("first_node") % 5 == F.col("last_node") % 5)).select("way_id", "n")
+    # Every third way is closed by repeating its first node.
+    ends = N.way_totals(v.way_node)
+    closing = ends.where("way_id % 3 = 0").select("way_id", F.col("n").alias("seq"), F.col("first_node").alias("node_id"))
+    totals = N.way_totals(v.way_node.unionByName(closing))
+    kind = F.when(T.same(T.tag("tags", "natural"), "wood"), "forest").when(T.same(T.tag("tags", "natural"), "scrub"), "shrubs")
+    covered = members(v).where("type = 'way' AND seq = 0").select(F.col("ref").alias("way_id"))
+    return S.closed_way_areas(v.ways, totals, kind, covered).where("way_id % 3 = 0").select("way_id", "kind", "n")
 
 
 SEEDS = "SELECT 'way' AS type, way_id AS id FROM way WHERE t_water = 'lake'"
@@ -238,12 +240,13 @@ def match_summary(v):
 
 
 @query("resolve_items", f"""SELECT i.item_id, CASE WHEN i.kind IS NULL OR m.o_orderkey IS NULL THEN 'own' ELSE 'model' || CAST(m.o_custkey AS STRING) END AS model FROM ({ITEM_SQL}) i
- LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus <> 'P') m ON m.o_orderkey = i.item_id WHERE i.kind IS NULL OR m.o_orderkey IS NULL OR m.o_orderstatus = 'F'""")
+ LEFT JOIN (SELECT * FROM orders WHERE o_orderstatus <> 'P') m ON m.o_orderkey = i.item_id WHERE i.kind IS NULL OR (m.o_orderkey IS NULL AND i.item_id % 2 = 0) OR m.o_orderstatus = 'F'""")
 def resolve_items(v):
-    saved = v.table("orders").where("o_orderstatus <> 'P'").selectExpr("o_orderkey AS item_id", "'model' || CAST(o_custkey AS STRING) AS m", "o_orderstatus <> 'F' AS no")
-    rows = items(v).select("item_id", "kind").join(saved, "item_id", "left")
-    free = F.col("kind").isNull() | F.col("m").isNull()
-    return rows.where(free | ~F.col("no")).select("item_id", F.when(free, "own").otherwise(F.col("m")).alias("model"))
+    saved = v.table("orders").where("o_orderstatus <> 'P'").selectExpr(
+        "o_orderkey AS item_id", "'model' || CAST(o_custkey AS STRING) AS m_model", "0D AS m_x", "0D AS m_y", "0D AS m_rotation", "o_orderstatus <> 'F' AS m_unmatched")
+    rows = items(v).select("item_id", "kind", F.when(F.col("kind").isNull() | (F.col("item_id") % 2 == 0), "own").alias("model"),
+                           F.lit(1.0).alias("x"), F.lit(1.0).alias("y"), F.lit(0.0).alias("rotation"))
+    return S.resolve_items(rows, saved).select("item_id", "model")
 
 
 OBSERVED = """SELECT edge_no, CASE WHEN edge_no % 103 = 0 THEN node1 ELSE node0 END AS node0, CASE WHEN edge_no % 103 = 0 THEN node0 ELSE node1 END AS node1,
