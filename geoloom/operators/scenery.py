@@ -136,7 +136,7 @@ def union_features(**stages: DataFrame) -> DataFrame:
     """One scenery table from the branches, with stage order kept as a column."""
     out = None
     for number, (name, df) in enumerate(stages.items()):
-        part = df.withColumns({"stage": F.lit(number), "source": F.lit(name)})
+        part = df.withColumns({"stage": F.lit(number), "branch": F.lit(name)})
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return out
 

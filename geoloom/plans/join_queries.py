@@ -449,10 +449,10 @@ def map_buildings(v):
     return out.where("kind IS NOT NULL").select("area_id", "kind", "category", mm("width").alias("width"), mm("length").alias("length"))
 
 
-@query("union_features", f"SELECT 0 AS stage, 'points' AS source, COUNT(*) AS n FROM node WHERE {POINT_KIND} IS NOT NULL UNION ALL SELECT 1, 'items', COUNT(*) FROM orders UNION ALL SELECT 2, 'labels', COUNT(*) FROM customer", "node")
+@query("union_features", f"SELECT 0 AS stage, 'points' AS branch, COUNT(*) AS n FROM node WHERE {POINT_KIND} IS NOT NULL UNION ALL SELECT 1, 'items', COUNT(*) FROM orders UNION ALL SELECT 2, 'labels', COUNT(*) FROM customer", "node")
 def union_features(v):
     points = v.nodes.select(F.col("node_id").alias("item_id"), T.point_object_kind("tags").alias("kind")).where("kind IS NOT NULL")
-    return S.union_features(points=points, items=items(v), labels=v.view("label")).groupBy("stage", "source").agg(F.count(F.lit(1)).alias("n"))
+    return S.union_features(points=points, items=items(v), labels=v.view("label")).groupBy("stage", "branch").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("distinct_issues", "SELECT l_shipdate AS code, l_suppkey AS entity, MIN(l_orderkey) AS seq FROM (SELECT CAST(CAST(l_shipdate AS DATE) AS STRING) AS l_shipdate, l_suppkey, l_orderkey FROM lineitem) GROUP BY 1, 2")
