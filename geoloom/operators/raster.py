@@ -192,6 +192,13 @@ def nearest_valid(cells: DataFrame, by: list[str], valid: Column, dx: float, dy:
     side = math.floor(reach / dx + 1e-9)
     asks = flagged.where(~F.col("_ok")).select(*by, "row", "col", F.explode(F.sequence(F.col("col") - side, F.col("col") + side)).alias("_c"))
     seen = near.select(*by, "row", F.col("col").alias("_c"), F.explode(F.array("_u", "_d")).alias("_v")).where("_v IS NOT NULL").distinct()
+    # A grid whose last row is unfinished: columns that end early stand for the rows below their end.
+    ends = near.groupBy(*by, "col").agg(F.max("row").alias("_end"), F.max_by("_u", "row").alias("_v"))
+    bottom = ends.groupBy(*by).agg(F.max("_end").alias("_bottom"))
+    short = ends.join(bottom, by) if by else ends.join(bottom, F.lit(True))
+    short = short.where("_end < _bottom AND _v IS NOT NULL").select(*by, F.explode(F.sequence(F.col("_end") + 1, F.col("_bottom"))).alias("row"),
+                                                                    F.col("col").alias("_c"), "_v")
+    seen = seen.unionByName(short)
     pairs = asks.join(seen, [*by, "row", "_c"])
     gy, gx = (F.col("_v.r") - F.col("row")) * dy, (F.col("_c") - F.col("col")) * dx
     pairs = pairs.withColumn("d2", gx * gx + gy * gy).where(F.col("d2") <= reach * reach + 1e-9)

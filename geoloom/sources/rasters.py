@@ -62,20 +62,20 @@ HEADER = ["ncols", "nrows", "xllcorner", "yllcorner", "xllcenter", "yllcenter",
 def read_ascii_grid(spark: SparkSession, path: str) -> DataFrame:
     """Cells of ESRI ASCII grids: source, row, col, x, y (cell centres) and z.
 
-    A row's number is its place among the data lines of its file.
+    The text source splits large files. A line's place is the start of its split and its order within it,
+    so row numbers need no whole file in one task.
     """
     from geoloom.operators.ordered import block_row_number
 
-    lines = spark.read.format("binaryFile").load(path).select(
-        F.element_at(F.split("path", "/"), -1).alias("source"), F.posexplode(F.split(F.decode("content", F.lit("UTF-8")), r"\r?\n")).alias("line", "text"))
-    words = F.split(F.trim(F.col("text")), r"\s+")
-    rows = lines.where(F.trim("text") != "").select("source", "line", words.alias("w"))
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_name").alias("source"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("line"), F.split(F.trim("value"), r"\s+").alias("w")).where("w[0] <> ''")
     key = F.lower(F.get("w", F.lit(0)))
-    header = rows.where(key.isin(*HEADER)).select("source", key.alias("key"), F.get("w", F.lit(1)).cast("double").alias("v"))
+    header = lines.where(key.isin(*HEADER)).select("source", key.alias("key"), F.get("w", F.lit(1)).cast("double").alias("v"))
     pick = lambda name: F.max(F.when(F.col("key") == name, F.col("v")))
     spec = header.groupBy("source").agg(*[pick(h).alias(h) for h in HEADER])
-    body = rows.where(~key.isin(*HEADER))
-    numbered = block_row_number(body, ["source"], ["line"], F.floor(F.col("line") / 4096), "rn")
+    body = lines.where(~key.isin(*HEADER))
+    numbered = block_row_number(body, ["source"], ["start", "line"], F.col("start"), "rn")
     cells = numbered.select("source", (F.col("rn") - 1).alias("row"), F.posexplode("w").alias("col", "text")).join(spec, "source")
     half = F.col("cellsize") / 2
     x0 = F.coalesce(F.col("xllcorner") + half, F.col("xllcenter"))
