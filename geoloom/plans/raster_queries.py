@@ -157,10 +157,17 @@ def resample_grid(v):
     return R.sample_at_points(v.view("cell"), sites(v), LAYER, ["id"], TILE).select("id", odd("z").alias("z"))
 
 
-@query("resample_cubic")
+CUBE = "CASE WHEN ABS({0}) <= 1 THEN 15e-1 * POWER(ABS({0}), 3) - 25e-1 * POWER({0}, 2) + 1 ELSE -5e-1 * POWER(ABS({0}), 3) + 25e-1 * POWER({0}, 2) - 4 * ABS({0}) + 2 END"
+
+
+@query("resample_cubic", f"""WITH q AS (SELECT layer, row AS r, col AS c, row + 25e-2 AS fr, col * 5e-1 AS fc FROM dense),
+ tap AS (SELECT layer, r, c, CAST(FLOOR(fr) AS BIGINT) + i AS row, CAST(FLOOR(fc) AS BIGINT) + j AS col, ({CUBE.format('(fr - FLOOR(fr) - i)')}) * ({CUBE.format('(fc - FLOOR(fc) - j)')}) AS w
+  FROM q, (VALUES (-1), (0), (1), (2)) AS a(i), (VALUES (-1), (0), (1), (2)) AS b(j)),
+ hit AS (SELECT layer, r, c, SUM(w * z) / SUM(w) AS z FROM tap JOIN cell USING (layer, row, col) WHERE z IS NOT NULL AND w <> 0 GROUP BY 1, 2, 3 HAVING ABS(SUM(w)) > 1e-9)
+ SELECT q.layer, q.r, q.c, CAST(FLOOR(z * 173.2050807e0 + 0.5) AS BIGINT) AS z FROM q LEFT JOIN hit USING (layer, r, c)""", "dense cell")
 def resample_cubic(v):
     targets = v.view("dense").select("layer", F.col("row").alias("r"), F.col("col").alias("c"), (F.col("row") + 0.25).alias("frow"), (F.col("col") * 0.5).alias("fcol"))
-    return R.resample_grid(v.view("cell"), targets, LAYER, ["r", "c"], "Cubic").select("layer", "r", "c", mm("z").alias("z"))
+    return R.resample_grid(v.view("cell"), targets, LAYER, ["r", "c"], "Cubic").select("layer", "r", "c", odd("z").alias("z"))
 
 
 @query("resample_nearest", "SELECT d.layer, d.row AS r, d.col AS c, CAST(s.z AS BIGINT) AS z FROM dense d LEFT JOIN cell s ON s.layer = d.layer AND s.row = FLOOR(d.row * 5e-1 + 5e-1) AND s.col = FLOOR(d.col * 75e-2 + 5e-1)", "dense cell")

@@ -39,6 +39,17 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """Folder of everything this application settles."""
+    return f"{shared_dir(spark)}/geoloom/{spark.sparkContext.applicationId}"
+
+
+def sweep(spark: SparkSession) -> None:
+    """Delete what this application has settled, once its results are written elsewhere."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(scratch_dir(spark))
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write a table once into the shared folder and read it back.
 
@@ -46,7 +57,7 @@ def settle(df: DataFrame) -> DataFrame:
     executor, and later plans see true sizes and read only the columns they need.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/geoloom/{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
