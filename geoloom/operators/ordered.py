@@ -88,6 +88,36 @@ def rank_links(links: DataFrame, keys: list[str], longest: int) -> DataFrame:
     return state.withColumn("tail", F.when(F.col("nxt").isNull(), F.col("tail"))).drop("nxt")
 
 
-def first_rows(df: DataFrame, order: list, limit: int) -> DataFrame:
-    """The first rows of a whole table, where a fixed cap is the feature."""
-    return df.orderBy(*order).limit(limit)
+def top_per_key(df: DataFrame, keys: list[str], order: list, limit: int, out: str, salts: int = 256) -> DataFrame:
+    """The first ``limit`` rows of each key with their place, for keys of any size.
+
+    Each key is cut into salted parts that keep their own first rows; only those meet again, so the last
+    window of a key sees at most salts * limit rows.
+    """
+    plain = [f.dataType for f in df.schema.fields]
+    cols = [c for c, t in zip(df.columns, plain) if t.typeName() != "map"]
+    part = Window.partitionBy(*keys, "__salt").orderBy(*order)
+    first = (df.withColumn("__salt", F.pmod(F.hash(*cols), F.lit(salts))).withColumn("__r", F.row_number().over(part))
+             .where(F.col("__r") <= limit).drop("__salt", "__r"))
+    return first.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(out) <= limit)
+
+
+def first_rows(df: DataFrame, order: list, limit: int, small: int = 10_000) -> DataFrame:
+    """The first rows of a whole table, where a fixed cap is the feature. ``order`` must be total.
+
+    A large cap would gather the candidates of all partitions in one task. So the table is laid out in
+    ranges of the order first: whole ranges are kept or left by their counts, and one range is cut.
+    """
+    if limit <= small:
+        return df.orderBy(*order).limit(limit)
+    ranged = settle(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()))
+    cut, left = None, limit
+    for p, n in ranged.groupBy("__p").count().orderBy("__p").collect():  # one row per range
+        if n > left:
+            cut = p
+            break
+        left -= n
+    if cut is None:
+        return ranged.drop("__p")
+    whole = ranged.where(F.col("__p") < cut)
+    return whole.unionByName(ranged.where(F.col("__p") == cut).orderBy(*order).limit(left)).drop("__p")

@@ -150,7 +150,7 @@ def match_candidates(objects: DataFrame, candidates: DataFrame, tiers: int = 2,
     shuffles. The candidate side is broadcast only when its counted size is small.
     """
     sig = ["kind", "height", "width", "length", "shape"]
-    wanted = settle(objects.select(*sig).distinct().withColumn("sig", F.xxhash64(*[F.col(c).cast("string") for c in sig])))
+    wanted = settle(objects.select(*sig).distinct().withColumn("sig", F.sha2(F.to_json(F.struct(*sig)), 256)))
     models = candidates.groupBy("tier", F.col("kind").alias("ckind"), F.col("width").alias("cw"), F.col("length").alias("cl"),
                                 F.col("height").alias("ch"), "cx", "cy").agg(F.min("name").alias("name"))
     accepts = F.when(F.col("kind") == "building", F.array(F.lit("residential"), F.lit("commercial"), F.lit("industrial"))
@@ -169,7 +169,7 @@ def match_candidates(objects: DataFrame, candidates: DataFrame, tiers: int = 2,
     scored = both.where(room).where(fits).withColumn("score", F.round(score, 9))
     best = scored.groupBy("sig").agg(F.min_by(F.struct("name", "tier", "swapped", "score", "cx", "cy"),
                                               F.struct("tier", "score", "name", "swapped")).alias("m"))
-    keyed = objects.withColumn("sig", F.xxhash64(*[F.col(c).cast("string") for c in sig]))
+    keyed = objects.withColumn("sig", F.sha2(F.to_json(F.struct(*sig)), 256))
     return keyed.join(best, "sig", "left").select(
         "item_id", "kind", F.col("m.name").alias("name"), F.col("m.tier").alias("tier"), F.col("m.swapped").alias("swapped"),
         F.col("m.score").alias("score"), F.col("m.cx").alias("cx"), F.col("m.cy").alias("cy"), F.col("m").isNull().alias("unmatched"))

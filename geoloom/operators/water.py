@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from geoloom.functions import faces as P, tags as T
 from geoloom.operators import graph, polygons as G
 from geoloom.operators.networks import way_segments, way_totals
+from geoloom.operators.ordered import top_per_key
 from geoloom.operators.spatial import reserve_corridors
 from geoloom.session import settle
 from geoloom.spec import SceneryOptions
@@ -22,12 +23,9 @@ def face_budget(features: DataFrame, budget: int) -> DataFrame:
     So only those may matter: under budget * (1 + ln(budget)) rows whatever the input, which one small
     group folds in order. All other features are refused or have no face.
     """
-    from pyspark.sql import Window
-
     sized = features.select("feature", "ord", "faces")
     small = sized.where((F.col("faces") > 0) & (F.col("faces") <= budget))
-    first = F.row_number().over(Window.partitionBy("faces").orderBy("ord"))
-    hopeful = small.withColumn("_rn", first).where(F.col("_rn") <= budget).where(F.col("_rn") * F.col("faces") <= budget)
+    hopeful = top_per_key(small, ["faces"], ["ord"], budget, "_rn").where(F.col("_rn") * F.col("faces") <= budget)
 
     def fold(pdf):
         pdf = pdf.sort_values("ord")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from geoloom.functions.geo import bbox_intersects, bbox_touches, finite
-from geoloom.operators.ordered import first_rows
+from geoloom.operators.ordered import first_rows, top_per_key
 from geoloom.spec import Bounds
 
 MOST_ASSETS = 4096  # per catalogue; more means the search was cut short
@@ -32,8 +32,7 @@ def ingest_catalog(assets: DataFrame, box: tuple[float, float, float, float], mo
     per_url = assets.where(usable & near).groupBy("catalog_id", "url").agg(
         F.max(F.struct("date", "bytes", "minx", "miny", "maxx", "maxy")).alias("a"))
     rows = per_url.select("catalog_id", "url", "a.*")
-    rank = F.row_number().over(Window.partitionBy("catalog_id").orderBy(F.desc("date"), "url"))
-    kept = rows.withColumn("rank", rank).where(F.col("rank") <= most)
+    kept = top_per_key(rows, ["catalog_id"], [F.desc("date"), "url"], most, "rank")
     size = rows.groupBy("catalog_id").agg((F.count(F.lit(1)) > most).alias("truncated"))
     return kept.join(size, "catalog_id")
 
@@ -46,7 +45,7 @@ def catalog_access(assets: DataFrame, limit: int) -> DataFrame:
 
 
 def newest_assets(assets: DataFrame) -> DataFrame:
-    """Date order within each catalogue, newest first."""
+    """Date order within each ingested catalogue (its asset cap bounds the window), newest first."""
     return assets.withColumn("place", F.row_number().over(Window.partitionBy("catalog_id").orderBy(F.desc("date"), "url")))
 
 

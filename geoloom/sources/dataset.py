@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from geoloom.operators.ordered import top_per_key
+
 REPORT = ("dataset STRING, input STRING, bounds ARRAY<DOUBLE>, mapSize ARRAY<DOUBLE>, settings MAP<STRING, STRING>, sourceSha256 STRING, "
           "luaSha256 STRING, alignment MAP<STRING, STRING>, output STRING, report STRING, edges BIGINT, sceneryItems BIGINT, "
           "placeLabels BIGINT, waterFeatures BIGINT, format STRING, converterDataset STRING")
@@ -85,9 +87,7 @@ def preview_slice(edges: DataFrame, nodes: DataFrame, scenery: DataFrame, labels
 
 def head_with_omitted(rows: DataFrame, by: list[str], order: list, most: int = 30) -> DataFrame:
     """First rows per key and how many were left out."""
-    from pyspark.sql import Window
-
-    top = rows.withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("place") <= most)
+    top = top_per_key(rows, by, order, most, "place")
     size = rows.groupBy(*by).agg(F.greatest(F.count(F.lit(1)) - most, F.lit(0)).alias("omitted"))
     return top.join(size, by)
 

@@ -42,3 +42,17 @@ def test_links_chain_and_cycle(spark):
     rows = {(r.k, r.arc): r for r in O.rank_links(df, ["k"], 10).collect()}
     assert all(rows["p", i].hops == 9 - i and rows["p", i].tail == 9 for i in range(10))
     assert all(rows["c", i].tail is None and rows["c", i].low == 0 for i in range(7))
+
+
+def test_first_rows_over_ranges(spark):
+    df = hot(spark).repartition(7)
+    for limit in (1, 999, 2500, 4000, 9000):
+        got = O.first_rows(df, ["v", "i"], limit, small=0)
+        assert sorted(r.i for r in got.collect()) == sorted(r.i for r in df.orderBy("v", "i").limit(limit).collect())
+
+
+def test_top_of_a_hot_key(spark):
+    df = hot(spark)
+    got = O.top_per_key(df, ["k"], ["v", "i"], 20, "place", salts=4)
+    want = df.withColumn("place", F.row_number().over(Window.partitionBy("k").orderBy("v", "i"))).where("place <= 20")
+    assert sorted(got.collect()) == sorted(want.collect())
