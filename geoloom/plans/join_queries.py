@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from geoloom.functions import faces as P, tags as T
 from geoloom.functions.geo import mm
-from geoloom.operators import graph, networks as N, polygons as G, quality as Q, scenery as S, spatial, water as W
+from geoloom.operators import graph, networks as N, quality as Q, scenery as S, spatial, water as W
 from geoloom.plans.network_queries import mm_sql
 from geoloom.plans.polygon_queries import edges as area_edges, spots
 from geoloom.plans.registry import query

@@ -1,7 +1,5 @@
 """Queries for projection, predicates and tag rules."""
 
-import math
-
 from pyspark.sql import functions as F
 
 from geoloom.functions import geo as G, tags as T
