@@ -97,10 +97,13 @@ def compress(ids: np.ndarray, base: int, rounds: int = 6, least: int = 4):
         rank = np.bincount(slot, minlength=1 << bits)[slot]
         rank[rank < least] = 0
         rank = np.where(rank > 0, rank << bits | slot, 0)
-        taken = rank > 0
-        taken[1:] &= rank[1:] > rank[:-1]
-        taken[:-1] &= rank[:-1] >= rank[1:]
-        at = np.flatnonzero(taken)
+        # Places of equal rank side by side (a run of one id) take every second place.
+        starts = np.concatenate([[0], np.flatnonzero(rank[1:] != rank[:-1]) + 1])
+        level = np.concatenate([[-1], rank[starts], [-1]])
+        top = (level[1:-1] > 0) & (level[1:-1] > level[:-2]) & (level[1:-1] > level[2:])
+        sizes = np.diff(np.append(starts, rank.size))[top]
+        starts, sizes = starts[top], (sizes + 1) // 2
+        at = np.repeat(starts - 2 * (np.cumsum(sizes) - sizes), sizes) + 2 * np.arange(sizes.sum())
         pairs, which, times = np.unique(code[at], return_inverse=True, return_counts=True)
         good = times >= least
         if len(lengths) + good.sum() > SYMBOLS:
