@@ -34,7 +34,7 @@ FOUND = "chunk bigint, places binary"
 INDEX, BOTH, PROBE, DONE = 0, 1, 2, 3
 # Odd multipliers of the two rolling sums, and their inverses modulo 2^64.
 ROLL = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
-_HASHES = Memo(xxhash.xxh3_64_intdigest, 600_000)
+_HASHES = Memo(xxhash.xxh3_64_intdigest, 300_000)
 
 
 def hashes(units: list[bytes]) -> np.ndarray:
@@ -77,7 +77,7 @@ class Packed:
         return np.arange(self.units.size) - np.repeat(self.bounds[:-1], np.diff(self.bounds))
 
 
-def pack(docs: DataFrame, key: Column, text: Column, size: int = 6 << 20) -> DataFrame:
+def pack(docs: DataFrame, key: Column, text: Column, size: int = 3 << 20) -> DataFrame:
     """Chunks of whole documents of about ``size`` bytes; a longer document is a chunk of its own."""
     def chunks(batches):
         number = TaskContext.get().partitionId() << 33
