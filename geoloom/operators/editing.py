@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from geoloom.functions.geo import dist
 from geoloom.operators.networks import densify_lines
-from geoloom.operators.ordered import BLOCK, block_row_number, block_running_sum, pair_up
+from geoloom.operators.ordered import BLOCK, block_row_number, block_running_sum, global_row_number, pair_up
 from geoloom.operators.raster import cell_x, cell_y, kernel, sample_at_points
 from geoloom.session import settle, spread
 from geoloom.spec import GridSpec
@@ -73,8 +73,7 @@ def _smooth_stroke(cells: DataFrame, strokes: DataFrame, by: list[str], grid: Gr
     reach = F.floor(F.col("sigma") * 4 + 0.5).cast("long")
     offsets = F.explode(F.sequence(-reach, reach)).alias("k")
     weight = F.exp(-0.5 * (F.col("k") / F.col("sigma")) ** 2)
-    size = cells.groupBy(*by).agg((F.max("row") + 1).alias("_nr"), (F.max("col") + 1).alias("_nc"))
-    ask = patch.join(size, by)
+    ask = patch.withColumns({"_nr": F.lit(grid.ny).cast("long"), "_nc": F.lit(grid.nx).cast("long")})
     down = ask.select(*by, "row", "col", "sigma", "_nr", "_nc", offsets).withColumn("_w", weight)
     down = down.withColumn("_r", F.least(F.greatest(F.col("row") + F.col("k"), F.lit(0)), F.col("_nr") - 1))
     lines = down.select(*by, F.col("_r").alias("r"), "col", "sigma", "_nc").distinct()
@@ -158,29 +157,32 @@ def limit_grade(points: DataFrame, keys: list[str], percent: float, value: str =
     """
     if percent <= 0:
         return points
-    ahead = points.select(*keys, (F.col("pos") - 1).alias("pos"), F.col("x").alias("_nx"), F.col("y").alias("_ny"))
+    ahead = points.select(*keys, (F.col("pos") - 1).alias("pos"), F.col("x").alias("_nx"), F.col("y").alias("_ny"), F.col(value).alias("_nz"))
     stepped = settle(points.join(ahead, [*keys, "pos"], "left").withColumn("_step", F.coalesce(dist("x", "y", "_nx", "_ny"), F.lit(0.0)) * percent / 100)
                      .drop("_nx", "_ny").withColumn("_blk", F.floor(F.col("pos") / (16 * BLOCK)).cast("long")))
     last = stepped.agg(F.max("_blk")).first()[0]
     if last is None:
         return points
-    done = _clamp_rounds(stepped, keys, value, range(int(last) + 1), backward=False)
-    return _clamp_rounds(done, keys, value, range(int(last), -1, -1), backward=True).drop("_step", "_blk")
+    # Most lines break the grade nowhere and stay as they are; only the others are folded.
+    steep = settle(stepped.where(F.abs(F.col("_nz") - F.col(value)) > F.col("_step")).select(*keys).distinct())
+    stepped = stepped.drop("_nz")
+    calm = stepped.join(steep, keys, "left_anti")
+    done = _clamp_rounds(stepped.join(steep, keys, "left_semi"), keys, value, range(int(last) + 1), backward=False)
+    done = _clamp_rounds(done, keys, value, range(int(last), -1, -1), backward=True)
+    return calm.unionByName(done).drop("_step", "_blk")
 
 
 def _clamp_rounds(rows: DataFrame, keys: list[str], value: str, blocks, backward: bool) -> DataFrame:
     schema, names = rows.schema, rows.columns
     out, carry = None, None
-    many = len(blocks) > 1
     for block in blocks:
-        part = rows.where(F.col("_blk") == block) if many else rows
+        part = rows.where(F.col("_blk") == block)
         part = part.join(carry, keys, "left") if carry is not None else part.withColumns({"_ch": F.lit(None).cast("double"), "_cs": F.lit(0.0)})
         order = [*keys, F.desc("pos") if backward else F.asc("pos")]
         done = spread(part, keys).sortWithinPartitions(*order).mapInPandas(_clamp(keys, value, backward, names), schema)
-        if many:
-            done = settle(done)
-            edge = F.min_by if backward else F.max_by
-            carry = done.groupBy(*keys).agg(edge(value, "pos").alias("_ch"), edge("_step", "pos").alias("_cs"))
+        done = settle(done)
+        edge = F.min_by if backward else F.max_by
+        carry = done.groupBy(*keys).agg(edge(value, "pos").alias("_ch"), edge("_step", "pos").alias("_cs"))
         out = done if out is None else out.unionByName(done)
     return out
 
@@ -237,40 +239,52 @@ def grade_corridors(cells: DataFrame, lines: DataFrame, by: list[str], grid: Gri
                     percent: float, river_depth: float | None = None, baseline: DataFrame | None = None) -> DataFrame:
     """Fit the ground to lines of one kind (by, line, idx, x, y), in line and segment order.
 
-    Profiles come from ``baseline`` (the cells as given, without one), never from edited heights. A river
-    only ever lowers the ground.
+    Profiles come from ``baseline`` (the cells as given, without one), never from edited heights.
     """
+    pulls = corridor_targets(cells if baseline is None else baseline, lines, by, grid, width, blend, smoothing, percent, river_depth)
+    return fold_targets(cells, pulls, by)
+
+
+def corridor_targets(baseline: DataFrame, lines: DataFrame, by: list[str], grid: GridSpec, width: float, blend: float, smoothing: float,
+                     percent: float, river_depth: float | None = None) -> DataFrame:
+    """What lines of one kind pull each cell to: by, row, col, ord, weight, target and lower (a river only lowers).
+
+    Segments of a bridge or tunnel are no ground: lines with a true ``structure`` column are left out.
+    """
+    if "structure" in lines.columns:
+        lines = lines.where(~F.coalesce("structure", F.lit(False)))
     step = max(0.1, min(grid.dx, grid.dy, width / 2, 10.0))
     keys = [*by, "line"]
     points = densify_lines(lines, keys, step)
-    profile = settle(sample_at_points(cells if baseline is None else baseline, points, by, ["line", "pos", "x", "y"], grid))
+    profile = settle(sample_at_points(baseline, points, by, ["line", "pos", "x", "y"], grid))
     if smoothing > 0:
         profile = smooth_along_line(profile, keys, smoothing / step)
     profile = limit_grade(profile, keys, percent)
     if river_depth is not None:
         profile = profile.withColumn("z", F.col("z") - river_depth)
     seg = pair_up(profile, keys, "pos", ["x", "y", "z"]).withColumns({"width": F.lit(float(width)), "blend": F.lit(float(blend))})
-    touched = corridor_cells(seg, grid).select(*by, "row", "col", F.struct("line", "pos").alias("ord"), "weight",
-                                               (F.col("z0") + F.col("t") * (F.col("z1") - F.col("z0"))).alias("target"))
-    return fold_targets(cells, touched, by, river_depth is not None)
+    return corridor_cells(seg, grid).select(*by, "row", "col", F.struct("line", "pos").alias("ord"), "weight",
+                                            (F.col("z0") + F.col("t") * (F.col("z1") - F.col("z0"))).alias("target"), F.lit(river_depth is not None).alias("lower"))
 
 
-def fold_targets(cells: DataFrame, steps: DataFrame, by: list[str], only_lower: bool, block: int = 16 * BLOCK) -> DataFrame:
-    """Pull cells toward ordered targets: z += weight * (target - z), or toward min(z, target).
+def fold_targets(cells: DataFrame, steps: DataFrame, by: list[str], only_lower: bool = False, block: int = 16 * BLOCK) -> DataFrame:
+    """Pull cells toward ordered targets: z += weight * (target - z), or toward min(z, target) where ``lower`` is true.
 
-    Steps of a cell are numbered and folded a block at a time; only a cell with more than one block of
-    steps needs another round.
+    Steps of a cell are numbered in the order of ``ord`` (a struct of line and pos, of any type that sorts) and folded a
+    block at a time; only a cell with more than one block of steps needs another round.
     """
     cell = [*by, "row", "col"]
-    steps = settle(steps)
-    most = steps.groupBy(*cell).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    if most > block:
-        steps = settle(block_row_number(steps, cell, ["ord"], F.col("ord.line"), "_rn").withColumn("_blk", F.floor((F.col("_rn") - 1) / block)))
-    rounds = (most - 1) // block + 1 if most else 0
+    steps = settle(steps if "lower" in steps.columns else steps.withColumn("lower", F.lit(only_lower)))
+    lines = global_row_number(steps.select(F.col("ord.line").alias("_line")).distinct(), ["_line"], "_line_no")
+    steps = steps.withColumn("_line", F.col("ord.line")).join(lines, "_line").drop("_line")
+    numbered = block_row_number(steps, cell, ["ord"], F.col("_line_no"), "_rn")
+    steps = settle(numbered.withColumn("_blk", F.floor((F.col("_rn") - 1) / block)).drop("_line_no"))
+    last = steps.agg(F.max("_blk")).first()[0]
+    rounds = 0 if last is None else int(last) + 1
     for number in range(rounds):
-        part = steps.where(F.col("_blk") == number) if rounds > 1 else steps
-        listed = part.groupBy(*cell).agg(F.array_sort(F.collect_list(F.struct("ord", "weight", "target"))).alias("_l"))
-        goal = (lambda z, v: F.least(z, v.target)) if only_lower else (lambda z, v: v.target)
+        part = steps.where(F.col("_blk") == number)
+        listed = part.groupBy(*cell).agg(F.array_sort(F.collect_list(F.struct("ord", "weight", "target", "lower"))).alias("_l"))
+        goal = lambda z, v: F.when(v.lower, F.least(z, v.target)).otherwise(v.target)
         pulled = F.aggregate(F.col("_l"), F.col("z"), lambda z, v: z + v.weight * (goal(z, v) - z))
         cells = cells.join(listed, cell, "left").select(*cell, F.when(F.col("_l").isNull(), F.col("z")).otherwise(pulled).alias("z"))
         if rounds > 1:

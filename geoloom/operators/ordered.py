@@ -47,7 +47,8 @@ def pair_up(df: DataFrame, keys: list[str], idx: str, values: list[str], size: s
 
     Each row is sent to the pair it opens and the pair it closes, and pairs meet by (key, position):
     one shuffle, no window, no group larger than two rows. ``size`` names the column with the key's
-    row count when the last row pairs with the first (closed rings); without it lines stay open.
+    row count when the last row pairs with the first (closed rings); without it lines stay open. A place
+    that comes twice is an error, since no order could tell which of the two rows is meant.
     """
     place = F.col(idx).cast("long")
     if size is None:
@@ -61,9 +62,11 @@ def pair_up(df: DataFrame, keys: list[str], idx: str, values: list[str], size: s
     head = F.col("_s.head")
     aggs = [F.max(F.when(head, F.col(v))).alias(f"{v}0") for v in values]
     aggs += [F.max(F.when(~head, F.col(v))).alias(f"{v}1") for v in values]
-    return (sides.groupBy(*keys, F.col("_s.at").alias(idx))
-            .agg(*aggs, F.count(F.when(head, 1)).alias("_h"), F.count(F.when(~head, 1)).alias("_t"))
-            .where((F.col("_h") == 1) & (F.col("_t") == 1)).drop("_h", "_t"))
+    met = (sides.groupBy(*keys, F.col("_s.at").alias(idx))
+           .agg(*aggs, F.count(F.when(head, 1)).alias("_h"), F.count(F.when(~head, 1)).alias("_t")))
+    twice = (F.col("_h") > 1) | (F.col("_t") > 1)
+    fault = F.raise_error(F.concat(F.lit("a place comes twice in a line, at "), F.col(idx).cast("string"))).cast("boolean")
+    return met.where(F.when(twice, fault).otherwise((F.col("_h") == 1) & (F.col("_t") == 1))).drop("_h", "_t")
 
 
 def rank_links(links: DataFrame, keys: list[str], longest: int) -> DataFrame:
@@ -102,22 +105,20 @@ def top_per_key(df: DataFrame, keys: list[str], order: list, limit: int, out: st
     return first.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(out) <= limit)
 
 
-def first_rows(df: DataFrame, order: list, limit: int, small: int = 10_000) -> DataFrame:
-    """The first rows of a whole table, where a fixed cap is the feature. ``order`` must be total.
+def global_row_number(df: DataFrame, order: list, out: str) -> DataFrame:
+    """1-based place of each row in the whole table. ``order`` must be total.
 
-    A large cap would gather the candidates of all partitions in one task. So the table is laid out in
-    ranges of the order first: whole ranges are kept or left by their counts, and one range is cut.
+    The table is laid out in ranges of the order; each range is numbered alone and starts after the counts of
+    those before it, so no task sees more than one range (and one row for each range).
     """
-    if limit <= small:
-        return df.orderBy(*order).limit(limit)
     ranged = settle(df.repartitionByRange(*order).withColumn("__p", F.spark_partition_id()))
-    cut, left = None, limit
-    for p, n in ranged.groupBy("__p").count().orderBy("__p").collect():  # one row per range
-        if n > left:
-            cut = p
-            break
-        left -= n
-    if cut is None:
-        return ranged.drop("__p")
-    whole = ranged.where(F.col("__p") < cut)
-    return whole.unionByName(ranged.where(F.col("__p") == cut).orderBy(*order).limit(left)).drop("__p")
+    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    base = ranged.groupBy("__p").agg(F.count(F.lit(1)).alias("__n")).select("__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    inside = F.row_number().over(Window.partitionBy("__p").orderBy(*order))
+    return ranged.withColumn("__rn", inside).join(base, "__p").withColumn(out, (F.col("__rn") + F.col("__base")).cast("long")).drop("__p", "__rn", "__base")
+
+
+def first_rows(df: DataFrame, order: list, limit: int) -> tuple[DataFrame, DataFrame]:
+    """(first ``limit`` rows, the rows left out) of a whole table, where a cap is asked for. ``order`` must be total."""
+    placed = settle(global_row_number(df, order, "__place"))
+    return placed.where(F.col("__place") <= limit).drop("__place"), placed.where(F.col("__place") > limit).drop("__place")

@@ -1,7 +1,7 @@
 """Height grids as rows (by..., row, col, z): sampling, filling, smoothing, burning and encoding.
 
-Row 0 is north and vertices lie on the map corners. A grid row or column holds at most 16,385 cells, so
-windows along them are bounded by the grid limits whatever the input.
+Row 0 is north and vertices lie on the map corners. Windows run along one row or column of one grid, so they
+hold at most a grid's longer side, whatever the number of grids.
 """
 
 from __future__ import annotations
@@ -29,8 +29,8 @@ def cell_y(grid: GridSpec) -> Column:
 
 # ---- sources ------------------------------------------------------------------------------------------------
 
-def grid_ground_points(points: DataFrame, by: list[str], grid: GridSpec, ground: int = 2) -> DataFrame:
-    """Mean height and count of classified ground points per cell; other classes never stand in."""
+def ground_cells(points: DataFrame, by: list[str], grid: GridSpec, ground: int = 2) -> DataFrame:
+    """Cell and height of each finite, classified ground point on the grid: by, row, col, z."""
     fine = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
     left, top = -grid.width / 2 - grid.dx / 2, grid.height / 2 + grid.dy / 2
     keep = ((F.col("classification") == ground) & ~F.col("withheld") & fine("x") & fine("y") & fine("z") & (F.col("x") >= left)
@@ -38,7 +38,12 @@ def grid_ground_points(points: DataFrame, by: list[str], grid: GridSpec, ground:
     row, col = F.floor((F.lit(top) - F.col("y")) / grid.dy).cast("long"), F.floor((F.col("x") - left) / grid.dx).cast("long")
     rows = points.where(keep).select(*by, row.alias("row"), col.alias("col"), F.col("z").cast("double").alias("z"))
     inside = F.col("row").between(0, grid.ny - 1) & F.col("col").between(0, grid.nx - 1)
-    return rows.where(inside).groupBy(*by, "row", "col").agg(F.avg("z").alias("z"), F.count(F.lit(1)).alias("points"))
+    return rows.where(inside)
+
+
+def grid_ground_points(points: DataFrame, by: list[str], grid: GridSpec, ground: int = 2) -> DataFrame:
+    """Mean height and count of classified ground points per cell; other classes never stand in."""
+    return ground_cells(points, by, grid, ground).groupBy(*by, "row", "col").agg(F.avg("z").alias("z"), F.count(F.lit(1)).alias("points"))
 
 
 def ground_stats(points: DataFrame, gridded: DataFrame, by: list[str], grid: GridSpec) -> DataFrame:
@@ -252,15 +257,18 @@ def gaussian_smooth(cells: DataFrame, by: list[str], sigma_rows: float, sigma_co
     return across.withColumn("z", _along(across, [*by, "col"], "row", "z", sigma_rows))
 
 
+def with_gradient(cells: DataFrame, by: list[str], dx: float, dy: float) -> DataFrame:
+    """Add _gx and _gy: rise per metre to the east and to the south, central inside and one-sided at borders."""
+    def along(line, order, step):
+        w = Window.partitionBy(*by, line).orderBy(order).rowsBetween(-1, 1)
+        return (F.last("z", True).over(w) - F.first("z", True).over(w)) / (step * F.greatest(F.count("z").over(w) - 1, F.lit(1)))
+
+    return cells.withColumn("_gx", along("row", "col", dx)).withColumn("_gy", along("col", "row", dy))
+
+
 def terrain_slope(cells: DataFrame, by: list[str], dx: float, dy: float) -> DataFrame:
     """Slope in degrees from central differences, one-sided at borders."""
-    def gradient(parts, order, step):
-        w = Window.partitionBy(*parts).orderBy(order)
-        a, b = F.lag("z").over(w), F.lead("z").over(w)
-        span = F.when(a.isNull() | b.isNull(), step).otherwise(2 * step)
-        return (F.coalesce(b, F.col("z")) - F.coalesce(a, F.col("z"))) / span
-
-    rows = cells.withColumn("_gx", gradient([*by, "row"], "col", dx)).withColumn("_gy", gradient([*by, "col"], "row", dy))
+    rows = with_gradient(cells, by, dx, dy)
     return rows.withColumn("slope", F.degrees(F.atan(F.sqrt(F.col("_gx") ** 2 + F.col("_gy") ** 2)))).drop("_gx", "_gy")
 
 
@@ -307,8 +315,11 @@ def elevation_range(cells: DataFrame, baseline: DataFrame, by: list[str]) -> Dat
     return both.groupBy(*by).agg(F.min("z").alias("low"), F.max("z").alias("high"), F.max(F.abs(F.col("z") - F.col("_b"))).alias("largest_change"))
 
 
-def encode_heights(cells: DataFrame, by: list[str], manual: tuple[float, float] | None = None) -> DataFrame:
-    """16-bit codes over a whole-metre (or given) range, rounding halves to even; adds lo, hi, clipped."""
+def encode_heights(cells: DataFrame, by: list[str], manual: tuple[float, float] | None = None, clip: bool = True) -> DataFrame:
+    """16-bit codes over a whole-metre (or given) range, rounding halves to even; adds lo, hi, clipped.
+
+    Without ``clip`` a height outside a given range is an error.
+    """
     if manual:
         spans = cells.withColumns({"lo": F.lit(float(manual[0])), "hi": F.lit(float(manual[1]))})
     else:
@@ -316,33 +327,53 @@ def encode_heights(cells: DataFrame, by: list[str], manual: tuple[float, float]
         spans = cells.join(span.select(*by, "lo", F.when(F.col("lo") == F.col("_h"), F.col("lo") + 1).otherwise(F.col("_h")).alias("hi")), by)
     part = (F.col("z") - F.col("lo")) / (F.col("hi") - F.col("lo"))
     code = F.rint(F.least(F.greatest(part, F.lit(0.0)), F.lit(1.0)) * 65535).cast("int")
-    return spans.withColumns({"code": code, "clipped": (F.col("z") < F.col("lo")) | (F.col("z") > F.col("hi"))})
+    outside = (F.col("z") < F.col("lo")) | (F.col("z") > F.col("hi"))
+    if not clip:
+        spans = spans.where(F.assert_true(~F.coalesce(outside, F.lit(False)), F.lit("a height is outside the range")).isNull())
+    return spans.withColumns({"code": code, "clipped": outside})
 
 
-# Colour stops of the height preview.
+# Fixed values of the height preview: colour stops over the height range, the light's direction (east, south, up), the darkest and
+# brightest shade, the shade that leaves a colour as it is, and the colour of water.
 STOPS = [(0.0, 90, 143, 92), (0.2, 130, 169, 94), (0.45, 175, 164, 111), (0.7, 165, 140, 123), (1.0, 241, 239, 229)]
+LIGHT, SHADES, NEUTRAL, WATER = (-0.4, 0.3, 0.6), (0.25, 1.0), 0.8, (68, 131, 171)
 
 
-def hillshade_preview(cells: DataFrame, by: list[str], dx: float, dy: float, water_level: float) -> DataFrame:
-    """Shaded colours r, g, b of a preview grid."""
-    def gradient(parts, order, step):
-        w = Window.partitionBy(*parts).orderBy(order)
-        a, b = F.lag("z").over(w), F.lead("z").over(w)
-        return (F.coalesce(b, F.col("z")) - F.coalesce(a, F.col("z"))) / F.when(a.isNull() | b.isNull(), step).otherwise(2 * step)
+def _within(value: Column, low: float, high: float) -> Column:
+    return F.least(F.greatest(value, F.lit(low)), F.lit(high))
 
-    span = cells.groupBy(*by).agg(F.min("z").alias("_lo"), F.max("z").alias("_hi"))
-    rows = cells.withColumn("_gx", gradient([*by, "row"], "col", dx)).withColumn("_gy", gradient([*by, "col"], "row", dy)).join(span, by)
-    t = F.least(F.greatest((F.col("z") - F.col("_lo")) / F.greatest(F.lit(1.0), F.col("_hi") - F.col("_lo")), F.lit(0.0)), F.lit(1.0))
-    rows = rows.withColumns({"_t": t, "_s": F.least(F.greatest((0.6 - 0.4 * F.col("_gx") + 0.3 * F.col("_gy")) / F.sqrt(
-        1 + F.col("_gx") ** 2 + F.col("_gy") ** 2), F.lit(0.25)), F.lit(1.0))})
 
-    def channel(i, wet):
-        value = F.lit(float(STOPS[-1][i]))
-        for (t0, *a), (t1, *b) in reversed(list(zip(STOPS, STOPS[1:]))):
-            value = F.when(F.col("_t") <= t1, a[i - 1] + (F.col("_t") - t0) * ((b[i - 1] - a[i - 1]) / (t1 - t0))).otherwise(value)
-        return F.when(F.col("z") < water_level, wet).otherwise(F.floor(F.least(F.greatest(value * F.col("_s") / 0.8, F.lit(0.0)), F.lit(255.0)))).cast("int")
+def ramp(t: Column, stops: list[tuple]) -> Column:
+    """Piecewise linear: the first value and what each stretch adds up to t."""
+    out = F.lit(float(stops[0][1]))
+    for (t0, v0), (t1, v1) in zip(stops, stops[1:]):
+        out = out + _within((t - t0) / (t1 - t0), 0.0, 1.0) * (v1 - v0)
+    return out
 
-    return rows.select(*by, "row", "col", channel(1, 68).alias("r"), channel(2, 131).alias("g"), channel(3, 171).alias("b"))
+
+def hillshade_preview(cells: DataFrame, by: list[str], dx: float, dy: float, water_level: float, every: int = 1,
+                      biome_colours: dict[int, tuple[int, int, int]] | None = None) -> DataFrame:
+    """Shaded colours r, g, b of every ``every``-th row and column, from the slopes between those.
+
+    Ground is lit by a fixed light and coloured by its height in the map's range; ``biome_colours`` colours by the biome column
+    instead, where a biome is listed. Water has its own colour, unshaded.
+    """
+    picked = cells.where((F.col("row") % every == 0) & (F.col("col") % every == 0)).withColumns({"row": F.floor(F.col("row") / every), "col": F.floor(F.col("col") / every)})
+    span = picked.groupBy(*by).agg(F.min("z").alias("_lo"), F.max("z").alias("_hi"))
+    rows = with_gradient(picked, by, dx * every, dy * every).join(span, by)
+    height = _within((F.col("z") - F.col("_lo")) / F.greatest(F.lit(1.0), F.col("_hi") - F.col("_lo")), 0.0, 1.0)
+    east, south, up = LIGHT
+    facing = (F.col("_gx") * east + F.col("_gy") * south + up) / F.sqrt(F.col("_gx") ** 2 + F.col("_gy") ** 2 + 1)
+    rows = rows.withColumns({"_t": height, "_shade": _within(facing, *SHADES) / NEUTRAL})
+    colours = []
+    for i, (name, water) in enumerate(zip("rgb", WATER), 1):
+        ground = ramp(F.col("_t"), [(t[0], t[i]) for t in STOPS])
+        if biome_colours:
+            table = F.create_map(*[F.lit(x) for b, colour in biome_colours.items() for x in (int(b), float(colour[i - 1]))])
+            ground = F.coalesce(table[F.col("biome").cast("int")], ground)
+        lit = F.floor(_within(ground * F.col("_shade"), 0.0, 255.0))
+        colours.append(F.when(F.col("z") < water_level, F.lit(water)).otherwise(lit).cast("int").alias(name))
+    return rows.select(*by, "row", "col", *colours)
 
 
 def datum_conflicts(contributions: DataFrame, by: list[str]) -> DataFrame:

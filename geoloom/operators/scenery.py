@@ -61,8 +61,10 @@ def keep_inside(points: DataFrame, edges: DataFrame, area: str, ids: list[str],
     return found.where("_n % 2 = 1").select(*points.columns)
 
 
-def cap_items(items: DataFrame, order: list, limit: int) -> DataFrame:
-    """The vegetation cap: the first items in area, row and column order."""
+def cap_items(items: DataFrame, order: list, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(kept, left out): the first ``limit`` items in area, row and column order; without a limit all are kept."""
+    if limit is None:
+        return items, items.limit(0)
     return first_rows(items, order, limit)
 
 
@@ -141,23 +143,24 @@ def union_features(**stages: DataFrame) -> DataFrame:
     return out
 
 
-def match_candidates(objects: DataFrame, candidates: DataFrame, tiers: int = 2, small: int = 200_000) -> DataFrame:
+def match_candidates(objects: DataFrame, candidates: DataFrame, tiers: int | None = None) -> DataFrame:
     """Best fitting candidate per object: tier first, then score, name and orientation.
 
     Objects carry item_id, kind, height, width and length (null without footprint) and shape (footprint
     around the object's position and along its axis). Equal objects are matched once, equal candidates
     keep their first name, and the pairs of a class are weighed by a minimum that combines before it
-    shuffles. The candidate side is broadcast only when its counted size is small.
+    shuffles. Both sides are written, so their true sizes decide how they meet. With ``tiers`` only candidates of
+    lower tiers are taken.
     """
+    if tiers is not None:
+        candidates = candidates.where(F.col("tier") < tiers)
     sig = ["kind", "height", "width", "length", "shape"]
     wanted = settle(objects.select(*sig).distinct().withColumn("sig", F.sha2(F.to_json(F.struct(*sig)), 256)))
     models = candidates.groupBy("tier", F.col("kind").alias("ckind"), F.col("width").alias("cw"), F.col("length").alias("cl"),
                                 F.col("height").alias("ch"), "cx", "cy").agg(F.min("name").alias("name"))
     accepts = F.when(F.col("kind") == "building", F.array(F.lit("residential"), F.lit("commercial"), F.lit("industrial"))
                      ).otherwise(F.array("kind"))
-    models = settle(models)
-    side = F.broadcast(models) if models.limit(small + 1).count() <= small else models
-    pairs = wanted.withColumn("ckind", F.explode(accepts)).join(side, "ckind")
+    pairs = wanted.withColumn("ckind", F.explode(accepts)).join(settle(models), "ckind")
     both = pairs.withColumn("swapped", F.explode(F.array(F.lit(False), F.lit(True))))
     w = F.when(F.col("swapped"), F.col("cl")).otherwise(F.col("cw"))
     l = F.when(F.col("swapped"), F.col("cw")).otherwise(F.col("cl"))
@@ -175,12 +178,12 @@ def match_candidates(objects: DataFrame, candidates: DataFrame, tiers: int = 2,
         F.col("m.score").alias("score"), F.col("m.cx").alias("cx"), F.col("m.cy").alias("cy"), F.col("m").isNull().alias("unmatched"))
 
 
-def match_summary(matches: DataFrame, examples: int = 20) -> tuple[DataFrame, DataFrame]:
-    """Counts by outcome, and the first distinct example labels."""
+def match_summary(matches: DataFrame, examples: int) -> tuple[DataFrame, DataFrame]:
+    """Counts by outcome, and the first ``examples`` distinct labels."""
     counts = matches.agg(F.count(F.when(F.col("tier") == 0, 1)).alias("tier0"), F.count(F.when(F.col("tier") > 0, 1)).alias("tier1"),
                          F.count(F.when(F.col("unmatched"), 1)).alias("unmatched"))
     label = F.concat_ws(": ", "kind", F.coalesce("name", F.lit("no fitting candidate")))
-    return counts, first_rows(matches.select(label.alias("label")).distinct(), ["label"], examples)
+    return counts, first_rows(matches.select(label.alias("label")).distinct(), ["label"], examples)[0]
 
 
 def closed_way_areas(ways: DataFrame, totals: DataFrame, kind: Column, covered: DataFrame) -> DataFrame:

@@ -20,13 +20,17 @@ def covering_tiles(boxes: DataFrame, zoom: int) -> DataFrame:
     return boxes.withColumn("tx", F.explode(span(x0, x1))).withColumn("ty", F.explode(span(y0, y1)))
 
 
-def partition_bbox(boxes: DataFrame, keys: list[str], part_m: float = PART_M, most: int = 64) -> DataFrame:
-    """Cut each box into equal parts of at most ``part_m`` on the ground; neighbours share their edges."""
+def partition_bbox(boxes: DataFrame, keys: list[str], part_m: float = PART_M, most: int | None = None) -> DataFrame:
+    """Cut each box into equal parts of at most ``part_m`` on the ground; neighbours share their edges.
+
+    With ``most`` a box that needs more parts is an error.
+    """
     w, h = G.ground_extent("south", "west", "north", "east")
     rows = boxes.withColumns({"nx": F.greatest(F.lit(1), F.ceil(w / part_m).cast("int")),
                               "ny": F.greatest(F.lit(1), F.ceil(h / part_m).cast("int"))})
-    fits = F.assert_true(F.col("nx") * F.col("ny") <= most, F.lit("box needs too many parts")).isNull()
-    cells = (rows.where(fits).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("ny") - 1)))
+    if most is not None:
+        rows = rows.where(F.assert_true(F.col("nx") * F.col("ny") <= most, F.lit("box needs too many parts")).isNull())
+    cells = (rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("ny") - 1)))
              .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("nx") - 1))))
     lat = lambda k: F.when(k == F.col("ny"), F.col("north")).otherwise(
         F.col("south") + (F.col("north") - F.col("south")) * k / F.col("ny"))
@@ -37,22 +41,42 @@ def partition_bbox(boxes: DataFrame, keys: list[str], part_m: float = PART_M, mo
                         lon(i + 1).alias("east"))
 
 
-def split_dense_parts(points: DataFrame, boxes: DataFrame, limit: int, smallest_m: float = 1000.0) -> DataFrame:
-    """Halve boxes along their longer ground side until none holds more than ``limit`` points.
+def points_in_boxes(points: DataFrame, boxes: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs of a point (lat, lon) and the half-open boxes that hold it: all columns of the point, and the keys.
 
-    A point belongs to the half-open part it lies in. A round counts points per open part and sends the
-    points of the dense ones down one half, so a crowded corner is split again and again.
+    A box lies in at most four cells of the power of two that its longer side does not exceed. Points are placed in
+    the cells of the sizes that occur, of which there are only as many as binary orders of magnitude.
     """
-    parts = boxes.select(F.lit("p").alias("part"), "south", "west", "north", "east")
+    side = F.greatest(F.col("north") - F.col("south"), F.col("east") - F.col("west"), F.lit(2.0 ** -40))
+    cell = lambda c, level: F.floor(F.col(c) / F.pow(F.lit(2.0), level)).cast("long")
+    span = lambda a, b: F.sequence(cell(a, F.col("_lv")), cell(b, F.col("_lv")))
+    placed = (boxes.select(*keys, "south", "west", "north", "east").withColumn("_lv", F.ceil(F.log2(side)).cast("int"))
+              .withColumn("_ci", F.explode(span("south", "north"))).withColumn("_cj", F.explode(span("west", "east"))))
+    levels = sorted(r[0] for r in placed.select("_lv").distinct().collect())  # at most 50 sizes
+    if not levels:
+        levels = [0]
+    spots = points.withColumn("_lv", F.explode(F.array(*[F.lit(v).cast("int") for v in levels])))
+    spots = spots.withColumn("_ci", cell("lat", F.col("_lv"))).withColumn("_cj", cell("lon", F.col("_lv")))
     inside = (F.col("lat") >= F.col("south")) & (F.col("lat") < F.col("north")) & (F.col("lon") >= F.col("west")) & (F.col("lon") < F.col("east"))
-    member = settle(points.join(F.broadcast(parts.limit(64)), inside).select("lat", "lon", "part"))
+    return spots.join(placed, ["_lv", "_ci", "_cj"]).where(inside).select(*points.columns, *keys)
+
+
+def split_dense_parts(points: DataFrame, boxes: DataFrame, keys: list[str], limit: int, smallest_m: float = 1000.0) -> DataFrame:
+    """Halve boxes along their longer ground side until none holds more than ``limit`` points: keys, part, rows, corners.
+
+    A point belongs to every box, and to the one half-open part of it, that it lies in; ``part`` is the path of halves,
+    from 'p'. A round counts points per open part and sends the points of the dense ones down one half, so a crowded
+    corner is split again and again. Boxes need distinct keys.
+    """
+    parts = settle(boxes.select(*keys, F.lit("p").alias("part"), "south", "west", "north", "east"))
+    member = settle(points_in_boxes(points.select("lat", "lon"), parts, keys).withColumn("part", F.lit("p")))
     done = None
     while True:
-        counts = member.groupBy("part").agg(F.count(F.lit(1)).alias("rows"))
-        sized = parts.join(counts, "part", "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
+        counts = member.groupBy(*keys, "part").agg(F.count(F.lit(1)).alias("rows"))
+        sized = parts.join(counts, [*keys, "part"], "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
         w, h = G.ground_extent("south", "west", "north", "east")
         sized = settle(sized.withColumns({"wide": w >= h, "open": (F.col("rows") > limit) & (F.greatest(w, h) > smallest_m)}))
-        closed = sized.where(~F.col("open")).select("part", "rows", "south", "west", "north", "east")
+        closed = sized.where(~F.col("open")).select(*keys, "part", "rows", "south", "west", "north", "east")
         done = closed if done is None else done.unionByName(closed)
         dense = sized.where("open")
         if dense.isEmpty():
@@ -67,9 +91,9 @@ def split_dense_parts(points: DataFrame, boxes: DataFrame, limit: int, smallest_
                      F.when(wide, mid_lon).otherwise(F.col("west")).alias("west"), F.col("north").alias("north"),
                      F.col("east").alias("east")))
         upper = F.when(wide, F.col("lon") >= mid_lon).otherwise(F.col("lat") >= mid_lat)
-        member = settle(member.join(dense, "part").select(
-            "lat", "lon", F.concat("part", F.when(upper, "1").otherwise("0")).alias("part")))
-        parts = settle(dense.select(F.inline(halves)))
+        member = settle(member.join(dense, [*keys, "part"]).select(
+            *keys, "lat", "lon", F.concat("part", F.when(upper, "1").otherwise("0")).alias("part")))
+        parts = settle(dense.select(*keys, F.inline(halves)))
 
 
 def source_plan(boxes: DataFrame, most: int | None = None) -> DataFrame:

@@ -15,8 +15,8 @@ from geoloom.spec import SceneryOptions
 DEPTH = 0.5  # fixed bed depth of prepared shallow water, metres
 
 
-def face_budget(features: DataFrame, budget: int) -> DataFrame:
-    """Which features fit a shared face budget, in order: feature, faces, accepted.
+def face_budget(features: DataFrame, budget: int | None = None) -> DataFrame:
+    """Which features fit a shared face budget, in order: feature, faces, accepted. Without a budget all do.
 
     A feature is taken whole or not at all, and later ones see what is left. As the remainder only falls,
     the accepted features of one exact size are the first of that size, and at most budget / size of them.
@@ -24,6 +24,8 @@ def face_budget(features: DataFrame, budget: int) -> DataFrame:
     group folds in order. All other features are refused or have no face.
     """
     sized = features.select("feature", "ord", "faces")
+    if budget is None:
+        return sized.select("feature", "faces", F.lit(True).alias("accepted"))
     small = sized.where((F.col("faces") > 0) & (F.col("faces") <= budget))
     hopeful = top_per_key(small, ["faces"], ["ord"], budget, "_rn").where(F.col("_rn") * F.col("faces") <= budget)
 

@@ -236,7 +236,7 @@ def best_match(v):
 
 @query("match_summary", MATCH + "SELECT COUNT(CASE WHEN tier = 0 THEN 1 END) AS tier0, COUNT(CASE WHEN tier > 0 THEN 1 END) AS tier1, COUNT(*) - COUNT(tier) AS unmatched FROM obj LEFT JOIN best USING (item_id)", "candidate")
 def match_summary(v):
-    return S.match_summary(matches(v))[0]
+    return S.match_summary(matches(v), 20)[0]
 
 
 @query("resolve_items", f"""SELECT i.item_id, CASE WHEN i.kind IS NULL OR m.o_orderkey IS NULL THEN 'own' ELSE 'model' || CAST(m.o_custkey AS STRING) END AS model FROM ({ITEM_SQL}) i
@@ -423,7 +423,7 @@ def scatter_points(v):
 
 @query("cap_items", "SELECT o_orderkey AS item_id FROM orders ORDER BY o_custkey, o_orderkey LIMIT 700")
 def cap_items(v):
-    return S.cap_items(v.table("orders").select(F.col("o_orderkey").alias("item_id"), "o_custkey"), ["o_custkey", "item_id"], 700).select("item_id")
+    return S.cap_items(v.table("orders").select(F.col("o_orderkey").alias("item_id"), "o_custkey"), ["o_custkey", "item_id"], 700)[0].select("item_id")
 
 
 @query("face_budget", """WITH RECURSIVE f AS (SELECT o_orderkey AS feature, CAST(FLOOR(o_totalprice / 100) AS BIGINT) AS faces FROM orders),
@@ -476,7 +476,7 @@ def head_with_omitted(v):
  SELECT 'scenery', CAST(SUM(o_orderkey) AS BIGINT) FROM (SELECT o_orderkey FROM orders ORDER BY 1 LIMIT 1200) UNION ALL SELECT 'labels', CAST(SUM(rank) AS BIGINT) FROM (SELECT rank FROM label ORDER BY 1 LIMIT 100) UNION ALL SELECT 'limited', 1""", "expected label")
 def preview_slice(v):
     nodes = v.view("label").select(F.col("rank").alias("node_id"))
-    parts = D.preview_slice(v.view("expected"), nodes, items(v), v.view("label").select(F.col("rank").alias("label_id")))
+    parts = D.preview_slice(v.view("expected"), nodes, items(v), v.view("label").select(F.col("rank").alias("label_id")), (2000, 1200, 100))
     total = lambda df, name, c: df.agg(F.sum(c).alias("total")).select(F.lit(name).alias("part"), "total")
     out = total(parts[0], "edges", "edge_no")
     for df, name, c in ((parts[1], "nodes", "node_id"), (parts[2], "scenery", "item_id"), (parts[3], "labels", "label_id")):
@@ -484,7 +484,10 @@ def preview_slice(v):
     return out.unionByName(parts[4].select(F.lit("limited").alias("part"), F.col("limited").cast("long").alias("total")))
 
 
-@query("fingerprint")
+@query("fingerprint", """WITH h AS (SELECT layer, sha256(concat_ws(chr(31), CAST(col AS VARCHAR), CAST(layer AS VARCHAR), CAST(row AS VARCHAR), COALESCE(CAST(z AS VARCHAR), '\\N'))) AS h FROM cell),
+ s AS (SELECT layer, SUM(CAST('0x' || SUBSTR(h, 1, 12) AS BIGINT)) AS a, SUM(CAST('0x' || SUBSTR(h, 13, 12) AS BIGINT)) AS b, SUM(CAST('0x' || SUBSTR(h, 25, 12) AS BIGINT)) AS c,
+  SUM(CAST('0x' || SUBSTR(h, 37, 12) AS BIGINT)) AS d, COUNT(*) AS n FROM h GROUP BY layer)
+ SELECT layer, SUBSTR(sha256(concat_ws('|', CAST(a AS VARCHAR), CAST(b AS VARCHAR), CAST(c AS VARCHAR), CAST(d AS VARCHAR), CAST(n AS VARCHAR))), 1, 24) AS fingerprint, n AS rows FROM s""", "cell")
 def fingerprint(v):
     return D.fingerprint(v.view("cell"), ["layer"])
 

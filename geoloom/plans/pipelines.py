@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -14,6 +15,10 @@ from geoloom.sources.osm import relation_members
 from geoloom.spec import BiomeOptions, GridSpec, MapSpec, NetworkOptions, SceneryOptions
 
 
+# Which switch turns a kind of point object off.
+POINT_FEATURES = {"tree": "tree_nodes", "fountain": "fountains", "bollard": "bollards", "advertising_column": "advertising_columns"}
+
+
 def convert_map(nodes: DataFrame, ways: DataFrame, relations: DataFrame, spec: MapSpec, network: NetworkOptions = NetworkOptions(),
                 scenery: SceneryOptions = SceneryOptions()) -> dict[str, DataFrame]:
     """Tables of a map dataset: nodes, edges, scenery, labels, water, unavailable, issues."""
@@ -28,20 +33,23 @@ def convert_map(nodes: DataFrame, ways: DataFrame, relations: DataFrame, spec: M
     edges = settle(N.network_edges(ways, way_node, nodes, position, w, h, network))
     area, areas, notes = S.area_edges(ways, relations, members, way_node, position, T.surface_kind)
     areas = settle(areas)
-    planted = areas.where("kind IN ('forest', 'shrubs')").select(
+    on = lambda *names: [n for n in names if scenery.features.get(n, True)]
+    grown = [kind for kind, name in (("forest", "forests"), ("shrubs", "shrubs")) if on(name)]
+    planted = areas.where(F.col("kind").isin(*grown, "")).select(
         "area", F.when(F.col("kind") == "shrubs", scenery.shrub_step).otherwise(scenery.forest_step).alias("step"),
         F.when(F.col("kind") == "shrubs", F.array(*[F.lit(s) for s in scenery.shrubs])).when(
             T.same(T.tag("tags", "leaf_type"), "needleleaved"), F.array(*[F.lit(s) for s in scenery.conifer])).otherwise(
             F.array(*[F.lit(s) for s in scenery.broadleaf])).alias("species"))
     trees = S.scatter_points(area.join(planted.select("area"), "area", "left_semi"), planted, "area", w, h, scenery.jitter, scenery.seed)
-    trees = S.cap_items(trees, ["area", "j", "i"], scenery.max_trees).select(
+    trees = S.cap_items(trees, ["area", "j", "i"], scenery.max_trees)[0].select(
         F.lit("vegetation").alias("category"), F.col("species").alias("cls"), "x", "y", "rotation", F.col("area").alias("source"))
-    paved = areas.where("kind NOT IN ('forest', 'shrubs')").select("area", F.col("kind").alias("cls"))
+    paved = areas.where(F.lit(bool(on("surfaces"))) & ~F.col("kind").isin("forest", "shrubs")).select("area", F.col("kind").alias("cls"))
     faces, _, odd = S.surface_faces(area.join(paved, "area", "left_semi"), ["area"], w, h)
     faces = faces.join(paved, "area").select(F.lit("surfaces").alias("category"), "cls", "face", F.col("area").alias("source"))
 
     name = lambda t, c: F.concat(F.lit(t + ":"), F.col(c).cast("string"))
-    points = S.place_objects(nodes, position, w, h).select("category", F.col("kind").alias("cls"), "x", "y", F.lit(0.0).alias("rotation"),
+    dots = [kind for kind, name in POINT_FEATURES.items() if on(name)]
+    points = S.place_objects(nodes, position, w, h).where(F.col("kind").isin(*dots, "")).select("category", F.col("kind").alias("cls"), "x", "y", F.lit(0.0).alias("rotation"),
                                                            F.col("kind").alias("match_kind"), name("node", "node_id").alias("source"))
     mapped = S.mapped_nodes(nodes, position, w, h).select("category", "x", "y", F.lit(0.0).alias("rotation"), F.col("kind").alias("match_kind"),
                                                           F.col("height").alias("match_height"), name("node", "node_id").alias("source"))
@@ -53,11 +61,12 @@ def convert_map(nodes: DataFrame, ways: DataFrame, relations: DataFrame, spec: M
         "category", F.col("px").alias("x"), F.col("py").alias("y"), "rotation", F.col("kind").alias("match_kind"), F.col("height").alias("match_height"),
         "width", "length", F.col("area").alias("source"))
     water, wet = W.prepare_water(nodes, ways, relations, members, way_node, position, edges.select("x0", "y0", "x1", "y1"), w, h, scenery)
-    wet = wet.select(F.lit("waterways").alias("category"), F.lit("water bed").alias("cls"), "face", "depth", F.col("fid").alias("source"))
+    wet = wet.where(F.lit(bool(on("waterways")))).select(F.lit("waterways").alias("category"), F.lit("water bed").alias("cls"), "face", "depth", F.col("fid").alias("source"))
     items = S.union_features(vegetation=trees, surfaces=faces, objects=points, mapped=mapped, buildings=built, water=wet)
 
     # Place nodes rank before relations and ways, as the first of one name within reach is kept.
     place = nodes.select("node_id", T.place_kind("tags").alias("place"), T.tag("tags", "name").alias("name")).where("place IS NOT NULL").join(position, "node_id")
+    place, boxes = place.where(F.lit(bool(on("place_markers")))), boxes.where(F.lit(bool(on("place_markers"))))
     spots = place.where(on_map("x", "y", w, h)).select("name", "place", "x", "y", F.lit(0).alias("t"), name("node", "node_id").alias("source")).unionByName(
         boxes.where("place IS NOT NULL").select(T.tag("tags", "name").alias("name"), "place", F.col("px").alias("x"), F.col("py").alias("y"),
                                                 F.when(F.col("area").startswith("relation"), 1).otherwise(2).alias("t"), F.col("area").alias("source")))
@@ -74,6 +83,7 @@ class TerrainOptions:
     """Steps of a terrain build; a step with a zero or empty setting is left out."""
 
     fill_m: float = 100.0
+    keep_gaps: bool = False  # else a gap that is wider than fill_m ends the build
     scale: float = 1.0
     offset: float = 0.0
     smoothing_m: float = 0.0
@@ -90,8 +100,9 @@ def build_terrain(samples: DataFrame, by: list[str], grid: GridSpec, options: Te
                   cover: DataFrame | None = None, paint: DataFrame | None = None) -> dict[str, DataFrame]:
     """Cells from vertex samples (by, row, col, source, priority, z): gaps, scale, smoothing, lakes, corridors, strokes, biomes.
 
-    ``samples`` holds a row for every vertex, null where a source has none. ``lakes`` are edges with a lake key,
-    ``lines`` vertices per kind; corridor profiles come from the ground before any refinement.
+    ``samples`` holds a row for every vertex, null where a source has none; a gap that stays open is an error unless
+    gaps are to be kept. ``lakes`` are edges with a lake key. ``lines`` are vertices per kind; they are applied in the order of
+    their line, whatever the kind, and their profiles come from the ground before any refinement.
     """
     prepare(samples.sparkSession)
     every = samples.select(*by, "row", "col").distinct()
@@ -101,13 +112,16 @@ def build_terrain(samples: DataFrame, by: list[str], grid: GridSpec, options: Te
     if options.smoothing_m:
         base = R.gaussian_smooth(base, by, options.smoothing_m / grid.dy, options.smoothing_m / grid.dx)
     base = settle(base)
+    if not options.keep_gaps and (open_ := base.where("z IS NULL").count()):
+        raise ValueError(f"{open_} vertices have no height within {options.fill_m:g} m")
     cells = base
     if lakes is not None:
         values = lakes.select("lake").distinct().withColumns({"value": F.lit(1), "ord": F.lit(1)})
         mask = R.rasterize_polygons(lakes, "lake", values, grid, by)
         cells = settle(R.carve_lakes(cells, mask, by, grid.dx, grid.dy, options.water_level - options.lake_depth, options.lake_feather))
-    for kind, vertices in (lines or {}).items():
-        cells = settle(E.grade_corridors(cells, vertices, by, grid, baseline=base, **getattr(options, kind)))
+    if lines:
+        pulls = [E.corridor_targets(base, vertices, by, grid, **getattr(options, kind)) for kind, vertices in lines.items()]
+        cells = settle(E.fold_targets(cells, reduce(DataFrame.unionByName, pulls), by))
     if strokes is not None:
         cells = settle(E.apply_strokes(cells, strokes, by, grid))
     out = {"cells": cells, "baseline": base, "range": R.elevation_range(cells, base, by)}

@@ -268,7 +268,22 @@ def encode_manual(v):
     return R.encode_heights(v.view("dense"), LAYER, (120.0, 220.0)).select("layer", "row", "col", "code", "clipped")
 
 
-@query("hillshade_preview")
+def _preview_sql():
+    """The preview by window functions, from the fixed values of the operator."""
+    edge = lambda part, order: f"(LAST_VALUE(z) OVER {part} - FIRST_VALUE(z) OVER {part}) / (4e0 * GREATEST(COUNT(*) OVER {part} - 1, 1))"
+    colours = []
+    for i, (name, water) in enumerate(zip("rgb", R.WATER), 1):
+        parts = [f"{float(R.STOPS[0][i])}e0"] + [f"LEAST(GREATEST((t - {t0}e0) / {t1 - t0!r}e0, 0e0), 1e0) * ({b - a})" for (t0, a), (t1, b) in
+                                               zip([(s[0], s[i]) for s in R.STOPS], [(s[0], s[i]) for s in R.STOPS[1:]])]
+        colours.append(f"CASE WHEN z < 104 THEN {water} ELSE CAST(FLOOR(LEAST(GREATEST(({' + '.join(parts)}) * s, 0e0), 255e0)) AS INT) END AS {name}")
+    return f"""WITH g AS (SELECT *, {edge('wr', 'col')} AS gx, {edge('wc', 'row')} AS gy FROM dense
+ WINDOW wr AS (PARTITION BY layer, row ORDER BY col ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), wc AS (PARTITION BY layer, col ORDER BY row ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)),
+ p AS (SELECT *, LEAST(GREATEST((z - MIN(z) OVER l) / GREATEST(1e0, MAX(z) OVER l - MIN(z) OVER l), 0e0), 1e0) AS t,
+  LEAST(GREATEST((gx * -4e-1 + gy * 3e-1 + 6e-1) / SQRT(gx ** 2 + gy ** 2 + 1), 25e-2), 1e0) / 8e-1 AS s FROM g WINDOW l AS (PARTITION BY layer))
+ SELECT layer, row, col, {', '.join(colours)} FROM p"""
+
+
+@query("hillshade_preview", _preview_sql(), "dense")
 def hillshade_preview(v):
     return R.hillshade_preview(v.view("dense"), LAYER, 4.0, 4.0, 104.0)
 

@@ -282,12 +282,25 @@ def partition_bbox(v):
                                         mm(F.sum((F.col("south") + F.col("east")) * 1e6)).alias("middle"))
 
 
-@query("split_dense_parts")
+# Overlapping boxes of several sizes, one for each customer.
+BOXES = [("box", "c_custkey"), ("south", "(c_custkey * 37 % 80) / 1e4"), ("west", "(c_custkey * 53 % 80) / 1e4"),
+         ("north", "(c_custkey * 37 % 80 + 5 + c_custkey % 4 * 10) / 1e4"), ("east", "(c_custkey * 53 % 80 + 5 + c_custkey % 3 * 15) / 1e4")]
+_SIZE = """(RADIANS(e) - RADIANS(w)) * 6378137e0 * COS(RADIANS((s + n) / 2)) AS gw,
+ (LN(TAN(PI() / 4 + RADIANS(n) / 2)) - LN(TAN(PI() / 4 + RADIANS(s) / 2))) * 6378137e0 * COS(RADIANS((s + n) / 2)) AS gh"""
+
+
+@query("split_dense_parts", f"""WITH RECURSIVE b AS (SELECT {', '.join(f'{e} AS {c}' for c, e in BOXES)} FROM customer),
+ t(box, part, s, w, n, e, rows) AS (SELECT box, 'p', south, west, north, east, (SELECT COUNT(*) FROM node WHERE lat >= south AND lat < north AND lon >= west AND lon < east) FROM b
+ UNION ALL SELECT box, part || h, s, w, n, e, (SELECT COUNT(*) FROM node WHERE lat >= s AND lat < n AND lon >= w AND lon < e) FROM
+  (SELECT box, part, h, CASE WHEN gw < gh AND h = '1' THEN (s + n) / 2 ELSE s END AS s, CASE WHEN gw >= gh AND h = '1' THEN (w + e) / 2 ELSE w END AS w,
+   CASE WHEN gw < gh AND h = '0' THEN (s + n) / 2 ELSE n END AS n, CASE WHEN gw >= gh AND h = '0' THEN (w + e) / 2 ELSE e END AS e
+   FROM (SELECT *, {_SIZE} FROM t) d, (VALUES ('0'), ('1')) AS v(h) WHERE rows > 12 AND GREATEST(gw, gh) > 60) c)
+ SELECT box, part, rows, {', '.join(f'CAST(FLOOR({a} * 1e9 + 0.5) AS BIGINT) AS {c}' for a, c in zip('swne', ('south', 'west', 'north', 'east')))}
+ FROM (SELECT *, {_SIZE} FROM t) f WHERE rows <= 12 OR GREATEST(gw, gh) <= 60""", "node")
 def split_dense_parts(v):
-    points = v.view("node").select("node_id", "lat", "lon")
-    box = v.spark.createDataFrame([(0.0, 0.0, 0.02, 0.03)], "south double, west double, north double, east double")
-    parts = tiling.split_dense_parts(points, box, limit=400, smallest_m=60.0)
-    return parts.select("part", "rows", *[F.floor(F.col(c) * 1e9 + 0.5).alias(c) for c in ("south", "west", "north", "east")])
+    boxes = v.table("customer").selectExpr(*[f"{e} AS {c}" for c, e in BOXES])
+    parts = tiling.split_dense_parts(v.view("node").select("node_id", "lat", "lon"), boxes, ["box"], limit=12, smallest_m=60.0)
+    return parts.select("box", "part", "rows", *[F.floor(F.col(c) * 1e9 + 0.5).alias(c) for c in ("south", "west", "north", "east")])
 
 
 @query("source_plan", f"""SELECT node_id, tile FROM (SELECT node_id, UNNEST(GENERATE_SERIES(CAST(FLOOR(a) AS INT), CAST(CEIL(c) AS INT) - 1)) AS la, b, d FROM

@@ -12,9 +12,8 @@ from geoloom.plans.scalar_queries import items
 from geoloom.plans.views import VIEWS
 from geoloom.session import shared_dir
 from geoloom.sources import dataset as D, osm as O
-from geoloom.streaming.apply import latest_cells, stream_apply_features, stream_strokes
+from geoloom.streaming.apply import latest_cells, store_cells, stream_apply_features, stream_strokes
 from geoloom.streaming.ground_grid import stream_ground_grid
-from geoloom.streaming.state import stream_import_state
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -23,15 +22,20 @@ def scratch(v, name):
     return f"{shared_dir(v.spark)}/geoloom/{name}-{uuid.uuid4().hex}"
 
 
-def stream(v, table):
-    """A given table as a file stream."""
-    schema = v.table(table).schema
-    return v.spark.readStream.schema(schema).parquet(f"{v.folder}/{table}*.parquet")
+def stream(v, table, order, pieces=3):
+    """A given table as a stream of several batches: it is cut into files that arrive one after another, by ``order``."""
+    df, path = v.table(table), scratch(v, table)
+    cuts = df.agg(F.percentile_approx(order, [i / pieces for i in range(1, pieces)], 1000)).first()[0] or []
+    bounds = [None, *cuts, None]
+    for low, high in zip(bounds[:-1], bounds[1:]):
+        part = df if low is None else df.where(F.col(order) > low)
+        (part if high is None else part.where(F.col(order) <= high)).coalesce(1).write.mode("append").parquet(path)
+    return v.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-def view_stream(v, name):
+def view_stream(v, name, order):
     table, columns = VIEWS[name]
-    return stream(v, table).selectExpr(*[f"{e} AS {a}" for a, e in columns])
+    return stream(v, table, order).selectExpr(*[f"{e} AS {a}" for a, e in columns])
 
 
 def land(v, df, mode, name):
@@ -48,39 +52,22 @@ def land(v, df, mode, name):
 
 @query("stream_ground_grid", f"WITH g AS ({RQ.GROUND}) SELECT survey, row, col, {MM.format('SUM(z) / COUNT(*)', 'z')}, COUNT(*) AS points FROM g GROUP BY survey, row, col", "point")
 def ground_grid(v):
-    rows = land(v, stream_ground_grid(view_stream(v, "point"), ["survey"], RQ.FIELD), "update", "ground")
+    rows = land(v, stream_ground_grid(view_stream(v, "point", "l_orderkey"), ["survey"], RQ.FIELD), "update", "ground")
     last = rows.groupBy("survey", "row", "col").agg(F.max(F.struct("batch", "total", "points")).alias("s"))
     return last.select("survey", "row", "col", mm(F.col("s.total") / F.col("s.points")).alias("z"), "s.points")
 
 
 @query("stream_apply_features", "SELECT o_custkey % 10 AS dataset_id, o_orderstatus AS section, COUNT(*) AS entities, MIN(o_orderkey) AS first, MAX(o_orderkey) AS last FROM orders GROUP BY 1, 2")
 def apply_features(v):
-    rows = stream(v, "orders").selectExpr("o_custkey % 10 AS dataset_id", "o_orderstatus AS section", "o_orderkey AS index", "o_totalprice AS value")
+    rows = stream(v, "orders", "o_orderkey").selectExpr("o_custkey % 10 AS dataset_id", "o_orderstatus AS section", "o_orderkey AS index", "o_totalprice AS value")
     path = scratch(v, "features")
-    stream_apply_features(rows, path, f"{path}/checkpoint")
-    stream_apply_features(rows, path, f"{path}/checkpoint")  # a second run finds nothing new
+    stream_apply_features(rows, path, f"{path}-checkpoint", step_limit=1)
+    stream_apply_features(rows, path, f"{path}-checkpoint")  # the next run goes on
+    stream_apply_features(rows, path, f"{path}-checkpoint")  # and one more finds nothing new
     journal = v.spark.read.schema("dataset_id long, section string, first long, last long, entities long, status string").parquet(f"{path}/journal/*")
     return journal.groupBy("dataset_id", "section").agg(F.sum("entities").alias("entities"), F.min("first").alias("first"), F.max("last").alias("last"))
 
 
-COMMAND = "CASE event_type WHEN 'signup' THEN 'start' WHEN 'click' THEN 'applied' WHEN 'purchase' THEN 'pause' WHEN 'view' THEN 'resume' ELSE 'section_done' END"
-
-
-@query("stream_import_state", f"""WITH RECURSIVE c AS (SELECT user_id AS dataset_id, event_id AS seq, {COMMAND} AS command, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
- s(dataset_id, seq, i, command, accepted, phase, resume, cursor) AS (SELECT dataset_id, CAST(-1 AS BIGINT), CAST(0 AS BIGINT), '', FALSE, 'ready', 'ready', CAST(0 AS BIGINT) FROM c WHERE i = 1
- UNION ALL SELECT c.dataset_id, c.seq, c.i, c.command,
-  (c.command = 'start' AND s.phase = 'ready') OR (c.command IN ('pause', 'applied', 'section_done') AND s.phase IN ('scenery', 'edges', 'labels')) OR (c.command = 'resume' AND s.phase = 'paused'),
-  CASE WHEN c.command = 'start' AND s.phase = 'ready' THEN 'scenery' WHEN s.phase IN ('scenery', 'edges', 'labels') AND c.command = 'pause' THEN 'paused' WHEN s.phase = 'paused' AND c.command = 'resume' THEN s.resume
-   WHEN s.phase IN ('scenery', 'edges', 'labels') AND c.command = 'section_done' THEN CASE s.phase WHEN 'scenery' THEN 'edges' WHEN 'edges' THEN 'labels' ELSE 'finished' END ELSE s.phase END,
-  CASE WHEN s.phase IN ('scenery', 'edges', 'labels') AND c.command = 'pause' THEN s.phase ELSE s.resume END,
-  CASE WHEN c.command = 'start' AND s.phase = 'ready' THEN 1 WHEN s.phase IN ('scenery', 'edges', 'labels') AND c.command = 'applied' THEN s.cursor + 5 WHEN s.phase IN ('scenery', 'edges', 'labels') AND c.command = 'section_done' THEN 1 ELSE s.cursor END
- FROM s JOIN c ON c.dataset_id = s.dataset_id AND c.i = s.i + 1) SELECT dataset_id, seq, command, accepted, phase, cursor FROM s WHERE i > 0""")
-def import_state(v):
-    commands = stream(v, "events").selectExpr("user_id AS dataset_id", "event_id AS seq", f"{COMMAND} AS command", "5L AS value", "CAST(NULL AS STRING) AS kind")
-    v.spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    return land(v, stream_import_state(commands), "append", "state").select("dataset_id", "seq", "command", "accepted", "phase", "cursor")
-
-
 def _strokes_sql():
     from geoloom.plans.registry import ORACLES
     return ORACLES["apply_strokes"]
@@ -89,8 +76,8 @@ def _strokes_sql():
 @query("stream_strokes", _strokes_sql())
 def strokes(v):
     path = scratch(v, "cells")
-    v.view("dense").write.parquet(f"{path}/version=0")
-    stream_strokes(view_stream(v, "stroke"), path, ["layer"], RQ.TILE, f"{path}-checkpoint")
+    store_cells(v.view("dense"), path, ["layer"])
+    stream_strokes(view_stream(v, "stroke", "event_id"), path, ["layer"], RQ.TILE, f"{path}-checkpoint")
     return latest_cells(v.spark, path, ["layer"]).withColumn("z", mm("z"))
 
 

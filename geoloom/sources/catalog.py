@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from geoloom.functions.geo import bbox_intersects, bbox_touches, finite
-from geoloom.operators.ordered import first_rows, top_per_key
+from geoloom.operators.ordered import first_rows, global_row_number, top_per_key
+from geoloom.session import settle
 from geoloom.spec import Bounds
 
-MOST_ASSETS = 4096  # per catalogue; more means the search was cut short
-MOST_FILES = 1000   # listed local files
-
 FEATURE = ("STRUCT<collection: STRING, bbox: ARRAY<DOUBLE>, properties: STRUCT<datetime: STRING>, "
            "assets: MAP<STRING, STRUCT<href: STRING, `file:size`: BIGINT, roles: ARRAY<STRING>, type: STRING>>>")
 
@@ -25,13 +23,18 @@ def read_pages(pages: DataFrame, text: str, catalog: str) -> DataFrame:
                         box(0).alias("minx"), box(1).alias("miny"), box(2).alias("maxx"), box(3).alias("maxy"))
 
 
-def ingest_catalog(assets: DataFrame, box: tuple[float, float, float, float], most: int = MOST_ASSETS) -> DataFrame:
-    """Usable assets of each catalogue, newest first: one row per URL, at most ``most``, with a truncated flag."""
+def ingest_catalog(assets: DataFrame, box: tuple[float, float, float, float], most: int | None = None) -> DataFrame:
+    """Usable assets of each catalogue: one row per URL, with a truncated flag and, under a cap, its place from the newest.
+
+    With ``most`` only the newest of each catalogue stay; without, all do and rank is null.
+    """
     usable = F.lower(F.regexp_extract("url", r"^https://[^/]+(/[^?#]*)", 1)).rlike(r"\.tiff?$")
     near = bbox_intersects(("minx", "miny", "maxx", "maxy"), [F.lit(float(v)) for v in box])
     per_url = assets.where(usable & near).groupBy("catalog_id", "url").agg(
         F.max(F.struct("date", "bytes", "minx", "miny", "maxx", "maxy")).alias("a"))
     rows = per_url.select("catalog_id", "url", "a.*")
+    if most is None:
+        return rows.withColumns({"rank": F.lit(None).cast("int"), "truncated": F.lit(False)})
     kept = top_per_key(rows, ["catalog_id"], [F.desc("date"), "url"], most, "rank")
     size = rows.groupBy("catalog_id").agg((F.count(F.lit(1)) > most).alias("truncated"))
     return kept.join(size, "catalog_id")
@@ -101,21 +104,19 @@ def overlapping_files(extents: DataFrame, bounds: Bounds) -> DataFrame:
     return extents.where(~known | near).withColumn("coverage", F.when(known, "overlap").otherwise("unknown"))
 
 
-def rank_files(files: DataFrame, most: int = MOST_FILES) -> DataFrame:
-    """The listed files: overlaps before unknowns, by name and path.
+def rank_files(files: DataFrame, most: int | None = None) -> DataFrame:
+    """The listed files with their place: overlaps before unknowns, by name and path. ``scan`` numbers their arrival.
 
-    Files arrive in scan order. A full list takes a further overlap only in place of its oldest unknown,
-    so overlaps stay in arrival order and unknowns are those of the first arrivals that were not pushed out.
+    With ``most`` a full list takes a further overlap only in place of its oldest unknown, so overlaps stay in
+    arrival order and unknowns are those of the first arrivals that were not pushed out.
     """
-    overlap = first_rows(files.where("coverage = 'overlap'"), ["scan"], most)
-    early = first_rows(files, ["scan"], most).where("coverage = 'unknown'")
-    taken = overlap.agg(F.count(F.lit(1)).alias("_taken"))
-    # At most ``most`` rows reach this window.
-    late = early.withColumn("_r", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.desc("scan"))))
-    unknown = late.join(F.broadcast(taken.limit(1)), F.lit(True)).where(F.col("_r") <= most - F.col("_taken")).drop("_r", "_taken")
-    rows = overlap.unionByName(unknown)
-    order = Window.partitionBy(F.lit(1)).orderBy(F.col("coverage") != "overlap", F.lower("name"), F.lower("path"))
-    return rows.withColumn("place", F.row_number().over(order))
+    if most is not None:
+        overlap = settle(first_rows(files.where("coverage = 'overlap'"), ["scan"], most)[0])
+        early = first_rows(files, ["scan"], most)[0].where("coverage = 'unknown'")
+        room = most - overlap.count()
+        files = overlap.unionByName(first_rows(early, [F.desc("scan")], room)[0])
+    return global_row_number(files.withColumns({"_c": F.col("coverage") != "overlap", "_n": F.lower("name"), "_q": F.lower("path")}),
+                             ["_c", "_n", "_q", "scan"], "place").drop("_c", "_n", "_q")
 
 
 def classify_sources(sources: DataFrame) -> DataFrame:

@@ -14,17 +14,15 @@ REPORT = ("dataset STRING, input STRING, bounds ARRAY<DOUBLE>, mapSize ARRAY<DOU
           "placeLabels BIGINT, waterFeatures BIGINT, format STRING, converterDataset STRING")
 
 
-def row_hash(df: DataFrame) -> DataFrame:
-    return df.select(F.sha2(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}), 256).alias("h"))
-
-
 def fingerprint(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     """24 hex digits that depend on the rows and their number, not on their order or partitioning.
 
-    Row hashes are added up as four numbers per row, which combine in any order; the totals are hashed.
+    A row is hashed as the texts of its values in the order of their names; four numbers of the hash are added up
+    over the rows, which combine in any order, and the totals are hashed.
     """
     by = by or []
-    hashed = df.select(*by, F.sha2(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}), 256).alias("h"))
+    texts = [F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in sorted(df.columns)]
+    hashed = df.select(*by, F.sha2(F.concat_ws("\x1f", *texts), 256).alias("h"))
     word = lambda i: F.conv(F.substring("h", 1 + 12 * i, 12), 16, 10).cast("decimal(20,0)")
     sums = hashed.groupBy(*by).agg(*[F.sum(word(i)).alias(f"w{i}") for i in range(4)], F.count(F.lit(1)).alias("n"))
     whole = F.sha2(F.concat_ws("|", *[F.col(f"w{i}").cast("string") for i in range(4)], F.col("n").cast("string")), 256)
@@ -52,10 +50,23 @@ def write_map_dataset(tables: dict[str, DataFrame], folder: str, manifest: dict)
         marks.append(f"{name}:{mark['fingerprint']}")
     dataset = spark.range(1).select(F.substring(F.sha2(F.lit(json.dumps([manifest, marks], sort_keys=True)), 256), 1, 24)).first()[0]
     body = json.dumps({**manifest, "dataset": dataset, "version": version, "counts": counts, "marks": marks}, sort_keys=True)
-    spark.createDataFrame([(body,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/manifest")
+    spark.createDataFrame([(body,)], "value string").coalesce(1).write.text(f"{folder}/manifest-{version}")
+    _swap(spark, f"{folder}/manifest-{version}", f"{folder}/manifest")
     return dataset
 
 
+def _swap(spark: SparkSession, new: str, name: str) -> None:
+    """Give a finished folder its name. An older holder of the name is moved aside first and deleted after."""
+    path = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    fs = path(name).getFileSystem(spark._jsc.hadoopConfiguration())
+    old = f"{new}-old"
+    had = fs.exists(path(name))
+    if had and not fs.rename(path(name), path(old)) or not fs.rename(path(new), path(name)):
+        raise OSError(f"cannot give {new} the name {name}")
+    if had:
+        fs.delete(path(old), True)
+
+
 def read_map_dataset(spark: SparkSession, folder: str, schemas: dict, verify: bool = True) -> tuple[dict[str, DataFrame], dict]:
     manifest = json.loads(spark.read.text(f"{folder}/manifest").first()[0])
     tables = {name: spark.read.schema(schemas[name]).parquet(f"{folder}/data-{manifest['version']}/{name}") for name in manifest["counts"]}
@@ -75,8 +86,8 @@ def read_report(spark: SparkSession, path: str) -> DataFrame:
     return out.where(F.assert_true(good, F.lit("not a conversion report")).isNull())
 
 
-def preview_slice(edges: DataFrame, nodes: DataFrame, scenery: DataFrame, labels: DataFrame, most=(2000, 1200, 100)):
-    """First edges with the nodes they use, first scenery and labels, and whether anything was left out."""
+def preview_slice(edges: DataFrame, nodes: DataFrame, scenery: DataFrame, labels: DataFrame, most: tuple[int, int, int]):
+    """The first ``most`` edges with the nodes they use, first scenery and labels, and whether anything was left out."""
     e = edges.orderBy("edge_no").limit(most[0])
     used = e.select(F.explode(F.array("node0", "node1")).alias("node_id")).distinct()
     s, l = scenery.orderBy("item_id").limit(most[1]), labels.orderBy("label_id").limit(most[2])
@@ -85,7 +96,7 @@ def preview_slice(edges: DataFrame, nodes: DataFrame, scenery: DataFrame, labels
     return e, nodes.join(used, "node_id", "left_semi"), s, l, limited
 
 
-def head_with_omitted(rows: DataFrame, by: list[str], order: list, most: int = 30) -> DataFrame:
+def head_with_omitted(rows: DataFrame, by: list[str], order: list, most: int) -> DataFrame:
     """First rows per key and how many were left out."""
     top = top_per_key(rows, by, order, most, "place")
     size = rows.groupBy(*by).agg(F.greatest(F.count(F.lit(1)) - most, F.lit(0)).alias("omitted"))
@@ -95,4 +106,5 @@ def head_with_omitted(rows: DataFrame, by: list[str], order: list, most: int = 3
 def write_height_tiles(cells: DataFrame, folder: str, side: int = 128) -> None:
     """Heights, encoded heights and biomes as tiles in tile folders."""
     tile = cells.withColumns({"tr": F.floor(F.col("row") / side).cast("int"), "tc": F.floor(F.col("col") / side).cast("int")})
-    tile.repartition("tr", "tc").sortWithinPartitions("tr", "tc", "row", "col").write.partitionBy("tr", "tc").parquet(folder)
+    keys = [c for c in ("tr", "tc", "layer", "map_id", "map") if c in tile.columns]
+    tile.repartition(*keys).sortWithinPartitions(*keys, "row", "col").write.partitionBy("tr", "tc").parquet(folder)

@@ -25,8 +25,8 @@ def _tags():
 def read_osm(spark: SparkSession, path: str, strict: bool = True) -> dict[str, DataFrame]:
     """nodes, ways, relations and bounds of an XML extract, one pass per element.
 
-    Reference order and duplicates are kept; the last of two equal tag keys wins. Land the result as
-    Parquet before heavy work.
+    Reference order and duplicates are kept; of two equal tag keys, and of two entities of one kind with the same id, the
+    last in the extract wins. Land the result as Parquet before heavy work.
     """
     if not path.rstrip("/").lower().endswith((".osm", ".xml", "*")):
         raise ValueError("use map XML ending in .osm or .xml")
@@ -43,11 +43,20 @@ def read_osm(spark: SparkSession, path: str, strict: bool = True) -> dict[str, D
     relations = rows["relation"].select(
         F.col("_id").alias("rel_id"), F.transform(F.coalesce("member", F.array()), lambda m: F.struct(
             m["_type"].alias("type"), m["_ref"].alias("ref"), m["_role"].alias("role"))).alias("members"), _tags().alias("tags"))
+    nodes, ways, relations = _last(nodes, "node_id"), _last(ways, "way_id"), _last(relations, "rel_id")
     bounds = rows["bounds"].select(F.col("_minlat").alias("south"), F.col("_minlon").alias("west"), F.col("_maxlat").alias("north"),
                                    F.col("_maxlon").alias("east"))
     return {"nodes": nodes, "ways": ways, "relations": relations, "bounds": bounds}
 
 
+def _last(rows: DataFrame, key: str) -> DataFrame:
+    """The last row of each id, by place in the extract; rows without an id stay as they are."""
+    whole = F.struct(*[c for c in rows.columns if c != key]).alias("_row")
+    placed = rows.select(key, whole, F.monotonically_increasing_id().alias("_at"))
+    last = placed.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by("_row", "_at").alias("_row"))
+    return last.unionByName(placed.where(F.col(key).isNull()).drop("_at")).select(*[key if c == key else f"_row.{c}" for c in rows.columns])
+
+
 def relation_members(relations: DataFrame) -> DataFrame:
     return relations.select("rel_id", F.posexplode("members").alias("seq", "m")).select("rel_id", "seq", "m.type", "m.ref", "m.role")
 
@@ -58,8 +67,12 @@ def validate_osm(nodes: DataFrame, ways: DataFrame, relations: DataFrame, notes:
     where = finite("lat") & finite("lon") & F.col("lat").between(-90, 90) & F.col("lon").between(-180, 180)
     n = nodes.select(F.lit("node").alias("kind"), F.col("node_id").cast("string").alias("id"),
                      F.when(blank("node_id"), "no id").when(~where, "bad coordinates").alias("reason"))
-    w = ways.select(F.lit("way").alias("kind"), F.col("way_id").cast("string").alias("id"), F.when(blank("way_id"), "no id").alias("reason"))
-    r = relations.select(F.lit("relation").alias("kind"), F.col("rel_id").cast("string").alias("id"), F.when(blank("rel_id"), "no id").alias("reason"))
+    w = ways.select(F.lit("way").alias("kind"), F.col("way_id").cast("string").alias("id"), F.when(blank("way_id"), "no id").when(F.size("refs") == 0, "no references")
+                    .when(F.exists("refs", lambda x: x.isNull()), "a reference without a node").alias("reason")) if "refs" in ways.columns else ways.select(
+        F.lit("way").alias("kind"), F.col("way_id").cast("string").alias("id"), F.when(blank("way_id"), "no id").alias("reason"))
+    r = relations.select(F.lit("relation").alias("kind"), F.col("rel_id").cast("string").alias("id"), F.when(blank("rel_id"), "no id").when(
+        F.exists("members", lambda m: m["ref"].isNull() | ~F.coalesce(m["type"], F.lit("")).isin("node", "way", "relation")), "a member without a target").alias("reason")) \
+        if "members" in relations.columns else relations.select(F.lit("relation").alias("kind"), F.col("rel_id").cast("string").alias("id"), F.when(blank("rel_id"), "no id").alias("reason"))
     rows = n.unionByName(w).unionByName(r)
     rejects = rows.where("reason IS NOT NULL")
     if notes is not None:
@@ -72,15 +85,16 @@ def merge_osm_parts(entities: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Rows have part, kind, id, attrs (map) and children (ordered array). Attribute order is no content, so
     the signature sorts attributes. Copies of one entity combine before the shuffle; the same id with two
-    signatures is a conflict.
+    signatures is a conflict. Unique entities keep their attrs and children.
     """
     attrs = F.array_sort(F.map_entries("attrs"))
     sig = F.sha2(F.to_json(F.struct(attrs.alias("a"), F.col("children").alias("c"))), 256)
     rows = entities.withColumn("sig", sig)
     out = rows.groupBy("kind", "id").agg(F.min("part").alias("part"), F.min("sig").alias("sig"), F.max("sig").alias("_other"),
-                                         F.count(F.lit(1)).alias("copies"))
+                                         F.count(F.lit(1)).alias("copies"), F.first(F.struct("attrs", "children")).alias("_body"))
     conflict = F.col("sig") != F.col("_other")
-    return out.where(~conflict).drop("_other"), out.where(conflict).select("kind", "id")
+    whole = out.where(~conflict).select("kind", "id", "part", "sig", "copies", "_body.attrs", "_body.children")
+    return whole, out.where(conflict).select("kind", "id")
 
 
 def dataset_bounds(explicit: DataFrame, nodes: DataFrame) -> DataFrame:

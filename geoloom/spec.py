@@ -54,16 +54,19 @@ class GridSpec:
         return self.height / (self.ny - 1)
 
 
-# Fixed limits of a terrain grid.
-MIN_SIDE, MAX_SIDE, MAX_CELLS = 33, 16385, 53_000_000
+# The sides and the size that an importer of 16-bit height maps takes.
+IMPORT_LIMITS = (33, 16385, 53_000_000)
 
 
-def grid_spec(width: float, height: float, spacing: float | None = 4.0, nx: int | None = None,
-              ny: int | None = None) -> GridSpec:
+def grid_spec(width: float, height: float, spacing: float | None = 4.0, nx: int | None = None, ny: int | None = None,
+              limits: tuple[int, int, int] | None = None) -> GridSpec:
+    """A grid from a spacing or from its sides. ``limits`` (least side, largest side, most vertices) are checked only if given."""
     if spacing is not None and nx is None:
         nx, ny = round(width / spacing) + 1, round(height / spacing) + 1
-    if min(nx, ny) < MIN_SIDE or max(nx, ny) > MAX_SIDE or nx * ny > MAX_CELLS:
-        raise ValueError("grid sides must be 33..16385 with at most 53 million vertices")
+    if min(nx, ny) < 2:
+        raise ValueError("a grid has at least two vertices a side")
+    if limits and (min(nx, ny) < limits[0] or max(nx, ny) > limits[1] or nx * ny > limits[2]):
+        raise ValueError(f"grid sides must be {limits[0]}..{limits[1]} with at most {limits[2]} vertices")
     return GridSpec(float(width), float(height), int(nx), int(ny))
 
 
@@ -94,20 +97,20 @@ class SceneryOptions:
     forest_step: float = 18.0
     shrub_step: float = 14.4
     jitter: float = 0.3
-    max_trees: int = 100_000
+    max_trees: int | None = None  # a cap on scattered vegetation, if one is wanted
     seed: str = ""
     broadleaf: tuple = ("Oak", "Linden", "Maple")
     conifer: tuple = ("Fir", "Pine")
     shrubs: tuple = ("Hazel", "Azalea")
     waterway_width: float = 2.0
-    face_budget: int = 30_000
+    face_budget: int | None = None  # a budget of water faces, if one is wanted
     corridor_margin: float = 20.0
 
     def __post_init__(self):
         if not 0 <= self.jitter <= 0.49 or self.forest_step < 2 or self.shrub_step < 2:
             raise ValueError("steps are at least 2 m and jitter at most 0.49")
-        if not 0 <= self.max_trees <= 1_000_000:
-            raise ValueError("the vegetation cap is 0..1,000,000")
+        if self.max_trees is not None and self.max_trees < 0:
+            raise ValueError("a vegetation cap is not negative")
 
 
 @dataclass(frozen=True)

@@ -4,13 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from geoloom.operators.raster import ground_cells
 from geoloom.spec import GridSpec
 
 
 def stream_ground_grid(points: DataFrame, by: list[str], grid: GridSpec, ground: int = 2) -> DataFrame:
-    """Running sum and count of ground heights per cell; use output mode update or complete."""
-    left, top = -grid.width / 2 - grid.dx / 2, grid.height / 2 + grid.dy / 2
-    row, col = F.floor((F.lit(top) - F.col("y")) / grid.dy).cast("long"), F.floor((F.col("x") - left) / grid.dx).cast("long")
-    rows = points.where((F.col("classification") == ground) & ~F.col("withheld")).select(*by, row.alias("row"), col.alias("col"), F.col("z").cast("double").alias("z"))
-    inside = F.col("row").between(0, grid.ny - 1) & F.col("col").between(0, grid.nx - 1)
-    return rows.where(inside).groupBy(*by, "row", "col").agg(F.sum("z").alias("total"), F.count(F.lit(1)).alias("points"))
+    """Running sum and count of finite ground heights per cell; use output mode update or complete."""
+    return ground_cells(points, by, grid, ground).groupBy(*by, "row", "col").agg(F.sum("z").alias("total"), F.count(F.lit(1)).alias("points"))

@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import Window, functions as F
 
 from geoloom.operators import ordered as O
@@ -47,8 +48,15 @@ def test_links_chain_and_cycle(spark):
 def test_first_rows_over_ranges(spark):
     df = hot(spark).repartition(7)
     for limit in (1, 999, 2500, 4000, 9000):
-        got = O.first_rows(df, ["v", "i"], limit, small=0)
-        assert sorted(r.i for r in got.collect()) == sorted(r.i for r in df.orderBy("v", "i").limit(limit).collect())
+        got, left = O.first_rows(df, ["v", "i"], limit)
+        want = [r.i for r in df.orderBy("v", "i").collect()]
+        assert sorted(r.i for r in got.collect()) == sorted(want[:limit]) and sorted(r.i for r in left.collect()) == sorted(want[limit:])
+
+
+def test_a_place_that_comes_twice_is_an_error(spark):
+    df = spark.createDataFrame([("w", 0, 1.0), ("w", 1, 2.0), ("w", 1, 3.0), ("w", 2, 4.0)], "k string, i long, v double")
+    with pytest.raises(Exception, match="a place comes twice"):
+        O.pair_up(df, ["k"], "i", ["v"]).collect()
 
 
 def test_top_of_a_hot_key(spark):

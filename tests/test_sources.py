@@ -29,6 +29,31 @@ def test_extract_needs_nodes_and_good_coordinates(spark, tmp_path):
     assert way.refs == ["1", "1"] and way.tags == {"a": "2"}
 
 
+def test_the_last_of_equal_ids_wins(spark, tmp_path):
+    path = tmp_path / "c.osm"
+    path.write_text('<osm><node id="1" lat="1" lon="1"/><node id="2" lat="2" lon="2"/><node id="1" lat="3" lon="3"><tag k="a" v="b"/></node>'
+                    '<way id="5"><nd ref="1"/></way><way id="5"><nd ref="2"/><nd ref="1"/></way></osm>')
+    tables = O.read_osm(spark, str(path))
+    assert sorted((r.node_id, r.lat, r.tags) for r in tables["nodes"].collect()) == [("1", 3.0, {"a": "b"}), ("2", 2.0, {})]
+    assert [(r.way_id, r.refs) for r in tables["ways"].collect()] == [("5", ["2", "1"])]
+
+
+def test_dense_boxes_split_alone(spark):
+    points = spark.createDataFrame([(.001 * (i % 10) + .0005, .001 * (i // 10) + .0005) for i in range(100)] + [(.0005, .0005)] * 50, "lat double, lon double")
+    boxes = spark.createDataFrame([("a", 0.0, 0.0, .01, .01), ("b", 0.0, 0.0, .005, .01), ("far", 1.0, 1.0, 1.1, 1.1)], "k string, south double, west double, north double, east double")
+    rows = tiling.split_dense_parts(points, boxes, ["k"], 30, 100.0).collect()
+    total = {k: sum(r.rows for r in rows if r.k == k) for k in "ab"}
+    assert total == {"a": 150, "b": 100} and [(r.part, r.rows) for r in rows if r.k == "far"] == [("p", 0)]
+    assert max(r.rows for r in rows if r.k == "a" and not (r.south == 0 and r.west == 0)) <= 30
+    assert {(r.part, r.rows) for r in rows if r.k == "b"} != {(r.part, r.rows) for r in rows if r.k == "a"}
+
+
+def test_merged_entities_keep_their_content(spark):
+    rows = [(1, "node", 1, {"a": "1"}, ["x"]), (2, "node", 1, {"a": "1"}, ["x"])]
+    good, _ = O.merge_osm_parts(spark.createDataFrame(rows, "part int, kind string, id int, attrs map<string,string>, children array<string>"))
+    assert [(r.copies, r.attrs, r.children) for r in good.collect()] == [(2, {"a": "1"}, ["x"])]
+
+
 def test_binary_tiles(spark, tmp_path):
     grid = np.arange(25, dtype=">i2").reshape(5, 5)
     grid[0, 0] = -32768
@@ -104,8 +129,8 @@ def test_parts_cover_their_box(spark):
 
 def test_dense_parts_split_until_small(spark):
     points = spark.range(2000).selectExpr("1e-3 * (id % 50) / 50 AS lat", "1e-3 * (id / 50) / 50 AS lon")
-    box = spark.createDataFrame([(0.0, 0.0, 0.1, 0.1)], "south double, west double, north double, east double")
-    parts = tiling.split_dense_parts(points, box, 300, smallest_m=10.0).collect()
+    box = spark.createDataFrame([(0, 0.0, 0.0, 0.1, 0.1)], "k int, south double, west double, north double, east double")
+    parts = tiling.split_dense_parts(points, box, ["k"], 300, smallest_m=10.0).collect()
     assert sum(p["rows"] for p in parts) == 2000 and max(p["rows"] for p in parts) <= 300
     assert abs(sum((p.north - p.south) * (p.east - p.west) for p in parts) - .01) < 1e-12
 
