@@ -213,7 +213,8 @@ def hits(chunks: DataFrame, packed: Callable, anchors: Callable, width: int) ->
 def gathered(chunks: DataFrame, found: DataFrame, *columns: str) -> DataFrame:
     """Chunks with their found places: one row for each chunk, null where nothing was found."""
     mine = found.groupBy("chunk").agg(F.collect_list("places").alias("places"))  # at most four bytes for each unit of the chunk
-    return chunks.select("chunk", *columns).join(mine, "chunk", "left")
+    # The places build the hash table and the texts stream past it, at every size.
+    return chunks.select("chunk", *columns).join(mine.hint("shuffle_hash"), "chunk", "left")
 
 
 def places_of(bodies: list[bytes] | None) -> np.ndarray:
