@@ -89,20 +89,24 @@ def member_order(ways: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """Connected component of every node: node, label (smallest node in it). Edges are a, b.
 
-    Each round takes the smallest label among neighbours and then the label of that label, so chains
-    shrink by doubling. Minima combine before the shuffle, so hub nodes cost no more than their edges.
+    Each round joins every node with its neighbour of smallest hash, itself included, and keeps only the edges between
+    different images, so finished components and inner edges leave the work. Hashes change with the round, so a constant share of
+    the nodes goes in each, whatever the order of the ids. Minima combine before the shuffle, so hub nodes cost no more than their edges.
     """
-    both = settle(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = settle(both.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node")))
-    while True:
-        seen = both.join(label.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        best = label.join(seen, "node").select("node", "label", F.least("label", "near").alias("next"))
-        jump = label.select(F.col("node").alias("next"), F.col("label").alias("far"))
-        out = settle(best.join(jump, "next").select("node", F.col("label").alias("old"), F.least("next", "far").alias("label")))
-        moved = not out.where("old <> label").isEmpty()
-        label = out.select("node", "label")
-        if not moved:
-            return label
+    nodes = settle(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    links, images = settle(edges.select("a", "b").where("a <> b").distinct()), []
+    while not links.isEmpty():
+        rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(len(images))).alias("h"), F.col(c).alias("id"))
+        both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        image = settle(both.groupBy("a").agg(F.min(rank("b")).alias("m")).select("a", F.least("m", rank("a"))["id"].alias("to")))
+        images.append(image)
+        links = settle(links.join(image, "a").select("b", F.col("to").alias("x")).join(image.select(F.col("a").alias("b"), "to"), "b")
+                       .where("x <> to").select(F.col("x").alias("a"), F.col("to").alias("b")).distinct())
+    out = nodes.withColumn("root", F.col("node"))
+    for image in images:
+        out = out.join(image.withColumnRenamed("a", "root"), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    out = settle(out)
+    return out.join(out.groupBy("root").agg(F.min("node").alias("label")), "root").select("node", "label")
 
 
 def connected_groups(edges: DataFrame) -> DataFrame:

@@ -45,28 +45,25 @@ def block_running_sum(df: DataFrame, keys: list[str], order: list, value: Column
 def pair_up(df: DataFrame, keys: list[str], idx: str, values: list[str], size: str | None = None) -> DataFrame:
     """Consecutive rows of each key side by side: columns v0 and v1 for every value v.
 
-    Each row is sent to the pair it opens and the pair it closes, and pairs meet by (key, position):
-    one shuffle, no window, no group larger than two rows. ``size`` names the column with the key's
-    row count when the last row pairs with the first (closed rings); without it lines stay open. A place
-    that comes twice is an error, since no order could tell which of the two rows is meant.
+    A key is cut into blocks of places, and the first row of a block is lent to the block before, so each row is
+    shuffled once and no task holds a key. ``size`` names the column with the key's row count when the last row pairs with the
+    first (closed rings); without it lines stay open. A place that comes twice is an error, since no order could tell
+    which of the two rows is meant.
     """
     place = F.col(idx).cast("long")
-    if size is None:
-        opens = F.struct(place.alias("at"), F.lit(True).alias("head"))
-        closes = F.struct((place - 1).alias("at"), F.lit(False).alias("head"))
-    else:
+    seat = lambda at, block: F.struct(at.alias("at"), block.cast("long").alias("blk"))
+    block = lambda at: F.floor(at / BLOCK)
+    seats = [seat(place, block(place)), F.when((place > 0) & (place % BLOCK == 0), seat(place, block(place) - 1))]
+    if size is not None:
         n = F.col(size).cast("long")
-        opens = F.struct(place.alias("at"), F.lit(True).alias("head"))
-        closes = F.struct(((place + n - 1) % n).alias("at"), F.lit(False).alias("head"))
-    sides = df.select(*keys, *values, F.explode(F.array(opens, closes)).alias("_s")).where(F.col("_s.at") >= 0)
-    head = F.col("_s.head")
-    aggs = [F.max(F.when(head, F.col(v))).alias(f"{v}0") for v in values]
-    aggs += [F.max(F.when(~head, F.col(v))).alias(f"{v}1") for v in values]
-    met = (sides.groupBy(*keys, F.col("_s.at").alias(idx))
-           .agg(*aggs, F.count(F.when(head, 1)).alias("_h"), F.count(F.when(~head, 1)).alias("_t")))
-    twice = (F.col("_h") > 1) | (F.col("_t") > 1)
+        seats.append(F.when(place == 0, seat(n, block(n - 1))))
+    rows = df.select(*keys, *values, F.explode(F.array_compact(F.array(*seats))).alias("_s")).select(*keys, *values, "_s.at", "_s.blk")
+    w = Window.partitionBy(*keys, "blk").orderBy("at")
+    out = rows.select(*keys, F.col("at").alias(idx), "blk", F.lead("at").over(w).alias("_next"), *[F.col(v).alias(f"{v}0") for v in values],
+                      *[F.lead(v).over(w).alias(f"{v}1") for v in values])
     fault = F.raise_error(F.concat(F.lit("a place comes twice in a line, at "), F.col(idx).cast("string"))).cast("boolean")
-    return met.where(F.when(twice, fault).otherwise((F.col("_h") == 1) & (F.col("_t") == 1))).drop("_h", "_t")
+    good = F.when(F.col("_next") == F.col(idx), fault).otherwise((F.col("_next") == F.col(idx) + 1) & (block(F.col(idx)) == F.col("blk")))
+    return out.where(good).drop("blk", "_next")
 
 
 def rank_links(links: DataFrame, keys: list[str], longest: int) -> DataFrame:

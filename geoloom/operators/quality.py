@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from geoloom.functions import tags as T
 from geoloom.functions.geo import dist, on_map
+from geoloom.operators.graph import connected_groups
 
 
 def count_entities(nodes: DataFrame, ways: DataFrame, relations: DataFrame) -> DataFrame:
@@ -83,12 +84,6 @@ def reconcile_edges(expected: DataFrame, observed: DataFrame) -> DataFrame:
                        (F.col("le") - wrong).alias("missing"), (F.col("lo") - wrong).alias("extra"))
 
 
-def item_key(kind: Column, name: Column, x: Column, y: Column, rotation: Column) -> Column:
-    """Canonical key of a placed item; coordinates to six decimals."""
-    part = lambda c: F.format_string("%.6f", c)
-    return F.concat_ws("|", kind, name, part(x), part(y), part(rotation))
-
-
 def reconcile_items(expected: DataFrame, found: DataFrame) -> DataFrame:
     """Keys whose counts differ: key, expected, found, missing, extra."""
     e = expected.groupBy("key").agg(F.count(F.lit(1)).alias("expected"))
@@ -195,15 +190,27 @@ def check_manifest(manifest: DataFrame, actual: DataFrame) -> DataFrame:
     return both.where("NOT (stored <=> actual)")
 
 
-def audit_verdict(problems: DataFrame, partial: Column) -> DataFrame:
-    """problems / partial / ok from problem rows (kind) and a flag for unverified heights."""
-    return problems.agg(F.count(F.lit(1)).alias("problems")).select(
-        "problems", F.when(F.col("problems") > 0, "problems").when(partial, "partial").otherwise("ok").alias("state"))
+def audit_verdict(metrics: DataFrame, partial: bool = False) -> DataFrame:
+    """One row: problems of all metrics, and the state problems, partial (something could not be looked at) or ok."""
+    total = metrics.agg(F.coalesce(F.sum("problems"), F.lit(0)).alias("problems"))
+    return total.withColumn("state", F.when(F.col("problems") > 0, "problems").when(F.lit(partial), "partial").otherwise("ok"))
+
+
+def _counted(name: str, expected: DataFrame, found: DataFrame, problems: DataFrame) -> DataFrame:
+    """A metric from the sizes of two tables and one row of problems."""
+    size = lambda df, c: df.agg(F.count(F.lit(1)).alias(c))
+    rows = size(expected, "expected").join(size(found, "current"), F.lit(True)).join(problems, F.lit(True))
+    return rows.select(F.lit(name).alias("metric"), "expected", "current", "problems")
 
 
 def reconcile_import(expected_edges: DataFrame, observed_edges: DataFrame, expected_items: DataFrame, found_items: DataFrame,
-                     expected_nodes: DataFrame, observed_nodes: DataFrame, tolerance: float = 0.01) -> DataFrame:
-    """The whole audit as metrics: metric, expected, current, problems."""
+                     expected_nodes: DataFrame, observed_nodes: DataFrame, tolerance: float = 0.01, labels: tuple[DataFrame, DataFrame] | None = None,
+                     counters: tuple[DataFrame, DataFrame] | None = None, groups: bool = False) -> DataFrame:
+    """The whole audit as metrics: metric, expected, current, problems.
+
+    ``labels`` are the expected and the found names (key), ``counters`` the stored and the actual counts (field, stored or actual);
+    with ``groups`` the connected parts of both networks are counted too. ``audit_verdict`` sums it up.
+    """
     pairs = reconcile_edges(expected_edges, observed_edges).agg(
         F.sum("expected").alias("expected"), F.sum("observed").alias("current"),
         F.sum(F.col("reversed") + F.col("wrong") + F.col("missing") + F.col("extra")).alias("problems")).select(F.lit("edges").alias("metric"), "*")
@@ -221,7 +228,16 @@ def reconcile_import(expected_edges: DataFrame, observed_edges: DataFrame, expec
         node_degree(observed_edges).select("node", F.col("degree").alias("have")), "node", "full_outer").agg(
         F.coalesce(F.sum("want"), F.lit(0)).alias("expected"), F.coalesce(F.sum("have"), F.lit(0)).alias("current"),
         F.count_if(~F.col("want").eqNullSafe(F.col("have"))).alias("problems")).select(F.lit("degrees").alias("metric"), "*")
+    more = []
+    if labels is not None:
+        more.append(_counted("labels", *labels, reconcile_items(*labels).agg(F.coalesce(F.sum(F.col("missing") + F.col("extra")), F.lit(0)).alias("problems"))))
+    if counters is not None:
+        more.append(_counted("counters", *counters, check_manifest(*counters).agg(F.count(F.lit(1)).alias("problems"))))
+    if groups:
+        ends = lambda df: connected_groups(df.select(F.col("node0").alias("a"), F.col("node1").alias("b")))
+        both = ends(expected_edges).select(F.col("groups").alias("expected")).join(ends(observed_edges).select(F.col("groups").alias("current")), F.lit(True))
+        more.append(both.select(F.lit("groups").alias("metric"), "expected", "current", F.abs(F.col("expected") - F.col("current")).alias("problems")))
     out = pairs
-    for part in (sized, nodes, degree):
+    for part in (sized, nodes, degree, *more):
         out = out.unionByName(part)
     return out

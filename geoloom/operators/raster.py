@@ -11,6 +11,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from geoloom.functions.tags import unit_multiplier
+from geoloom.operators.tiling import points_in_boxes
+from geoloom.session import settle
 from geoloom.spec import GridSpec
 
 
@@ -159,7 +161,14 @@ def mosaic_sources(cells: DataFrame, sources: DataFrame, targets: DataFrame, by:
     head = numbered.groupBy(*by, "mosaic").agg(F.min_by("x0", "priority").alias("hx"), F.min_by("y0", "priority").alias("hy"))
     placed = numbered.join(head, [*by, "mosaic"])
     # One table of own-lattice samples per source, for coverage.
-    asks = targets.join(placed.select(*by, "source", "priority", "mosaic", "x0", "y0", "dx", "dy", "hx", "hy"), by)
+    # A target asks only the sources whose cells, with room for the widest kernel, reach it.
+    lattice = [*by, "source", "priority", "mosaic", "x0", "y0", "dx", "dy", "hx", "hy"]
+    spread_of = cells.groupBy(*by, "source").agg(F.min("row").alias("_r0"), F.max("row").alias("_r1"), F.min("col").alias("_c0"), F.max("col").alias("_c1"))
+    edge = lambda o, d, at: F.col(o) + F.col(d) * at
+    ya, yb, xa, xb = edge("y0", "dy", F.col("_r0") - 3), edge("y0", "dy", F.col("_r1") + 4), edge("x0", "dx", F.col("_c0") - 3), edge("x0", "dx", F.col("_c1") + 4)
+    boxes = settle(placed.select(*lattice).join(spread_of, [*by, "source"]).select(
+        *lattice, F.least(ya, yb).alias("_s"), F.least(xa, xb).alias("_w"), F.greatest(ya, yb).alias("_n"), F.greatest(xa, xb).alias("_e")))
+    asks = points_in_boxes(targets, boxes, [c for c in lattice if c not in by], tuple(by), ("y", "x"), ("_s", "_w", "_n", "_e"))
     frac = lambda o, d, v: (F.col(v) - F.col(o)) / F.col(d) - 0.5
     own_targets = asks.select(*by, "source", F.col("row").alias("trow"), F.col("col").alias("tcol"),
                               frac("y0", "dy", "y").alias("frow"), frac("x0", "dx", "x").alias("fcol"))

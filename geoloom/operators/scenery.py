@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from geoloom.functions import tags as T
 from geoloom.functions.geo import dist, on_map
 from geoloom.operators import polygons as G
 from geoloom.operators.ordered import first_rows
-from geoloom.session import settle
+from geoloom.session import settle, spread as deal
 
 
 def surface_faces(edges: DataFrame, keys: list[str], width: float, height: float):
@@ -37,7 +39,8 @@ def scatter_points(edges: DataFrame, areas: DataFrame, area: str, width: float,
     rows = box.join(areas.select(area, "step", "species"), area)
     count = lambda lo, hi: F.ceil((F.col(hi) - F.col(lo)) / F.col("step") - 0.5).cast("int")
     span = lambda lo, hi: F.explode(F.when(count(lo, hi) >= 1, F.sequence(F.lit(0), count(lo, hi) - 1)))
-    grid = rows.withColumn("j", span("miny", "maxy")).withColumn("i", span("minx", "maxx"))
+    # The rows of an area are dealt out before each of them becomes its cells.
+    grid = deal(rows.withColumn("j", span("miny", "maxy")), [area, "j"]).withColumn("i", span("minx", "maxx"))
     draw = lambda what: unit_hash(F.lit(seed), F.col(area), F.col("i"), F.col("j"), F.lit(what))
     move = lambda what: (draw(what) * 2 - 1) * F.col("step") * jitter
     spots = grid.select(
@@ -143,21 +146,22 @@ def union_features(**stages: DataFrame) -> DataFrame:
     return out
 
 
-def match_candidates(objects: DataFrame, candidates: DataFrame, tiers: int | None = None) -> DataFrame:
+def match_candidates(objects: DataFrame, candidates: DataFrame, tiers: int | None = None, curated: dict[str, str] | None = None) -> DataFrame:
     """Best fitting candidate per object: tier first, then score, name and orientation.
 
     Objects carry item_id, kind, height, width and length (null without footprint) and shape (footprint
     around the object's position and along its axis). Equal objects are matched once, equal candidates
     keep their first name, and the pairs of a class are weighed by a minimum that combines before it
     shuffles. Both sides are written, so their true sizes decide how they meet. With ``tiers`` only candidates of
-    lower tiers are taken.
+    lower tiers are taken. ``curated`` names the candidate that an object without footprint should get, by kind. Objects
+    with x, y and rotation also get px, py and turn: where the candidate's origin goes, so that its centre is on the object.
     """
     if tiers is not None:
         candidates = candidates.where(F.col("tier") < tiers)
     sig = ["kind", "height", "width", "length", "shape"]
     wanted = settle(objects.select(*sig).distinct().withColumn("sig", F.sha2(F.to_json(F.struct(*sig)), 256)))
     models = candidates.groupBy("tier", F.col("kind").alias("ckind"), F.col("width").alias("cw"), F.col("length").alias("cl"),
-                                F.col("height").alias("ch"), "cx", "cy").agg(F.min("name").alias("name"))
+                                F.col("height").alias("ch"), "cx", "cy", F.col("name").isin(*(curated or {}).values(), "").alias("_known")).agg(F.min("name").alias("name"))
     accepts = F.when(F.col("kind") == "building", F.array(F.lit("residential"), F.lit("commercial"), F.lit("industrial"))
                      ).otherwise(F.array("kind"))
     pairs = wanted.withColumn("ckind", F.explode(accepts)).join(settle(models), "ckind")
@@ -167,13 +171,20 @@ def match_candidates(objects: DataFrame, candidates: DataFrame, tiers: int | Non
     room = F.col("width").isNull() | ((w <= F.col("width") + 0.01) & (l <= F.col("length") + 0.01))
     fits = F.col("shape").isNull() | G.box_in_face(F.lit(0.0), F.lit(0.0), F.lit(0.0), w, l, F.col("shape"))
     tall = F.when((F.col("height") > 0) & (F.col("ch") > 0), 0.25 * F.abs(F.log(F.col("ch") / F.col("height")))).otherwise(0.0)
-    score = F.when(F.col("width").isNotNull(), F.abs(F.log(w / F.col("width"))) + F.abs(F.log(l / F.col("length")))).otherwise(1.0) + tall
+    wish = F.create_map(*[F.lit(x) for pair in {"": "", **(curated or {})}.items() for x in pair])[F.col("kind")]
+    plain = F.when(F.col("name") == wish, 0.0).otherwise(1.0)
+    score = F.when(F.col("width").isNotNull(), F.abs(F.log(w / F.col("width"))) + F.abs(F.log(l / F.col("length")))).otherwise(plain) + tall
     # Nine decimals, so that equal fits tie on every machine and go by name.
     scored = both.where(room).where(fits).withColumn("score", F.round(score, 9))
     best = scored.groupBy("sig").agg(F.min_by(F.struct("name", "tier", "swapped", "score", "cx", "cy"),
                                               F.struct("tier", "score", "name", "swapped")).alias("m"))
     keyed = objects.withColumn("sig", F.sha2(F.to_json(F.struct(*sig)), 256))
+    turn = F.col("rotation") + F.when(F.col("m.swapped"), F.lit(math.pi / 2)).otherwise(0.0)
+    spot = [] if not {"x", "y", "rotation"} <= set(objects.columns) else [
+        (F.col("x") - F.col("m.cx") * F.cos(turn) + F.col("m.cy") * F.sin(turn)).alias("px"),
+        (F.col("y") - F.col("m.cx") * F.sin(turn) - F.col("m.cy") * F.cos(turn)).alias("py"), F.when(F.col("m").isNotNull(), turn).alias("turn")]
     return keyed.join(best, "sig", "left").select(
+        *spot,
         "item_id", "kind", F.col("m.name").alias("name"), F.col("m.tier").alias("tier"), F.col("m.swapped").alias("swapped"),
         F.col("m.score").alias("score"), F.col("m.cx").alias("cx"), F.col("m.cy").alias("cy"), F.col("m").isNull().alias("unmatched"))
 

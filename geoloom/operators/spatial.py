@@ -1,16 +1,46 @@
-"""Box joins on grid cells."""
+"""Box joins on grid cells of several sizes."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 from geoloom.functions.geo import bbox_touches
 
 
-def in_cells(df: DataFrame, cell: float, box=("minx", "miny", "maxx", "maxy")) -> DataFrame:
-    """Repeat each box for every cell it touches (columns _i, _j)."""
-    span = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / cell).cast("long"), F.floor(F.col(hi) / cell).cast("long")))
-    return df.withColumn("_i", span(box[0], box[2])).withColumn("_j", span(box[1], box[3]))
+LEFT, RIGHT = ("minx", "miny", "maxx", "maxy"), ("rx0", "ry0", "rx1", "ry1")
+
+
+def _level(box: tuple, cell: float) -> Column:
+    """Doublings of ``cell`` until a cell is as wide as the box; 0 for all smaller boxes."""
+    side = F.greatest(F.col(box[2]) - F.col(box[0]), F.col(box[3]) - F.col(box[1]), F.lit(cell))
+    return F.ceil(F.log2(side / cell)).cast("int")
+
+
+def _levels(*sides: tuple[DataFrame, tuple], cell: float) -> list[int]:
+    """The levels that occur: at most one for each doubling between the smallest and the largest box."""
+    found = reduce(DataFrame.union, [df.select(_level(box, cell).alias("l")) for df, box in sides]).distinct()
+    return sorted(r[0] for r in found.collect() if r[0] is not None)
+
+
+def in_cells(df: DataFrame, cell: float, levels: list[int], box: tuple = LEFT) -> DataFrame:
+    """Repeat each box for the cells it touches (columns _lv, _i, _j) on its own level and on the coarser ones that occur.
+
+    That is at most four cells a level, whatever the size of the box. Two boxes meet on the coarser of their levels,
+    where ``_own`` is true for one of them.
+    """
+    every = F.array(*[F.lit(v) for v in levels]).cast("array<int>")
+    rows = df.withColumn("_at", _level(box, cell)).withColumn("_lv", F.explode(F.filter(every, lambda v: v >= F.col("_at"))))
+    wide = F.pow(F.lit(2.0), F.col("_lv")) * cell
+    span = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / wide).cast("long"), F.floor(F.col(hi) / wide).cast("long")))
+    return rows.withColumn("_i", span(box[0], box[2])).withColumn("_j", span(box[1], box[3])).withColumn("_own", F.col("_at") == F.col("_lv")).drop("_at")
+
+
+def _home(cell: float, x0: tuple, y0: tuple) -> Column:
+    """Whether this cell holds the lower corner of the common box, so that a pair is made once."""
+    wide = F.pow(F.lit(2.0), F.col("_lv")) * cell
+    return (F.floor(F.greatest(*x0) / wide) == F.col("_i")) & (F.floor(F.greatest(*y0) / wide) == F.col("_j"))
 
 
 def reserve_corridors(faces: DataFrame, corridors: DataFrame, by: list[str], face: str, margin: float = 20.0,
@@ -18,10 +48,12 @@ def reserve_corridors(faces: DataFrame, corridors: DataFrame, by: list[str], fac
     """Faces whose box meets no padded corridor box (x0,y0,x1,y1); both sides carry minx..maxy or ends."""
     boxes = corridors.select(*by, (F.least("x0", "x1") - margin).alias("bx0"), (F.least("y0", "y1") - margin).alias("by0"),
                              (F.greatest("x0", "x1") + margin).alias("bx1"), (F.greatest("y0", "y1") + margin).alias("by1"))
-    left = in_cells(faces.select(*by, face, "minx", "miny", "maxx", "maxy"), cell)
-    right = in_cells(boxes, cell, ("bx0", "by0", "bx1", "by1"))
+    box = ("bx0", "by0", "bx1", "by1")
+    levels = _levels((faces, LEFT), (boxes, box), cell=cell)
+    left = in_cells(faces.select(*by, face, "minx", "miny", "maxx", "maxy"), cell, levels)
+    right = in_cells(boxes, cell, levels, box)
     meet = bbox_touches(("minx", "miny", "maxx", "maxy"), ("bx0", "by0", "bx1", "by1"))
-    same = [left[k] == right[k] for k in [*by, "_i", "_j"]]
+    same = [left["_own"] | right["_own"], *[left[k] == right[k] for k in [*by, "_lv", "_i", "_j"]]]
     cond = same[0]
     for c in same[1:]:
         cond = cond & c
@@ -38,20 +70,20 @@ def patch_overlaps(patches: DataFrame, by: list[str], cell: float = 64.0) -> Dat
     hx, hy = F.col("length") / 2 + F.col("margin"), F.col("width") / 2 + F.col("margin")
     boxed = patches.select(*by, "id", (F.col("x") - hx).alias("minx"), (F.col("y") - hy).alias("miny"), (F.col("x") + hx).alias("maxx"),
                            (F.col("y") + hy).alias("maxy"))
-    cells = in_cells(boxed, cell)
-    name = lambda p: cells.select(*by, "_i", "_j", *[F.col(c).alias(p + c) for c in ("id", "minx", "miny", "maxx", "maxy")])
-    pairs = name("a_").join(name("b_"), [*by, "_i", "_j"]).where("a_id < b_id AND a_minx < b_maxx AND a_maxx > b_minx AND a_miny < b_maxy AND a_maxy > b_miny")
-    home = ((F.floor(F.greatest("a_minx", "b_minx") / cell) == F.col("_i")) & (F.floor(F.greatest("a_miny", "b_miny") / cell) == F.col("_j")))
-    return pairs.where(home).select(*by, F.col("a_id").alias("a"), F.col("b_id").alias("b"))
+    cells = in_cells(boxed, cell, _levels((boxed, LEFT), cell=cell))
+    name = lambda p: cells.select(*by, "_lv", "_i", "_j", *[F.col(c).alias(p + c) for c in ("id", "_own", *LEFT)])
+    pairs = name("a_").join(name("b_"), [*by, "_lv", "_i", "_j"]).where("(a__own OR b__own) AND a_id < b_id AND a_minx < b_maxx AND a_maxx > b_minx AND a_miny < b_maxy AND a_maxy > b_miny")
+    return pairs.where(_home(cell, ("a_minx", "b_minx"), ("a_miny", "b_miny"))).select(*by, F.col("a_id").alias("a"), F.col("b_id").alias("b"))
 
 
 def bbox_overlap_join(extents: DataFrame, requests: DataFrame, closed: bool, cell: float = 1.0) -> DataFrame:
     """Extents met by request boxes (rx0..ry1), by shared cells; reported once per pair."""
-    left = in_cells(extents, cell)
-    right = in_cells(requests, cell, ("rx0", "ry0", "rx1", "ry1"))
+    levels = _levels((extents, LEFT), (requests, RIGHT), cell=cell)
+    left = in_cells(extents, cell, levels)
+    right = in_cells(requests, cell, levels, RIGHT).withColumnRenamed("_own", "_mine")
     if closed:
         meet = "minx <= rx1 AND maxx >= rx0 AND miny <= ry1 AND maxy >= ry0"
     else:
         meet = "minx < rx1 AND maxx > rx0 AND miny < ry1 AND maxy > ry0"
-    home = ((F.floor(F.greatest("minx", "rx0") / cell) == F.col("_i")) & (F.floor(F.greatest("miny", "ry0") / cell) == F.col("_j")))
-    return left.join(right, ["_i", "_j"]).where(meet).where(home).drop("_i", "_j")
+    met = left.join(right, ["_lv", "_i", "_j"]).where("_own OR _mine").where(meet)
+    return met.where(_home(cell, ("minx", "rx0"), ("miny", "ry0"))).drop("_lv", "_i", "_j", "_own", "_mine")

@@ -41,24 +41,28 @@ def partition_bbox(boxes: DataFrame, keys: list[str], part_m: float = PART_M, mo
                         lon(i + 1).alias("east"))
 
 
-def points_in_boxes(points: DataFrame, boxes: DataFrame, keys: list[str]) -> DataFrame:
-    """Pairs of a point (lat, lon) and the half-open boxes that hold it: all columns of the point, and the keys.
+def points_in_boxes(points: DataFrame, boxes: DataFrame, keys: list[str], by: tuple = (), at: tuple = ("lat", "lon"),
+                    corners: tuple = ("south", "west", "north", "east")) -> DataFrame:
+    """Pairs of a point and the half-open boxes that hold it: all columns of the point, and the keys of the box.
+
+    ``by`` are columns of both sides that must agree, ``at`` the point's two coordinates, ``corners`` the box's lower two and upper two.
 
     A box lies in at most four cells of the power of two that its longer side does not exceed. Points are placed in
     the cells of the sizes that occur, of which there are only as many as binary orders of magnitude.
     """
-    side = F.greatest(F.col("north") - F.col("south"), F.col("east") - F.col("west"), F.lit(2.0 ** -40))
+    (u, v), (u0, v0, u1, v1) = at, corners
+    side = F.greatest(F.col(u1) - F.col(u0), F.col(v1) - F.col(v0), F.lit(2.0 ** -40))
     cell = lambda c, level: F.floor(F.col(c) / F.pow(F.lit(2.0), level)).cast("long")
     span = lambda a, b: F.sequence(cell(a, F.col("_lv")), cell(b, F.col("_lv")))
-    placed = (boxes.select(*keys, "south", "west", "north", "east").withColumn("_lv", F.ceil(F.log2(side)).cast("int"))
-              .withColumn("_ci", F.explode(span("south", "north"))).withColumn("_cj", F.explode(span("west", "east"))))
+    placed = (boxes.select(*by, *keys, *[F.col(c).alias(f"_{i}") for i, c in enumerate(corners)], F.ceil(F.log2(side)).cast("int").alias("_lv"))
+              .withColumn("_ci", F.explode(span("_0", "_2"))).withColumn("_cj", F.explode(span("_1", "_3"))))
     levels = sorted(r[0] for r in placed.select("_lv").distinct().collect())  # at most 50 sizes
     if not levels:
         levels = [0]
     spots = points.withColumn("_lv", F.explode(F.array(*[F.lit(v).cast("int") for v in levels])))
-    spots = spots.withColumn("_ci", cell("lat", F.col("_lv"))).withColumn("_cj", cell("lon", F.col("_lv")))
-    inside = (F.col("lat") >= F.col("south")) & (F.col("lat") < F.col("north")) & (F.col("lon") >= F.col("west")) & (F.col("lon") < F.col("east"))
-    return spots.join(placed, ["_lv", "_ci", "_cj"]).where(inside).select(*points.columns, *keys)
+    spots = spots.withColumn("_ci", cell(u, F.col("_lv"))).withColumn("_cj", cell(v, F.col("_lv")))
+    inside = (F.col(u) >= F.col("_0")) & (F.col(u) < F.col("_2")) & (F.col(v) >= F.col("_1")) & (F.col(v) < F.col("_3"))
+    return spots.join(placed, [*by, "_lv", "_ci", "_cj"]).where(inside).select(*points.columns, *keys)
 
 
 def split_dense_parts(points: DataFrame, boxes: DataFrame, keys: list[str], limit: int, smallest_m: float = 1000.0) -> DataFrame:

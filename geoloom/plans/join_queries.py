@@ -48,8 +48,8 @@ TREE = f"""WITH RECURSIVE m AS ({MEMBERS}),
   UNION ALL SELECT d.root, m.type, m.ref, CASE WHEN d.role = 'outer' THEN CASE WHEN m.role = '' THEN 'outer' ELSE m.role END
    ELSE CASE WHEN m.role = 'inner' THEN 'outer' ELSE 'inner' END END, LIST_APPEND(d.path, d.ref)
   FROM d JOIN m ON d.type = 'relation' AND m.rel_id = d.ref WHERE NOT LIST_CONTAINS(d.path, d.ref)),
- bad AS (SELECT root FROM d WHERE (type = 'relation' AND (LIST_CONTAINS(path, ref) OR ref NOT IN (SELECT c_custkey FROM customer)))
-  OR (type = 'way' AND ref NOT IN (SELECT o_orderkey FROM orders))) """
+ bad AS (SELECT root, CASE WHEN type = 'way' THEN 'missing way' WHEN LIST_CONTAINS(path, ref) THEN 'cycle' ELSE 'missing relation' END AS reason FROM d
+  WHERE (type = 'relation' AND (LIST_CONTAINS(path, ref) OR ref NOT IN (SELECT c_custkey FROM customer))) OR (type = 'way' AND ref NOT IN (SELECT o_orderkey FROM orders))) """
 
 
 def _tree(v):
@@ -63,22 +63,22 @@ def resolve_multipolygons(v):
     return _tree(v)[0].groupBy("root", "role").agg(F.count(F.lit(1)).alias("ways"), F.sum("way_id").alias("total"))
 
 
-@query("multipolygon_tree", TREE + "SELECT DISTINCT root FROM bad")
+@query("multipolygon_tree", TREE + "SELECT DISTINCT root, reason FROM bad")
 def multipolygon_tree(v):
-    return _tree(v)[1].select("root").distinct()
+    return _tree(v)[1].select("root", "reason")
 
 
 @query("closed_way_areas", """WITH e AS (SELECT way_id, COUNT(*) AS n, ARG_MIN(node_id, seq) AS a, ARG_MAX(node_id, seq) AS b FROM way_node GROUP BY way_id)
- SELECT way_id, CASE t_natural WHEN 'wood' THEN 'forest' ELSE 'shrubs' END AS kind, n + 1 AS n FROM e JOIN way USING (way_id) WHERE n >= 3 AND way_id % 3 = 0 AND t_natural IN ('wood', 'scrub')
+ SELECT way_id, CASE t_natural WHEN 'wood' THEN 'forest' ELSE 'shrubs' END AS kind, n + 1 AS n FROM e JOIN way USING (way_id) WHERE n >= 3 AND t_natural IN ('wood', 'scrub')
  AND way_id NOT IN (SELECT c_custkey * 10 FROM customer)""", "way way_node")
 def closed_way_areas(v):
-    # Every third way is closed by repeating its first node.
+    # Every way is closed by repeating its first node.
     ends = N.way_totals(v.way_node)
-    closing = ends.where("way_id % 3 = 0").select("way_id", F.col("n").alias("seq"), F.col("first_node").alias("node_id"))
+    closing = ends.select("way_id", F.col("n").alias("seq"), F.col("first_node").alias("node_id"))
     totals = N.way_totals(v.way_node.unionByName(closing))
     kind = F.when(T.same(T.tag("tags", "natural"), "wood"), "forest").when(T.same(T.tag("tags", "natural"), "scrub"), "shrubs")
     covered = members(v).where("type = 'way' AND seq = 0").select(F.col("ref").alias("way_id"))
-    return S.closed_way_areas(v.ways, totals, kind, covered).where("way_id % 3 = 0").select("way_id", "kind", "n")
+    return S.closed_way_areas(v.ways, totals, kind, covered).select("way_id", "kind", "n")
 
 
 SEEDS = "SELECT 'way' AS type, way_id AS id FROM way WHERE t_water = 'lake'"
@@ -394,17 +394,30 @@ def check_manifest(v):
     return Q.check_manifest(n.select("field", F.col("n").alias("stored")), n.select("field", F.when(F.col("field") < "2", F.col("n") - 1).otherwise(F.col("n")).alias("actual")))
 
 
+def _edges_sql():
+    """The pair audit of ``reconcile_edges``, added up."""
+    from geoloom.plans.registry import ORACLES
+    return f"SELECT CAST(SUM(reversed + wrong + missing + extra) AS BIGINT) FROM ({ORACLES['reconcile_edges']}) audit"
+
+
 @query("reconcile_import", f"""WITH obs AS ({OBSERVED}), dg AS (SELECT node, COUNT(*) AS n FROM (SELECT node0 AS node FROM expected UNION ALL SELECT node1 FROM expected) GROUP BY 1),
  od AS (SELECT node, COUNT(*) AS n FROM (SELECT node0 AS node FROM obs UNION ALL SELECT node1 FROM obs) GROUP BY 1)
  SELECT 'nodes' AS metric, (SELECT COUNT(*) FROM label) AS expected, (SELECT COUNT(*) FROM label WHERE rank % 40 <> 0) AS current, (SELECT COUNT(*) FROM label WHERE rank % 40 IN (0, 1)) AS problems
+ UNION ALL SELECT 'edges', (SELECT COUNT(*) FROM expected), (SELECT COUNT(*) FROM obs), ({_edges_sql()})
  UNION ALL SELECT 'items', (SELECT COUNT(*) FROM customer), (SELECT COUNT(*) FROM customer WHERE c_custkey % 30 <> 0), (SELECT COUNT(*) FROM customer WHERE c_custkey % 30 = 0)
+ UNION ALL SELECT 'labels', (SELECT COUNT(*) FROM label), (SELECT COUNT(*) FROM label WHERE rank % 50 <> 0), (SELECT COUNT(*) FROM label WHERE rank % 50 = 0)
+ UNION ALL SELECT 'counters', (SELECT COUNT(DISTINCT o_orderpriority) FROM orders), (SELECT COUNT(DISTINCT o_orderpriority) FROM orders), (SELECT COUNT(DISTINCT o_orderpriority) FROM orders WHERE o_orderpriority < '2')
  UNION ALL SELECT 'degrees', 2 * (SELECT COUNT(*) FROM expected), 2 * (SELECT COUNT(*) FROM obs), (SELECT COUNT(*) FROM dg FULL JOIN od USING (node) WHERE dg.n IS DISTINCT FROM od.n)""", "expected label")
 def reconcile_import(v):
     nodes = v.view("label").select(F.col("rank").alias("node_id"), "x", "y", F.lit(5.0).alias("z"))
     seen = nodes.where("node_id % 40 <> 0").withColumn("z", F.when(F.col("node_id") % 40 == 1, 5.5).otherwise(5.005))
     item = v.table("customer").select(F.col("c_name").alias("key"), "c_custkey")
-    out = Q.reconcile_import(v.view("expected"), observed(v), item, item.where("c_custkey % 30 <> 0"), nodes, seen)
-    return out.where("metric <> 'edges'")
+    label = v.view("label").select(F.col("name").alias("key"))
+    count = v.table("orders").groupBy(F.col("o_orderpriority").alias("field")).agg(F.count(F.lit(1)).alias("stored"))
+    actual = count.select("field", F.when(F.col("field") < "2", F.col("stored") - 1).otherwise(F.col("stored")).alias("actual"))
+    out = Q.reconcile_import(v.view("expected"), observed(v), item, item.where("c_custkey % 30 <> 0"), nodes, seen,
+                             labels=(label, v.view("label").where("rank % 50 <> 0").select(F.col("name").alias("key"))), counters=(count, actual))
+    return out
 
 
 @query("scatter_points", """WITH bx AS (SELECT area_id, GREATEST(-512e0, MIN(x)) AS minx, LEAST(512e0, MAX(x)) AS maxx, GREATEST(-512e0, MIN(y)) AS miny, LEAST(512e0, MAX(y)) AS maxy FROM rings GROUP BY area_id),
@@ -495,10 +508,10 @@ def fingerprint(v):
 @query("prepare_water")
 def prepare_water(v):
     """All derived ways as water on a map an eighth of the usual size, so that streams are tens of metres long."""
-    relations = v.ways.where("way_id % 10 = 0").select(F.col("way_id").alias("rel_id"), "tags")
+    relations = v.ways.select(F.col("way_id").alias("rel_id"), "tags")
     position = v.position.select("node_id", (F.col("x") / 8).alias("x"), (F.col("y") / 8).alias("y"))
-    roads = v.ways.where(T.network_class("tags") == "rail").select("way_id")
-    corridors = N.way_segments(v.way_node.join(roads, "way_id", "left_semi"), position).where("x0 IS NOT NULL AND x1 IS NOT NULL AND seq = 0").select("x0", "y0", "x1", "y1")
+    roads = v.ways.where(T.network_class("tags").isNotNull()).select("way_id")
+    corridors = N.way_segments(v.way_node.join(roads, "way_id", "left_semi"), position).where("x0 IS NOT NULL AND x1 IS NOT NULL").select("x0", "y0", "x1", "y1")
     features, _ = W.prepare_water(v.nodes, v.ways, relations, members(v), v.way_node, position, corridors, SPEC.width / 8, SPEC.height / 8)
     return features.groupBy("type", "kind", "status", "reason").agg(F.count(F.lit(1)).alias("n"), F.sum("faces").alias("faces"))
 
@@ -566,10 +579,9 @@ def scan_extents(v):
     return C.scan_extents(listing, cached, lambda new: new.select("path", "size", "mtime", F.lit("raster").alias("kind"))).select("path", "reused")
 
 
-@query("rank_files", """WITH s AS (SELECT *, CASE WHEN minx IS NULL OR minx > maxx THEN 'unknown' ELSE 'overlap' END AS coverage FROM extent), f AS (SELECT *, ROW_NUMBER() OVER (ORDER BY scan) AS arrival FROM s WHERE coverage = 'unknown'
-  OR (minx <= 2 AND maxx >= 1 AND miny <= 5 AND maxy >= 1)), o AS (SELECT * FROM f WHERE coverage = 'overlap' ORDER BY scan LIMIT 1000),
- u AS (SELECT * FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY scan DESC) AS r FROM f WHERE coverage = 'unknown' AND arrival <= 1000) WHERE r <= 1000 - (SELECT COUNT(*) FROM o))
- SELECT path, coverage, ROW_NUMBER() OVER (ORDER BY coverage <> 'overlap', LOWER(name), LOWER(path)) AS place FROM (SELECT path, name, coverage FROM o UNION ALL SELECT path, name, coverage FROM u)""", "extent")
+@query("rank_files", """WITH s AS (SELECT *, CASE WHEN minx IS NULL OR minx > maxx THEN 'unknown' ELSE 'overlap' END AS coverage FROM extent)
+ SELECT path, coverage, ROW_NUMBER() OVER (ORDER BY coverage <> 'overlap', LOWER(name), LOWER(path)) AS place FROM s
+ WHERE coverage = 'unknown' OR (minx <= 2 AND maxx >= 1 AND miny <= 5 AND maxy >= 1)""", "extent")
 def rank_files(v):
     files = C.overlapping_files(C.normalise_extent(v.view("extent")), Bounds(1.0, 1.0, 5.0, 2.0))
     return C.rank_files(files).select("path", "coverage", "place")

@@ -131,7 +131,7 @@ def signal_edges(v):
     return N.signal_edges(pieces, v.nodes).select("way_id", "seq", "k", "node1", "backward", "signal")
 
 
-@query("structure_guides", NETSEG.rstrip() + f""", s AS (SELECT *, COALESCE({D}, 0) AS len FROM netseg WHERE bridge OR tunnel),
+GUIDES = NETSEG.rstrip() + f""", s AS (SELECT *, COALESCE({D}, 0) AS len FROM netseg WHERE bridge OR tunnel),
  ends AS (SELECT way_id, ARG_MIN(fx, place) AS fx, ARG_MIN(fy, place) AS fy, ARG_MAX(fx, place) AS lx, ARG_MAX(fy, place) AS ly FROM
   (SELECT way_id, 2 * seq AS place, x0 AS fx, y0 AS fy FROM s WHERE x0 IS NOT NULL UNION ALL
    SELECT way_id, 2 * seq + 1, x1, y1 FROM s WHERE x1 IS NOT NULL) GROUP BY way_id),
@@ -145,10 +145,12 @@ def signal_edges(v):
  ch AS (SELECT *, SUM(fresh) OVER (PARTITION BY way_id ORDER BY seq) AS chain FROM fl),
  g AS (SELECT way_id, seq, COALESCE(SUM(part) OVER (PARTITION BY way_id, chain ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off,
   SUM(part) OVER w AS span, FIRST_VALUE(cx0) OVER w AS sx, FIRST_VALUE(cy0) OVER w AS sy, LAST_VALUE(cx1) OVER w AS ex, LAST_VALUE(cy1) OVER w AS ey
-  FROM ch WINDOW w AS (PARTITION BY way_id, chain ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))
- SELECT way_id, seq, {mm_sql(gx0='COALESCE(sx, fx)', gy0='COALESCE(sy, fy)', gx1='COALESCE(ex, lx)', gy1='COALESCE(ey, ly)',
-   g0='COALESCE(off / span, (travelled + len * low) / total)', g1='COALESCE((off + part) / span, (travelled + len * high) / total)')}
- FROM c LEFT JOIN g USING (way_id, seq)""", NETVIEWS)
+  FROM ch WINDOW w AS (PARTITION BY way_id, chain ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+ guide AS (SELECT way_id, seq, COALESCE(sx, fx) AS gx0, COALESCE(sy, fy) AS gy0, COALESCE(ex, lx) AS gx1, COALESCE(ey, ly) AS gy1,
+   COALESCE(off / span, (travelled + len * low) / total) AS g0, COALESCE((off + part) / span, (travelled + len * high) / total) AS g1 FROM c LEFT JOIN g USING (way_id, seq)) """
+
+
+@query("structure_guides", GUIDES + f"SELECT way_id, seq, {mm_sql(gx0='gx0', gy0='gy0', gx1='gx1', gy1='gy1', g0='g0', g1='g1')} FROM guide", NETVIEWS)
 def structure_guides(v):
     out = N.structure_guides(N.network_segments(v.ways, v.way_node, v.position), W, H)
     return out.select("way_id", "seq", *[mm(c).alias(c) for c in ("gx0", "gy0", "gx1", "gy1", "g0", "g1")])
@@ -171,10 +173,3 @@ def join_corridors(v):
     lines = N.join_corridors(edges)
     return lines.groupBy("way_id", "kind", "line").agg(F.count(F.lit(1)).alias("pieces"), F.max("pos").alias("last"),
                                                        F.sum(F.col("flipped").cast("long")).alias("flipped"))
-
-
-@query("network_edges")
-def network_edges(v):
-    edges = N.network_edges(v.ways, v.way_node, v.nodes, v.position, W, H)
-    return edges.groupBy("kind", "cls", "bridge", "tunnel").agg(
-        F.count(F.lit(1)).alias("edges"), F.count("signal").alias("signals"), mm(F.sum("t1")).alias("t1"))

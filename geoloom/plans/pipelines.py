@@ -78,6 +78,34 @@ def convert_map(nodes: DataFrame, ways: DataFrame, relations: DataFrame, spec: M
             "unavailable": S.unavailable_tags(every), "issues": issues.unionByName(gaps)}
 
 
+def terrain_context(nodes: DataFrame, ways: DataFrame, relations: DataFrame, spec: MapSpec, network: NetworkOptions = NetworkOptions()) -> dict:
+    """What an extract tells a terrain build of one map (map_id 0): lines per kind, lakes, land cover and notes.
+
+    Lines are the unbroken parts on the map of roads, rails and rivers (map_id, way_id, line, idx, x, y, structure); a line is named
+    by way and part, padded, so lines of all kinds sort in way order. Lakes and cover are edges with the key lake or area; cover kinds
+    are a table of their own.
+    """
+    prepare(nodes.sparkSession)
+    w, h = spec.width, spec.height
+    x, y = project_xy("lat", "lon", spec)
+    nodes, ways, relations = settle(nodes), settle(ways), settle(relations)
+    position = settle(nodes.select("node_id", x.alias("x"), y.alias("y")))
+    way_node, members = settle(N.way_nodes(ways)), settle(relation_members(relations))
+    flowing = T.one_of(T.tag("tags", "waterway"), T.STREAMS)
+    kinds = ways.select("way_id", F.when(flowing, "river").otherwise(T.network_class("tags", network)).alias("kind"),
+                        (T.structure_flag("tags", "bridge") | T.structure_flag("tags", "tunnel")).alias("structure")).where("kind IS NOT NULL")
+    segments = N.way_segments(way_node.join(kinds.select("way_id"), "way_id", "left_semi"), position)
+    cut = N.clip_segments(segments, w, h).where((F.col("cx0") != F.col("cx1")) | (F.col("cy0") != F.col("cy1")))
+    chains = settle(N.line_chains(cut, ["way_id"]).join(kinds, "way_id").select(
+        F.lit(0).alias("map_id"), "kind", "way_id", F.concat_ws(":", F.lpad(F.col("way_id").cast("string"), 20, "0"), F.lpad(F.col("chain").cast("string"), 8, "0")).alias("line"),
+        "idx", "x", "y", "structure"))
+    lakes, _, wet_notes = S.area_edges(ways, relations, members, way_node, position, lambda tags: F.when(T.terrain_water(tags), "lake"))
+    cover, areas, notes = S.area_edges(ways, relations, members, way_node, position, T.landcover_kind)
+    on_map_zero = lambda df, key: df.withColumnRenamed("area", key).withColumn("map_id", F.lit(0))
+    return {"lines": {kind: chains.where(F.col("kind") == kind).drop("kind") for kind in ("river", "road", "rail")}, "lakes": on_map_zero(lakes, "lake"),
+            "cover": on_map_zero(cover, "area"), "cover_kinds": areas.select("area", "kind"), "notes": wet_notes.unionByName(notes).distinct()}
+
+
 @dataclass(frozen=True)
 class TerrainOptions:
     """Steps of a terrain build; a step with a zero or empty setting is left out."""

@@ -187,14 +187,14 @@ def water_bed_heights(v):
 
 
 @query("estimate_structure_heights", SITED.replace("{0}", "dense") + f"""SELECT a.id, {mm_sql(z0='173.2050807e-3 * (h.z * 75e-2 + g.z * 25e-2 - CASE WHEN a.id % 2 = 0 THEN 8 * SIN(25e-2 * PI()) ELSE 0 END)',
- z1='173.2050807e-3 * (h.z * 5e-1 + g.z * 5e-1 - CASE WHEN a.id % 2 = 0 THEN 8 * SIN(5e-1 * PI()) ELSE 0 END)')} FROM site a JOIN site b ON b.layer = a.layer AND b.id = a.id + 1 JOIN hit h ON h.id = a.id JOIN hit g ON g.id = b.id""", "dense")
+ z1='173.2050807e-3 * (h.z * 5e-1 + g.z * 5e-1 - CASE WHEN a.id % 2 = 0 THEN 8 * SIN(5e-1 * PI()) ELSE 0 END)')} FROM site a JOIN site b ON b.layer = a.layer AND b.id = a.id + 1 LEFT JOIN hit h ON h.id = a.id LEFT JOIN hit g ON g.id = b.id""", "dense")
 def estimate_structure_heights(v):
     s = sites(v)
     b = s.select((F.col("id") - 1).alias("id"), "layer", F.col("x").alias("gx1"), F.col("y").alias("gy1"))
     guides = s.withColumnsRenamed({"x": "gx0", "y": "gy0"}).join(b, ["id", "layer"]).withColumns(
         {"t0": F.lit(0.25), "t1": F.lit(0.5), "tunnel": F.col("id") % 2 == 0, "depth": F.lit(8.0)})
     out = R.estimate_structure_heights(guides, v.view("dense"), LAYER, ["id"], TILE)
-    return out.where("z0 IS NOT NULL").select("id", odd("z0").alias("z0"), odd("z1").alias("z1"))
+    return out.select("id", odd("z0").alias("z0"), odd("z1").alias("z1"))
 
 
 LATTICE = """SELECT o_custkey AS map_id, o_orderkey AS source, ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS priority, (o_orderkey % 3) * 1e0 AS x0, 0e0 AS y0, CASE WHEN o_orderkey % 5 = 0 THEN 2e0 ELSE 1e0 END AS dx,
@@ -212,10 +212,8 @@ def lattice_neighbours(v):
     return R.lattice_neighbours(rows, ["map_id"]).select("map_id", "source", "mosaic")
 
 
-@query("mosaic_sources", """WITH half AS (SELECT layer, row, col, z FROM dense), hits AS (SELECT layer, row, col FROM dense WHERE row >= 1 AND col >= 1 AND row <= 62 AND col <= 62)
- SELECT h.layer, h.row, h.col, CAST(FLOOR((a.z * 25e-2 + b.z * 25e-2 + c.z * 25e-2 + d.z * 25e-2) * 1000 + 0.5) AS BIGINT) AS z FROM hits h
- JOIN half a ON a.layer = h.layer AND a.row = h.row AND a.col = h.col JOIN half b ON b.layer = h.layer AND b.row = h.row AND b.col = h.col + 1
- JOIN half c ON c.layer = h.layer AND c.row = h.row + 1 AND c.col = h.col JOIN half d ON d.layer = h.layer AND d.row = h.row + 1 AND d.col = h.col + 1""", "dense")
+@query("mosaic_sources", """SELECT h.layer, h.row, h.col, CAST(FLOOR(SUM(a.z * 25e-2) / SUM(25e-2) * 1000 + 0.5) AS BIGINT) AS z FROM dense h
+ JOIN dense a ON a.layer = h.layer AND a.row BETWEEN h.row AND h.row + 1 AND a.col BETWEEN h.col AND h.col + 1 GROUP BY h.layer, h.row, h.col""", "dense")
 def mosaic_sources(v):
     # Each layer is cut into a west and an east file; the joined result equals the uncut grid.
     d = v.view("dense")
@@ -224,8 +222,8 @@ def mosaic_sources(v):
     sources = d.select("layer").distinct().withColumn("source", F.explode(F.array(F.lit("w"), F.lit("e")))).withColumns({
         "priority": F.when(F.col("source") == "w", 1).otherwise(2), "x0": F.when(F.col("source") == "w", 0.0).otherwise(30.0), "y0": F.lit(64.0), "dx": F.lit(1.0),
         "dy": F.lit(-1.0), "crs": F.lit("EPSG:3857"), "scale": F.lit(1.0), "off": F.lit(0.0), "factor": F.lit(1.0), "datum": F.lit("d")})
-    inner = d.join(d.select("layer", (F.col("row") - 1).alias("row"), (F.col("col") - 1).alias("col")), ["layer", "row", "col"], "left_semi")
-    targets = inner.where("row BETWEEN 1 AND 62 AND col BETWEEN 1 AND 62").select("layer", "row", "col", (F.col("col") + 1.0).alias("x"), (F.lit(64.0) - F.col("row") - 1.0).alias("y"))
+    # Targets lie on the corners of cells; at the border only the neighbours that exist count.
+    targets = d.select("layer", "row", "col", (F.col("col") + 1.0).alias("x"), (F.lit(64.0) - F.col("row") - 1.0).alias("y"))
     out, _ = R.mosaic_sources(cells, sources, targets, LAYER)
     return out.select("layer", "row", "col", mm("z").alias("z"))
 

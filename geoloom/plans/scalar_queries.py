@@ -4,8 +4,8 @@ from pyspark.sql import functions as F
 
 from geoloom.functions import geo as G, tags as T
 from geoloom.functions.geo import mm
-from geoloom.operators import tiling
-from geoloom.plans.network_queries import BRIDGE, DIR, KIND, mm_sql
+from geoloom.operators import networks as N, tiling
+from geoloom.plans.network_queries import BRIDGE, DIR, GUIDES, KIND, NETVIEWS, mm_sql
 from geoloom.plans.registry import query
 from geoloom.plans.views import SPEC
 
@@ -154,7 +154,7 @@ SPEED = "CASE k % 4 WHEN 0 THEN 50e0 WHEN 1 THEN 30 * 1.609344e0 WHEN 2 THEN 170
 on_ways("max_speed_kmh", f"CAST(FLOOR(({SPEED}) * 1000 + 0.5) AS BIGINT)", lambda: mm(T.max_speed_kmh("tags")))
 on_ways("network_class", KIND, lambda: T.network_class("tags"))
 LANES = "(CASE WHEN t_lanes = 'x' THEN 2 ELSE CAST(way_id % 6 AS INT) END)"
-on_ways("network_template", f"""CASE WHEN t_railway IS NOT NULL AND t_highway IS NULL THEN 'track/' || CASE WHEN t_railway = 'disused' THEN 'simple'
+TEMPLATE = f"""CASE WHEN t_railway IS NOT NULL AND t_highway IS NULL THEN 'track/' || CASE WHEN t_railway = 'disused' THEN 'simple'
  WHEN COALESCE({SPEED}, 120) > 160 THEN 'high_speed' ELSE 'standard' END || CASE WHEN COALESCE(t_electrified, 'no') <> 'no' THEN '/catenary' ELSE '' END
  WHEN t_highway = 'footway' THEN CASE WHEN t_railway = 'tram' THEN 'town/small/tram' ELSE 'town/xsmall' END
  WHEN t_highway IS NULL THEN NULL
@@ -162,8 +162,8 @@ on_ways("network_template", f"""CASE WHEN t_railway IS NOT NULL AND t_highway IS
   WHEN {LANES} <= 1 THEN 'xsmall' WHEN {LANES} = 2 THEN 'small' ELSE 'medium' END
  WHEN t_highway IN ('motorway', 'primary') AND COALESCE(t_lit, '') <> 'yes' AND COALESCE(t_railway, '') <> 'tram'
   THEN 'country/' || CASE WHEN {LANES} <= 2 THEN 'small' WHEN {LANES} <= 4 THEN 'medium' ELSE 'large' END
- ELSE 'town/' || CASE WHEN {LANES} <= 2 THEN 'small' WHEN {LANES} <= 4 THEN 'medium' ELSE 'large' END || CASE WHEN t_railway = 'tram' THEN '/tram' ELSE '' END END""",
-        lambda: T.network_template("tags"))
+ ELSE 'town/' || CASE WHEN {LANES} <= 2 THEN 'small' WHEN {LANES} <= 4 THEN 'medium' ELSE 'large' END || CASE WHEN t_railway = 'tram' THEN '/tram' ELSE '' END END"""
+on_ways("network_template", TEMPLATE, lambda: T.network_template("tags"))
 SURFACE = "COALESCE(NULLIF(t_surface, ''), t_landuse, t_natural)"
 SURFACE_KIND = f"""CASE WHEN t_landuse = 'forest' OR t_natural = 'wood' THEN 'forest' WHEN t_natural = 'scrub' THEN 'shrubs'
  WHEN {SURFACE} IN ('asphalt', 'sett') THEN 'asphalt' WHEN {SURFACE} IN ('grass', 'grassland') THEN 'grass'
@@ -313,3 +313,14 @@ def source_plan(v):
     rows = v.view("node").select("node_id", (F.col("lat") * 1000 - 5).alias("south"), (F.col("lon") * 1000 - 6).alias("west"),
                                  (F.col("lat") * 1000 - 4).alias("north"), (F.col("lon") * 1000 - 5).alias("east"))
     return tiling.source_plan(rows).select("node_id", "tile")
+
+
+@query("network_edges", GUIDES.rstrip() + f""", styled AS (SELECT way_id, {TEMPLATE} AS cls FROM way), flags AS (SELECT node_id AS node1 FROM node WHERE t_railway = 'signal')
+ SELECT CASE WHEN kind = 'rail' THEN 'TRACK' ELSE 'STREET' END AS kind, cls, bridge, tunnel, COUNT(*) AS edges, COUNT(flags.node1) AS signals,
+  CAST(FLOOR(SUM(g0 + (g1 - g0) * (k + 1) / n) * 1000 + 0.5) AS BIGINT) AS t1
+ FROM piece JOIN styled USING (way_id) LEFT JOIN guide USING (way_id, seq) LEFT JOIN flags ON flags.node1 = piece.node1 AND kind = 'rail' AND k = n - 1 AND high = 1
+ GROUP BY ALL""", NETVIEWS + " node")
+def network_edges(v):
+    edges = N.network_edges(v.ways, v.way_node, v.nodes, v.position, SPEC.width, SPEC.height)
+    return edges.groupBy("kind", "cls", "bridge", "tunnel").agg(
+        F.count(F.lit(1)).alias("edges"), F.count("signal").alias("signals"), mm(F.sum("t1")).alias("t1"))

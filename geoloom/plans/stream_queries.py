@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from geoloom.functions.geo import mm
 from geoloom.plans import raster_queries as RQ
+from geoloom.plans.join_queries import MEMBERS, members
 from geoloom.plans.network_queries import MM
 from geoloom.plans.registry import query
 from geoloom.plans.scalar_queries import items
@@ -98,12 +99,32 @@ def write_height_tiles(v):
     return v.spark.read.parquet(path).groupBy("layer", "tr", "tc").agg(F.count(F.lit(1)).alias("n"), F.sum("z").cast("long").alias("total"))
 
 
-@query("read_osm", "SELECT COUNT(*) AS nodes, CAST(SUM(node_id) AS BIGINT) AS ids, CAST(FLOOR(SUM(lat) * 1e6 + 0.5) AS BIGINT) AS lat, COUNT(t_natural) AS tagged FROM node", "node")
+@query("read_osm", f"""WITH m AS ({MEMBERS}) SELECT 'node' AS kind, COUNT(*) AS n, CAST(SUM(node_id) AS BIGINT) AS ids, COUNT(t_natural) AS tagged, CAST(FLOOR(SUM(lat) * 1e6 + 0.5) AS BIGINT) AS content FROM node
+ UNION ALL SELECT 'way', COUNT(*), CAST(SUM(way_id) AS BIGINT), COUNT(t_natural), (SELECT CAST(SUM(seq * node_id) AS BIGINT) FROM way_node JOIN way USING (way_id)) FROM way
+ UNION ALL SELECT 'relation', COUNT(DISTINCT rel_id), (SELECT CAST(SUM(rel_id) AS BIGINT) FROM (SELECT DISTINCT rel_id FROM m)), 0, CAST(SUM((seq + 1) * ref) AS BIGINT) FROM m
+ UNION ALL SELECT 'bounds', 1, 0, 0, 3""", "node way way_node")
 def read_osm(v):
+    """All elements written as one XML extract and read back."""
     path = scratch(v, "extract") + ".osm"
-    nodes = v.nodes.select(F.col("node_id").alias("_id"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"),
-                           F.transform(F.map_entries("tags"), lambda e: F.struct(e.key.alias("_k"), e.value.alias("_v"))).alias("tag"))
-    nodes.write.format("xml").option("rootTag", "osm").option("rowTag", "node").save(path)
-    back = O.read_osm(v.spark, path)["nodes"]
-    return back.agg(F.count(F.lit(1)).alias("nodes"), F.sum(F.col("node_id").cast("long")).alias("ids"), F.floor(F.sum("lat") * 1e6 + 0.5).alias("lat"),
-                    F.count(F.try_element_at("tags", F.lit("natural"))).alias("tagged"))
+    tags = F.transform(F.map_entries("tags"), lambda e: F.struct(e.key.alias("_k"), e.value.alias("_v"))).alias("tag")
+    refs = v.way_node.groupBy("way_id").agg(F.array_sort(F.collect_list(F.struct("seq", "node_id"))).alias("r"))  # an order has at most seven
+    rows = {
+        "node": v.nodes.select(F.col("node_id").alias("_id"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), tags),
+        "way": v.ways.join(refs, "way_id", "left").select(F.col("way_id").alias("_id"), F.transform("r", lambda r: F.struct(r.node_id.alias("_ref"))).alias("nd"), tags),
+        "relation": members(v).groupBy("rel_id").agg(F.array_sort(F.collect_list(F.struct("seq", "type", "ref", "role"))).alias("r")).select(
+            F.col("rel_id").alias("_id"), F.transform("r", lambda m: F.struct(m.type.alias("_type"), m.ref.alias("_ref"), m.role.alias("_role"))).alias("member")),
+        "bounds": v.spark.createDataFrame([(0.0, 0.0, 1.0, 2.0)], "_minlat double, _minlon double, _maxlat double, _maxlon double"),
+    }
+    for tag, df in rows.items():
+        df.write.format("xml").option("rootTag", "osm").option("rowTag", tag).mode("append").save(path)
+    back = O.read_osm(v.spark, path)
+    total = lambda kind, df, key, content, tagged: df.agg(
+        F.lit(kind).alias("kind"), F.count(F.lit(1)).alias("n"), F.sum(F.col(key).cast("long")).alias("ids"), F.count(tagged).alias("tagged"), F.sum(content).cast("long").alias("content"))
+    natural = F.try_element_at("tags", F.lit("natural"))
+    walk = lambda c, f: F.aggregate(F.transform(c, f), F.lit(0).cast("long"), lambda a, x: a + x)
+    nodes = total("node", back["nodes"], "node_id", F.round(F.col("lat") * 1e6), natural)
+    ways = total("way", back["ways"], "way_id", walk("refs", lambda r, i: i * r.cast("long")), natural)
+    relations = total("relation", back["relations"], "rel_id", walk("members", lambda m, i: (i + 1) * m.ref.cast("long")), natural)
+    box = back["bounds"].select(F.lit("bounds").alias("kind"), F.lit(1).cast("long").alias("n"), F.lit(0).cast("long").alias("ids"), F.lit(0).cast("long").alias("tagged"),
+                                F.col("south").cast("long") + F.col("west").cast("long") + F.col("north").cast("long") + F.col("east").cast("long"))
+    return nodes.unionByName(ways).unionByName(relations).union(box)

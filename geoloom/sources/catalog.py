@@ -88,15 +88,37 @@ def normalise_extent(extents: DataFrame) -> DataFrame:
 def scan_extents(listing: DataFrame, cached: DataFrame, inspect) -> DataFrame:
     """Incremental extent catalogue: rows whose identity (path, size, mtime) is known are reused.
 
-    ``inspect`` maps the new listing rows to their metadata; failures come back with a null kind and are
-    not stored, so that they are tried again.
+    ``inspect`` maps the new listing rows to their metadata; failures come back with a null kind, which is shown but is
+    no cached row of a later scan, so that they are tried again. If the listing has the ``sidecars`` of ``with_sidecars``, they
+    are part of the identity.
     """
-    key = ["path", "size", "mtime"]
+    key = ["path", "size", "mtime", *(["sidecars"] if "sidecars" in listing.columns else [])]
+    cached = cached.where("kind IS NOT NULL") if "kind" in cached.columns else cached
     fresh = inspect(listing.join(cached.select(*key), key, "left_anti"))
     kept = cached.join(listing.select(*key), key, "left_semi").withColumn("reused", F.lit(True))
     return kept.unionByName(fresh.withColumn("reused", F.lit(False)), allowMissingColumns=True)
 
 
+# Files that hold heights, and endings of the files that describe one of them.
+DATA_FILES, SIDECARS = ("tif", "tiff", "asc", "hgt", "las", "laz"), ("prj", "tfw", "tifw", "wld")
+
+
+def with_sidecars(files: DataFrame) -> DataFrame:
+    """Height files of a listing (path, size, mtime) with ``sidecars``: what stands beside each and describes it.
+
+    A description has the file's name with another ending, or its whole name with .aux.xml added. Point files
+    describe themselves.
+    """
+    ending = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
+    stem = F.regexp_replace("path", r"\.[^./]+$", "")
+    whole = F.regexp_replace("path", r"(?i)\.aux\.xml$", "")
+    beside = files.withColumn("owner", F.when(ending.isin(*SIDECARS), stem).when(whole != F.col("path"), whole)).where("owner IS NOT NULL")
+    beside = beside.select("owner", F.concat_ws(":", "path", "size", "mtime").alias("note"))
+    data = files.where(ending.isin(*DATA_FILES)).withColumn("owner", F.explode(F.when(ending.isin("las", "laz"), F.array(F.lit(""))).otherwise(F.array(stem, F.col("path")))))
+    return (data.join(beside, "owner", "left").groupBy("path", "size", "mtime")
+            .agg(F.array_join(F.sort_array(F.collect_set("note")), "|").alias("sidecars")))  # at most five to a file
+
+
 def overlapping_files(extents: DataFrame, bounds: Bounds) -> DataFrame:
     """Files that touch the map, and those of unknown place, which are never dropped for their name."""
     near = bbox_touches(("minx", "miny", "maxx", "maxy"), [F.lit(v) for v in (bounds.west, bounds.south, bounds.east, bounds.north)])

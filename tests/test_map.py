@@ -5,9 +5,9 @@ from pyspark.sql import functions as F
 
 from geoloom.functions import faces as P, tags as T
 from geoloom.operators import networks as N
-from geoloom.plans.pipelines import TerrainOptions, build_terrain, convert_map
+from geoloom.plans.pipelines import TerrainOptions, build_terrain, convert_map, terrain_context
 from geoloom.sources.osm import read_osm
-from geoloom.spec import BiomeOptions, Bounds, GridSpec, MapSpec
+from geoloom.spec import BiomeOptions, Bounds, GridSpec, MapSpec, SceneryOptions
 
 BOX = 0.01
 
@@ -24,7 +24,7 @@ def write_map(path, nodes, ways, relations=()):
 
 
 @pytest.fixture(scope="module")
-def dataset(spark, tmp_path_factory):
+def extract(spark, tmp_path_factory):
     n = {1: (-40, -20, {}), 2: (-20, -20, {}), 3: (-20, 0, {}), 4: (-40, 0, {}),                            # pond
          10: (0, -15, {}), 11: (40, -15, {}), 12: (40, 25, {}), 13: (0, 25, {}),                          # pond with an island
          14: (15, 0, {}), 15: (25, 0, {}), 16: (25, 10, {}), 17: (15, 10, {}),
@@ -43,7 +43,46 @@ def dataset(spark, tmp_path_factory):
     path = write_map(tmp_path_factory.mktemp("map") / "small.osm", n, w, r)
     tables = read_osm(spark, path)
     assert tables["bounds"].first().north == BOX / 2
-    return convert_map(tables["nodes"], tables["ways"], tables["relations"], MapSpec(Bounds(-BOX / 2, -BOX / 2, BOX / 2, BOX / 2), 100.0, 100.0))
+    return tables
+
+
+SPEC = MapSpec(Bounds(-BOX / 2, -BOX / 2, BOX / 2, BOX / 2), 100.0, 100.0)
+
+
+@pytest.fixture(scope="module")
+def dataset(extract):
+    return convert_map(extract["nodes"], extract["ways"], extract["relations"], SPEC)
+
+
+def test_switches_leave_features_out(extract):
+    off = {name: False for name in ("surfaces", "waterways", "tree_nodes", "place_markers")}
+    out = convert_map(extract["nodes"], extract["ways"], extract["relations"], SPEC, scenery=SceneryOptions(features=off))
+    found = {(r.category, r.match_kind) for r in out["scenery"].select("category", "match_kind").distinct().collect()}
+    assert found == {("mappedObjects", "bench"), ("buildings", "residential")} and out["labels"].count() == 0
+
+
+def test_extract_shapes_the_ground(spark, extract):
+    context = terrain_context(extract["nodes"], extract["ways"], extract["relations"], SPEC)
+    ways = {kind: {(r.way_id, r.structure) for r in df.select("way_id", "structure").distinct().collect()} for kind, df in context["lines"].items()}
+    assert ways == {"river": {("104", False)}, "road": {("105", True)} | ways["road"] - {("105", True)}, "rail": {("106", True)}}
+    ends = context["lakes"].groupBy("lake").agg(F.sum("x0").alias("a"), F.sum("x1").alias("b")).collect()
+    assert all(abs(r.a - r.b) < 1e-9 for r in ends)
+    grid = GridSpec(100.0, 100.0, 51, 51)
+    flat = spark.range(51 * 51).selectExpr("0 AS map_id", "CAST(id / 51 AS BIGINT) AS row", "id % 51 AS col", "'a' AS source", "1 AS priority", "10D AS z")
+    lines = {k: v for k, v in context["lines"].items()}
+    out = build_terrain(flat, ["map_id"], grid, TerrainOptions(water_level=0.0), lines=lines)
+    low = {(r.row, r.col) for r in out["cells"].where("z < 9").collect()}
+    # The stream runs through (-35, 10); the bridge and the tunnel at the south and north leave no mark.
+    assert (20, 7) in low and not any(row in (0, 1, 49, 50) for row, _ in low)
+
+
+def test_open_gaps_end_a_build_unless_kept(spark):
+    grid = GridSpec(256.0, 256.0, 65, 65)
+    rows = spark.range(65 * 65).selectExpr("0 AS m", "CAST(id / 65 AS BIGINT) AS row", "id % 65 AS col", "'a' AS source", "1 AS priority", "CASE WHEN id < 100 THEN 5D END AS z")
+    with pytest.raises(ValueError, match="have no height"):
+        build_terrain(rows, ["m"], grid, TerrainOptions(fill_m=8.0))
+    kept = build_terrain(rows, ["m"], grid, TerrainOptions(fill_m=8.0, keep_gaps=True))["cells"]
+    assert kept.where("z IS NULL").count() > 0
 
 
 def test_water_areas(dataset):

@@ -6,6 +6,8 @@ import pytest
 from pyspark.sql import Window, functions as F
 
 from geoloom.operators import ordered as O
+from geoloom.operators.graph import components
+from geoloom.operators.quality import audit_verdict
 
 
 def hot(spark, n=4000):
@@ -64,3 +66,17 @@ def test_top_of_a_hot_key(spark):
     got = O.top_per_key(df, ["k"], ["v", "i"], 20, "place", salts=4)
     want = df.withColumn("place", F.row_number().over(Window.partitionBy("k").orderBy("v", "i"))).where("place <= 20")
     assert sorted(got.collect()) == sorted(want.collect())
+
+
+def test_components_of_long_paths_and_hubs(spark):
+    """A path whose ids rise along it, one in a mixed order, a hub, and a node that is linked to itself alone."""
+    edges = [(i, i + 1) for i in range(200)] + [(1000 + i * 37 % 101, 1000 + (i + 1) * 37 % 101) for i in range(100)] + [(5000, 5000 + i) for i in range(1, 60)] + [(9000, 9000)]
+    got = components(spark.createDataFrame(edges, "a long, b long")).collect()
+    want = {n: 0 for n in range(201)} | {1000 + n: 1000 for n in range(101)} | {5000 + n: 5000 for n in range(60)} | {9000: 9000}
+    assert {r.node: r.label for r in got} == want and len(got) == len(want)
+
+
+def test_audit_verdict(spark):
+    rows = spark.createDataFrame([("edges", 0), ("nodes", 0)], "metric string, problems long")
+    state = lambda df, partial=False: audit_verdict(df, partial).first().state
+    assert (state(rows), state(rows, True), state(rows.withColumn("problems", F.lit(2)))) == ("ok", "partial", "problems")

@@ -8,8 +8,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from geoloom.functions import tags as T
 from geoloom.functions.register import register
-from geoloom.operators import tiling, water as W
+from geoloom.operators import scenery as S, tiling, water as W
 from geoloom.sources import catalog as C, dataset as D, osm as O
 from geoloom.sources.points import read_points
 from geoloom.sources.rasters import read_ascii_grid, read_hgt
@@ -157,3 +158,35 @@ def test_sql_names(spark):
     register(spark)
     row = spark.sql("SELECT haversine_m(0, 0, 0, 1) AS d, (SELECT COUNT(*) FROM covering_tiles(0D, 0D, 0.1D, 0.2D, 12)) AS n").first()
     assert abs(row.d - 111195.08) < .01 and row.n == 9
+
+
+def test_sql_tag_rules_equal_the_column_rules(spark):
+    register(spark)
+    values = {"maxspeed": [None, "50", "30 mph", " 70 KM/H", "1e2", "-5", "0", "signals", ".5mph"], "water": [None, "pond", "lake", "no", "river", ""],
+              "landuse": [None, "basin", "forest", "", "meadow"], "natural": [None, "water", "wood", "heath", "spring"], "waterway": [None, "canal", "dam"], "surface": [None, "", "asphalt", "mud"]}
+    rows = [({k: v[i * (n + 1) % len(v)] for n, (k, v) in enumerate(values.items()) if v[i * (n + 1) % len(v)] is not None},) for i in range(180)]
+    df = spark.createDataFrame(rows, "tags map<string,string>")
+    df.createOrReplaceTempView("tagged")
+    got = spark.sql("SELECT max_speed_kmh(tags) AS a, water_kind(tags) AS b, surface_kind(tags) AS c FROM tagged").collect()
+    want = df.select(T.max_speed_kmh("tags"), T.water_kind("tags"), T.surface_kind("tags")).collect()
+    assert [tuple(r) for r in got] == [tuple(r) for r in want]
+
+
+def test_sidecars_belong_to_a_files_identity(spark):
+    listing = spark.createDataFrame([("d/a.tif", 10, 1), ("d/a.prj", 1, 1), ("d/a.tif.aux.xml", 2, 1), ("d/b.las", 5, 1), ("d/b.prj", 1, 1), ("d/c.asc", 7, 1)], "path string, size long, mtime long")
+    rows = {r.path: r.sidecars for r in C.with_sidecars(listing).collect()}
+    assert rows == {"d/a.tif": "d/a.prj:1:1|d/a.tif.aux.xml:2:1", "d/b.las": "", "d/c.asc": ""}
+    seen = C.with_sidecars(listing).withColumn("kind", F.when(F.col("path") != "d/c.asc", "grid"))
+    later = C.with_sidecars(listing.withColumn("mtime", F.when(F.col("path") == "d/a.prj", 2).otherwise(F.col("mtime"))))
+    out = {r.path: r.reused for r in C.scan_extents(later, seen, lambda df: df.withColumn("kind", F.lit("grid"))).collect()}
+    assert out == {"d/a.tif": False, "d/b.las": True, "d/c.asc": False}  # a changed description, and a failure that is tried again
+
+
+def test_curated_candidates_and_their_place(spark):
+    face = "array<struct<x:double,y:double>>"
+    objects = spark.createDataFrame([(1, "bench", None, None, None, None, 10.0, 20.0, 0.0)], f"item_id int, kind string, height double, width double, length double, shape {face}, x double, y double, rotation double")
+    models = spark.createDataFrame([("a", "bench", 0, 1.0, 2.0, 1.0, 3.0, 4.0), ("z", "bench", 0, 1.0, 2.0, 1.0, 3.0, 4.0), ("b", "bench", 1, 1.0, 2.0, 1.0, 0.0, 0.0)],
+                                   "name string, kind string, tier int, width double, length double, height double, cx double, cy double")
+    row, = S.match_candidates(objects, models, curated={"bench": "z"}).collect()
+    assert (row.name, row.score, row.px, row.py, row.turn) == ("z", 0.0, 7.0, 16.0, 0.0)
+    assert S.match_candidates(objects, models.where("tier = 1"), tiers=1).first().unmatched
