@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from geoloom.functions.faces import steady
 from geoloom.llm.common import free, named
 
 SPACE = r"[\x20\x09-\x0D]"
@@ -30,11 +31,11 @@ def mask(policy: str) -> int:
 
 
 def measured(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """key and the measurements of each text; each array is built once, in a projection of its own."""
+    """key and the measurements of each text; each array is built once, behind a one-row generator."""
     t, n = F.col("t"), F.col("n_words")
     rows = docs.select(named(key).alias("key"), F.coalesce(named(text), F.lit("")).alias("t"))
-    rows = rows.select("key", "t", F.array_remove(F.split("t", SPACE + "+"), "").alias("w"),
-                       F.filter(F.split("t", "\n"), lambda line: F.length(F.regexp_replace(line, SPACE + "+", "")) > 0).alias("lines"))
+    rows = steady(rows, "w", F.array_remove(F.split("t", SPACE + "+"), ""))
+    rows = steady(rows, "lines", F.filter(F.split("t", "\n"), lambda line: F.length(F.regexp_replace(line, SPACE + "+", "")) > 0))
     rows = rows.select(
         "key", "w", F.size("w").cast("long").alias("n_words"), F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         (F.length(t) - F.length(F.regexp_replace(t, r"[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
@@ -43,15 +44,15 @@ def measured(docs: DataFrame, key: str, text: str) -> DataFrame:
     kept = ["key", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_shouts"]
     # A hash for each window of three words. Different hashes are different windows, so most texts end here.
     at = F.when(n >= 3, F.sequence(F.lit(0), (n - 3).cast("int"))).otherwise(F.array().cast("array<int>"))
-    rows = rows.select(*kept, "w", F.transform(at, lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2))).alias("h"))
+    rows = steady(rows.select(*kept, "w"), "h", F.transform(at, lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2))))
     rows = rows.select(*kept, "w", "h", (F.size(F.array_distinct("h")) < F.size("h")).alias("again"))
     # Only where a hash comes twice are windows sorted, by hash and then by their words.
     window = lambda x, i: F.struct(x.alias("h"), F.concat_ws(" ", F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)).alias("s"), i.alias("i"))
     none = F.array().cast("array<struct<h:bigint,s:string,i:int>>")
-    rows = rows.select(*kept, F.when(F.col("again"), F.sort_array(F.transform("h", window))).otherwise(none).alias("z"))
+    rows = steady(rows, "z", F.when(F.col("again"), F.sort_array(F.transform("h", window))).otherwise(none)).select(*kept, "z")
     same = lambda a, b: F.coalesce((a["h"] == b["h"]) & (a["s"] == b["s"]), F.lit(False))
     places = F.transform("z", lambda e, k: F.when(same(e, F.get("z", k - 1)) | same(e, F.get("z", k + 1)), e["i"]).otherwise(-1))
-    rows = rows.select(*kept, F.sort_array(F.filter(places, lambda p: p >= 0)).alias("p"))
+    rows = steady(rows, "p", F.sort_array(F.filter(places, lambda p: p >= 0))).select(*kept, "p")
     # A repeated window adds the words that the one before it does not hold.
     added = F.transform("p", lambda p, k: F.when(k == 0, 3).otherwise(F.least(F.lit(3), p - F.get("p", k - 1))))
     return rows.select(*kept, F.aggregate(added, F.lit(0).cast("long"), lambda a, x: a + x).alias("n_repeat_words"))
