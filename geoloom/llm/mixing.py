@@ -3,14 +3,17 @@
 A source with share w of the target and n of N rows is repeated at the rate w N / n. Each document gets a
 uniform number from a hash of its key and the seed, and the number of its copies is the Poisson distribution's
 inverse at that number, so a document's copies depend on nothing but its key, the seed and its source's rate.
-Copies are then shuffled by a hash of key and copy. Everything is DataFrame functions.
+Copies are then shuffled by a hash of key and copy. The inverse is summed in Python, all else is DataFrame functions.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import IntegerType
 
 from geoloom.llm.common import free, named, parts
 from geoloom.session import settle
@@ -24,16 +27,35 @@ def uniform(key: Column, seed: str) -> Column:
     return (bits.cast("double") + 0.5) / CELLS
 
 
-def poisson_inverse(u: Column, rate: Column, top: int) -> Column:
-    """The smallest k whose distribution function reaches ``u``; ``top`` is a k that no u can exceed."""
-    start = F.struct(F.lit(0).alias("k"), F.exp(-rate).alias("p"), F.exp(-rate).alias("sum"))
+def distribution(rate: float) -> tuple[int, np.ndarray]:
+    """The first k whose probability counts in doubles, and the distribution function from there on.
+
+    Terms are products of rate / k away from the mode, scaled by their sum, so they do not underflow at any rate; 12 deviations and
+    40 steps on either side leave out less than any cell of ``u``.
+    """
+    mode, reach = int(rate), int(12 * math.sqrt(rate) + 40)
+    low = max(0, mode - reach)
+    down = np.log(np.arange(mode, low, -1, dtype=np.float64)) - math.log(rate) if mode > low else np.empty(0)
+    up = (math.log(rate) if rate > 0 else -math.inf) - np.log(np.arange(mode + 1, mode + reach + 1, dtype=np.float64))
+    terms = np.exp(np.concatenate([np.cumsum(down)[::-1], [0.0], np.cumsum(up)]))
+    sums = np.cumsum(terms)
+    return low, sums / sums[-1]
+
+
+@F.arrow_udf(IntegerType())
+def _copies(u: pa.Array, rate: pa.Array) -> pa.Array:
+    u, rate = (x.to_numpy(zero_copy_only=False).astype(np.float64) for x in (u, rate))
+    out, order = np.zeros(u.size, np.int32), np.argsort(rate, kind="stable")
+    for rows in np.split(order, np.flatnonzero(np.diff(rate[order])) + 1) if u.size else []:
+        low, reached = distribution(float(rate[rows[0]]))
+        out[rows] = low + np.searchsorted(reached, u[rows])
+    return pa.array(out)
 
-    def step(acc, i):
-        p = acc["p"] * rate / i
-        more = acc["sum"] < u
-        return F.struct(F.when(more, i).otherwise(acc["k"]).alias("k"), p.alias("p"), F.when(more, acc["sum"] + p).otherwise(acc["sum"]).alias("sum"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(top)), start, step, lambda acc: acc["k"])
+def poisson_inverse(u: Column, rate: Column, top: int | None = None) -> Column:
+    """The smallest k whose distribution function reaches ``u``, but ``top`` at most where that is given."""
+    k = _copies(u, rate)
+    return k if top is None else F.least(k, F.lit(top))
 
 
 def rates(docs: DataFrame, source: str = "source", weights: dict[str, float] | None = None, alpha: float = 0.5) -> DataFrame:
@@ -65,12 +87,9 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", weights: d
     """
     rate, copies, copy, order, src = free(docs, "rate", "copies", "copy", "shuffle_key", "source_of_rate")
     table = rates(docs, source, weights, alpha)
-    # The number of steps is bounded by the largest rate: at rate + 12 sqrt(rate) + 40 the tail is below any cell.
-    most = table.agg(F.max("rate")).first()[0] or 0.0
-    top = int(most + 12 * math.sqrt(most) + 40)
     # The rates are written, so their true size decides between a broadcast and a join that splits large sources.
     rated = docs.join(table.select(F.col("source").alias(src), F.col("rate").alias(rate)), named(source).eqNullSafe(F.col(src))).drop(src)
-    counted = rated.withColumn(copies, poisson_inverse(uniform(named(key), seed), F.col(rate), top)).where(F.col(copies) > 0)
+    counted = rated.withColumn(copies, poisson_inverse(uniform(named(key), seed), F.col(rate))).where(F.col(copies) > 0)
     out = counted.withColumn(copy, F.explode(F.sequence(F.lit(0), F.col(copies) - 1)))
     out = out.withColumn(order, F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(named(key).cast("string"), F.lit("")), F.col(copy))))
     return out.repartition(parts(docs.sparkSession), F.col(order)).sortWithinPartitions(order) if shuffle else out
