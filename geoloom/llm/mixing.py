@@ -89,8 +89,9 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", weights: d
     table = rates(docs, source, weights, alpha)
     # The rates are written, so their true size decides between a broadcast and a join that splits large sources.
     rated = docs.join(table.select(F.col("source").alias(src), F.col("rate").alias(rate)), named(source).eqNullSafe(F.col(src))).drop(src)
-    counted = rated.withColumn(copies, poisson_inverse(uniform(named(key), seed), F.col(rate))).where(F.col(copies) > 0)
-    out = counted.withColumn(copy, F.explode(F.sequence(F.lit(0), F.col(copies) - 1)))
+    counted = rated.withColumn(copies, poisson_inverse(uniform(named(key), seed), F.col(rate)))
+    # Not by a filter, which would be pushed below the inverse and compute it twice; the null of no copies explodes to no row.
+    out = counted.withColumn(copy, F.explode(F.when(F.col(copies) > 0, F.sequence(F.lit(0), F.col(copies) - 1))))
     out = out.withColumn(order, F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(named(key).cast("string"), F.lit("")), F.col(copy))))
     return out.repartition(parts(docs.sparkSession), F.col(order)).sortWithinPartitions(order) if shuffle else out
 

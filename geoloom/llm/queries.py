@@ -50,7 +50,7 @@ def op6_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
-    return mixing.mix(table(spark, folder, "documents").select("doc_id", "source")).withColumn("rate", F.round("rate", 9))
+    return mixing.mix(table(spark, folder, "documents")).withColumn("rate", F.round("rate", 9))
 
 
 def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:

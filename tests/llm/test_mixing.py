@@ -34,3 +34,13 @@ def test_a_large_rate_does_not_change_another(spark_text):
     large = [r for r in rows if r.source != "hot"]
     assert len(large) == 20 and {round(r.rate) for r in large} == {10_000, 421}
     assert all(abs(r.n - r.rate) < 6 * math.sqrt(r.rate) for r in large)
+
+
+def test_query_carries_whole_documents(spark_text, documents):
+    rows = op7_mixing(spark_text, FOLDER).collect()
+    want = {r.doc_id: r for r in documents[0].collect()}
+    assert rows and all((r.text, r.lang, r.source, r.n_chars) == (want[r.doc_id].text, want[r.doc_id].lang, want[r.doc_id].source, want[r.doc_id].n_chars) for r in rows)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{FOLDER}/documents.parquet'")
+    names = ["doc_id", "source", "rate", "copies", "copy", "shuffle_key"]  # the twin has no other columns
+    assert sorted(tuple(r[n] for n in names) for r in rows) == sorted(con.execute(f"SELECT {', '.join(names)} FROM ({mixing.MIX_SQL})").fetchall())
