@@ -93,19 +93,24 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", weights: d
     # Not by a filter, which would be pushed below the inverse and compute it twice; the null of no copies explodes to no row.
     out = counted.withColumn(copy, F.explode(F.when(F.col(copies) > 0, F.sequence(F.lit(0), F.col(copies) - 1))))
     out = out.withColumn(order, F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(named(key).cast("string"), F.lit("")), F.col(copy))))
-    return out.repartition(parts(docs.sparkSession), F.col(order)).sortWithinPartitions(order) if shuffle else out
+    if not shuffle:
+        return out
+    # Rows without a key share their shuffle_key; a hash of their content deals them over partitions too.
+    content = F.xxhash64(*[named(f.name) for f in docs.schema if f.dataType.simpleString() in ("string", "bigint", "int", "double")], F.lit(seed))
+    return out.repartition(parts(docs.sparkSession), F.col(order), F.when(named(key).isNull(), content)).sortWithinPartitions(order)
 
 
 MIX_SQL = """
 WITH counts AS (SELECT source, count(*) AS n, power(count(*)::DOUBLE, 0.5) AS w FROM documents GROUP BY source),
 rates AS (SELECT source, (w / (SELECT sum(w) FROM counts)) * (SELECT sum(n) FROM counts) / n AS rate FROM counts),
 drawn AS (
-  SELECT doc_id, d.source, rate, (('0x' || substr(md5('mix-1:' || doc_id), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496 AS u
+  SELECT d.*, rate, (('0x' || substr(md5('mix-1:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496 AS u
   FROM documents d JOIN rates r ON d.source IS NOT DISTINCT FROM r.source),
-terms AS (  -- terms of the distribution by k, and their running sums
+terms AS (  -- terms of the distribution by k, and their running sums, as far as each source's rate asks
   SELECT source, k, sum(exp(-rate + k * ln(rate) - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS cdf
-  FROM rates, range(0, 400) t(k)),
-counted AS (SELECT doc_id, d.source, rate, (SELECT count(*) FROM terms t WHERE t.source = d.source AND t.cdf < d.u) AS copies FROM drawn d)
-SELECT doc_id, source, round(rate, 9) AS rate, copies::INT AS copies, copy::INT AS copy, md5('mix-1:' || doc_id || ':' || copy) AS shuffle_key
+  FROM (SELECT source, rate, unnest(range(0, (rate + 12 * sqrt(rate) + 40)::BIGINT)) AS k FROM rates)),
+counted AS (SELECT d.*, (SELECT count(*) FROM terms t WHERE t.source IS NOT DISTINCT FROM d.source AND t.cdf < d.u) AS copies FROM drawn d)
+SELECT * EXCLUDE (u, copy) REPLACE (round(rate, 9) AS rate, copies::INT AS copies), copy::INT AS copy,
+  md5('mix-1:' || coalesce(doc_id::VARCHAR, '') || ':' || copy) AS shuffle_key
 FROM counted, LATERAL (SELECT unnest(range(0, copies)) AS copy)
 """

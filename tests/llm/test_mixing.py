@@ -42,5 +42,5 @@ def test_query_carries_whole_documents(spark_text, documents):
     assert rows and all((r.text, r.lang, r.source, r.n_chars) == (want[r.doc_id].text, want[r.doc_id].lang, want[r.doc_id].source, want[r.doc_id].n_chars) for r in rows)
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{FOLDER}/documents.parquet'")
-    names = ["doc_id", "source", "rate", "copies", "copy", "shuffle_key"]  # the twin has no other columns
+    names = ["doc_id", "text", "lang", "source", "n_chars", "rate", "copies", "copy", "shuffle_key"]
     assert sorted(tuple(r[n] for n in names) for r in rows) == sorted(con.execute(f"SELECT {', '.join(names)} FROM ({mixing.MIX_SQL})").fetchall())
