@@ -1,8 +1,8 @@
 """Source divergence audit with late strings.
 
-Texts are read once. Each task counts the terms of its documents and writes one row for each language, source and term it
-met; the row has the term's 64-bit digest and the term itself. All counting that follows reads and shuffles digests
-of fixed width only. Strings are read again for kept digests alone: their smallest and largest string show
+Texts are read once. Each task counts the terms of its documents and writes one row for each language and term it
+met: the term's 64-bit digest, the term itself, its documents, and its count by number of the source. What is counted, joined and
+shuffled from then on are digests of fixed width. Strings are read again for kept digests alone: their smallest and largest string show
 whether one digest stands for several terms, and only such digests are counted again by string. Terms' texts are joined
 back for the few rows that are returned.
 """
@@ -10,7 +10,6 @@ back for the few rows that are returned.
 from __future__ import annotations
 
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -21,69 +20,77 @@ from geoloom.llm.common import named
 from geoloom.session import settle
 
 TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
-SEED, UNIT, PARTIAL = 42, 1_000_000_000, 200_000
-COUNTS = "lang string, source string, digest bigint, term string, n bigint, df bigint"
+SEED, UNIT = 42, 1_000_000_000
+TOKENS, TERMS = 2_000_000, 300_000  # what a task holds before it writes rows
+COUNTS = "lang string, digest bigint, term string, df bigint, at array<int>, n array<bigint>"
 
 
-def term_counts(docs: DataFrame, lang: str, source: str, text: str, bits: int) -> DataFrame:
-    """(lang, source, digest, term, n, df) of each task's documents, at most PARTIAL rows held at once; a group also has a row without a term."""
+class Numbers(dict):
+    """A number for each key, in the order of their first use."""
+
+    def __missing__(self, key):
+        self[key] = out = len(self)
+        return out
+
+
+def totals(numbers: dict, docs: np.ndarray, sources: np.ndarray, terms: np.ndarray, bits: int) -> list[pa.Array]:
+    """Columns digest, term, df, at, n from one entry a token: its document, source number and term number."""
+    pairs = np.unique((terms.astype(np.int64) << 32) | docs)
+    df = np.bincount(pairs >> 32, minlength=len(numbers))
+    keys, n = np.unique((terms.astype(np.int64) << 32) | sources, return_counts=True)
+    cuts = np.searchsorted(keys >> 32, np.arange(len(numbers) + 1)).astype(np.int32)
+    digests = np.fromiter((xxhash.xxh64_intdigest(w, SEED) >> (64 - bits) for w in numbers), np.uint64, len(numbers)).view(np.int64)
+    lists = lambda values: pa.ListArray.from_arrays(pa.array(cuts), pa.array(values))
+    return [pa.array(digests), pa.array(list(numbers), pa.binary()).cast(pa.string()), pa.array(df), lists((keys & 0xFFFFFFFF).astype(np.int32)), lists(n.astype(np.int64))]
+
+
+def term_counts(docs: DataFrame, bits: int) -> DataFrame:
+    """(lang, digest, term, df, at, n) of the documents (lang, at, text) of each task, a bounded number of tokens at a time."""
     def counted(batches):
-        held: dict[tuple[str, str], dict[bytes, list[int]]] = {}
-        size = 0
+        held: dict[str, tuple[Numbers, list]] = {}
+        size, doc = 0, 0
 
         def out():
-            nonlocal held, size
-            rows = [(g, s, w, c) for (g, s), terms in held.items() for w, c in terms.items()]
-            digests = np.fromiter((xxhash.xxh64_intdigest(w, SEED) >> (64 - bits) for *_, w, _ in rows), np.uint64, len(rows)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([
-                pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array(digests),
-                pa.array([r[2] for r in rows], pa.binary()).cast(pa.string()), pa.array([r[3][0] for r in rows], pa.int64()),
-                pa.array([r[3][1] for r in rows], pa.int64())], ["lang", "source", "digest", "term", "n", "df"])
-            groups = list(held)
-            none = pa.nulls(len(groups), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in groups], pa.string()), pa.array([s for _, s in groups], pa.string()), none,
-                                              pa.nulls(len(groups), pa.string()), none, none], ["lang", "source", "digest", "term", "n", "df"])
-            held, size = {}, 0
+            for lang, (numbers, parts) in held.items():
+                if numbers:
+                    docs_, sources, terms = (np.concatenate(c) for c in zip(*parts))
+                    columns = totals(numbers, docs_, sources, terms, bits)
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(numbers), pa.string()), *columns], ["lang", "digest", "term", "df", "at", "n"])
+            held.clear()
 
         for batch in batches:
-            texts = batch.column(2).cast(pa.binary()).to_pylist()
-            for g, s, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts):
-                terms = held.setdefault((g or "", s or ""), {})
-                before = len(terms)
-                for word, n in Counter(TERM.findall((t or b"").lower())).items():
-                    at = terms.get(word)
-                    if at is None:
-                        terms[word] = [n, 1]
-                    else:
-                        at[0] += n
-                        at[1] += 1
-                size += len(terms) - before
-                if size > PARTIAL:
+            for lang, at, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist()):
+                words = TERM.findall((text or b"").lower())
+                numbers, parts = held.setdefault(lang, (Numbers(), []))
+                terms = np.fromiter(map(numbers.__getitem__, words), np.int32, len(words))
+                parts.append((np.full(terms.size, doc, np.int64), np.full(terms.size, at, np.int64), terms))
+                size, doc = size + terms.size, doc + 1
+                if size > TOKENS or sum(len(x) for x, _ in held.values()) > TERMS:
                     yield from out()
+                    size, doc = 0, 0
         yield from out()
 
-    return docs.select(named(lang).alias("lang"), named(source).alias("source"), named(text).alias("text")).mapInArrow(counted, COUNTS)
+    return docs.select("lang", "at", "text").mapInArrow(counted, COUNTS)
 
 
 def kept_terms(partial: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
-    """(counts, names): n of every kept term by (lang, source, digest, part), and the text of every kept (lang, digest, part).
+    """(counts, names): n of every kept term by (lang, at, digest, part), and the text of every kept (lang, digest, part).
 
     ``part`` is empty unless several terms of a language share the digest; then it is the term.
     """
-    partial = partial.where("digest IS NOT NULL")
-    counts = settle(partial.groupBy("lang", "source", "digest").agg(F.sum("n").alias("n"), F.sum("df").alias("df")))
     # A digest that stands for several terms has at least the documents of each of them, so no term is lost here.
-    often = settle(counts.groupBy("lang", "digest").agg(F.sum("df").alias("df")).where(F.col("df") >= least).select("lang", "digest"))
-    ends = partial.join(often, ["lang", "digest"], "left_semi").groupBy("lang", "digest").agg(F.min("term").alias("low"), F.max("term").alias("high"))
-    ends = settle(ends)
+    often = settle(partial.groupBy("lang", "digest").agg(F.sum("df").alias("df")).where(F.col("df") >= least).select("lang", "digest"))
+    rows = settle(partial.join(often, ["lang", "digest"], "left_semi"))
+    ends = settle(rows.groupBy("lang", "digest").agg(F.min("term").alias("low"), F.max("term").alias("high")))
     mixed = ends.where("low <> high").select("lang", "digest")
-    again = settle(partial.join(mixed, ["lang", "digest"], "left_semi").groupBy("lang", "source", "digest", F.col("term").alias("part"))
-                   .agg(F.sum("n").alias("n"), F.sum("df").alias("df")))
-    parts = again.groupBy("lang", "digest", "part").agg(F.sum("df").alias("df")).where(F.col("df") >= least).drop("df")
+    split = rows.join(mixed, ["lang", "digest"], "left_semi")
+    some = split.groupBy("lang", "digest", F.col("term").alias("part")).agg(F.sum("df").alias("df")).where(F.col("df") >= least).drop("df")
     single = ends.where("low = high").select("lang", "digest", F.lit("").alias("part"), F.col("low").alias("term"))
-    names = settle(single.unionByName(parts.withColumn("term", F.col("part"))))
-    each = counts.select("lang", "source", "digest", F.lit("").alias("part"), "n").unionByName(again.select("lang", "source", "digest", "part", "n"))
-    return settle(each.join(names.drop("term"), ["lang", "digest", "part"], "left_semi")), names
+    names = settle(single.unionByName(some.withColumn("term", F.col("part"))))
+    each = lambda df, part: df.select("lang", "digest", part.alias("part"), F.explode(F.arrays_zip("at", "n")).alias("u")).select("lang", "digest", "part", "u.at", "u.n")
+    plain = each(rows.join(mixed, ["lang", "digest"], "left_anti"), F.lit("")).groupBy("lang", "digest", "part", "at").agg(F.sum("n").alias("n"))
+    again = each(split, F.col("term")).join(names.drop("term"), ["lang", "digest", "part"], "left_semi").groupBy("lang", "digest", "part", "at").agg(F.sum("n").alias("n"))
+    return settle(plain.unionByName(again)), names
 
 
 def chance(count: str, total: str) -> Column:
@@ -138,18 +145,20 @@ def audit(docs: DataFrame, lang: str = "lang", source: str = "source", text: str
     source uses more than its language does. Null languages, sources and texts are empty ones; repeated rows count as often as they come; a language
     without kept terms has pairs of value 0; an empty table gives no rows; other columns are not read. ``bits`` narrows the digest, for tests.
     """
-    partial = settle(term_counts(docs, lang, source, text, bits))
+    own = docs.select(F.coalesce(named(lang), F.lit("")).alias("lang"), F.coalesce(named(source), F.lit("")).alias("source"), named(text).alias("text"))
+    # Sources of a language by number, a row each; a language's list is as long as it has sources.
+    lists = own.groupBy("lang").agg(F.sort_array(F.collect_set("source")).alias("source"))
+    numbers = settle(lists.select("lang", F.posexplode("source").alias("at", "source")))
+    partial = settle(term_counts(own.join(numbers, ["lang", "source"]), bits))
     counts, names = kept_terms(partial, least)
     size = names.groupBy("lang").agg(F.count(F.lit(1)).alias("v"))
-    sums = counts.groupBy("lang", "source").agg(F.sum("n").alias("n"))
-    groups = partial.where("digest IS NULL").select("lang", "source").distinct().join(sums, ["lang", "source"], "left").join(size, "lang", "left").na.fill(0, ["n", "v"])
+    sums = counts.groupBy("lang", "at").agg(F.sum("n").alias("n"))
+    groups = numbers.join(sums, ["lang", "at"], "left").join(size, "lang", "left").na.fill(0, ["n", "v"])
     groups = settle(groups.withColumn("total", (F.col("n") + 2 * F.col("v")).cast("decimal(19,0)")))
-    # Sources of a language by number: one row a language, as long as it has sources.
-    listed = groups.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("source", chance("0", "total").alias("p")))).alias("all"), F.sum("n").cast("decimal(19,0)").alias("n"),
+    listed = groups.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("at", "source", chance("0", "total").alias("p")))).alias("all"), F.sum("n").cast("decimal(19,0)").alias("n"),
                                         F.first("v").alias("v"))
     listed = settle(listed.select("lang", "all.source", F.col("all.p").alias("base"), (F.col("n") + 2 * F.col("v")).cast("decimal(19,0)").alias("lang_total")))
-    numbers = settle(listed.select("lang", F.posexplode("source").alias("at", "source")).join(groups.select("lang", "source", "total"), ["lang", "source"]))
-    each = settle(counts.join(numbers, ["lang", "source"]).select("lang", "source", "digest", "part", "at", "n", chance("n", "total").alias("p")))
+    each = counts.join(groups.select("lang", "at", "total"), ["lang", "at"]).select("lang", "digest", "part", "at", "n", chance("n", "total").alias("p"))
     lines = each.groupBy("lang", "digest", "part").agg(F.collect_list(F.struct("at", "p")).alias("u"), F.sum("n").alias("all_n"))
     lines = settle(lines.join(listed.select("lang", "base", "lang_total"), "lang").select("lang", "digest", "part", "u.at", "u.p", "base", chance("all_n", "lang_total").alias("q")))
     value = pair_sums(lines).groupBy("lang", "a", "b").agg(F.sum("value").alias("value"))
@@ -164,7 +173,7 @@ def audit(docs: DataFrame, lang: str = "lang", source: str = "source", text: str
     above = above.withColumn("value", F.expr("((p - q) * (p - q)) DIV (p + q)"))
     best = above.withColumn("place", F.rank().over(Window.partitionBy("lang", "at").orderBy(F.col("value").desc()))).where(F.col("place") <= top)
     best = best.select("lang", "digest", F.col("part").alias("piece"), "at", "value")
-    best = best.join(names.select("lang", "digest", F.col("part").alias("piece"), F.col("term").alias("item")), ["lang", "digest", "piece"]).join(numbers.drop("total"), ["lang", "at"])
+    best = best.join(names.select("lang", "digest", F.col("part").alias("piece"), F.col("term").alias("item")), ["lang", "digest", "piece"]).join(numbers, ["lang", "at"])
     terms = best.select("lang", "source", F.lit("term").alias("part"), "item", "value").withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= top)
     return pairs.unionByName(terms)
 
