@@ -144,9 +144,14 @@ def decode(df: DataFrame, ranks: bytes, pattern: str, ids: str = "ids", out: str
     return df.withColumn(out, bytes_of(named(ids)))
 
 
-def digests(docs: DataFrame, ranks: bytes, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Encode, decode and describe both: key, n_tokens, ids_sha256, decoded_sha256."""
-    ids, back = free(docs.select(key, text), "ids", "decoded")
-    both = decode(encode(docs.select(key, text), ranks, pattern, text, ids), ranks, pattern, ids, back)
-    return both.select(named(key), (F.octet_length(ids) / 4).cast("long").alias("n_tokens"), F.sha2(named(ids), 256).alias("ids_sha256"),
+def tokens(docs: DataFrame, ranks: bytes, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Encode every text and decode its ids: key, n_tokens, ids, ids_sha256, decoded_sha256."""
+    ids, back = free(docs.select(named(key), named(text)), "ids", "decoded")
+    both = decode(encode(docs.select(named(key), named(text)), ranks, pattern, text, ids), ranks, pattern, ids, back)
+    return both.select(named(key), (F.octet_length(named(ids)) / 4).cast("long").alias("n_tokens"), named(ids).alias("ids"), F.sha2(named(ids), 256).alias("ids_sha256"),
                        F.sha2(named(back), 256).alias("decoded_sha256"))
+
+
+def digests(docs: DataFrame, ranks: bytes, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The same without the ids themselves."""
+    return tokens(docs, ranks, pattern, key, text).drop("ids")

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from geoloom.session import prepare, scratch_dir
@@ -81,6 +83,34 @@ def numbered(df: DataFrame, columns: dict[str, Column], key: str) -> DataFrame:
     return settle(df.select(F.monotonically_increasing_id().alias(key), *[c.alias(n) for n, c in columns.items()]))
 
 
+FILE = re.compile(r"part-(\d{1,6})-.*?(?:-c|\.c)(\d{1,3})\b.*")
+
+
+def with_rows(docs: DataFrame, row: str, as_read: bool = False) -> DataFrame:
+    """The rows with a number ``row`` that is the same in every later reading.
+
+    With ``as_read`` the rows are those of a table that Spark has written, just as it was read, and the number is made of file and place in the file, so
+    nothing is copied. In all other cases, other file names among them, the rows are written with their numbers.
+    """
+    from geoloom.session import settle
+
+    if as_read and "_metadata" not in docs.columns:
+        names = [FILE.fullmatch(os.path.basename(f)) for f in docs.inputFiles()]
+        if names and all(names) and len({m.groups() for m in names}) == len(names):
+            name = F.col("_metadata.file_name")
+            number = F.regexp_extract(name, FILE.pattern, 1).cast("long") * 1000 + F.regexp_extract(name, FILE.pattern, 2).cast("long")
+            try:
+                return docs.select("*", (F.shiftleft(number, 33) + F.col("_metadata.row_index")).alias(row))
+            except AnalysisException:  # not a table as read
+                pass
+    return settle(docs.select("*", F.monotonically_increasing_id().alias(row)))
+
+
+def stay(docs: DataFrame, keep: DataFrame, row: str, columns: list[str]) -> DataFrame:
+    """Rows of ``docs`` whose number is in ``keep``, by one plan at every size."""
+    return docs.join(keep.select(F.col("row").alias(row)).hint("shuffle_hash"), row, "left_semi").select(*[named(c) for c in columns])
+
+
 class Memo(dict):
     """A table of results by word that is emptied when it is full; ``work`` fills it."""
 

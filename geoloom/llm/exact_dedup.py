@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from geoloom.llm.common import free, named
+from geoloom.llm.common import free, named, stay, with_rows
 from geoloom.session import settle
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -51,10 +51,9 @@ def exact_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", s
                                          F.col("digest").alias("text_sha256"))
 
 
-def drop_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", support: float = 1 / 512) -> DataFrame:
-    """The documents that stay, with all their columns."""
+def drop_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", support: float = 1 / 512, as_read: bool = False) -> DataFrame:
+    """The documents that stay, with all their columns; ``as_read`` as in ``common.with_rows``."""
     (row,) = free(docs, "row")
-    stored = settle(docs.select("*", F.monotonically_increasing_id().alias(row)))
+    stored = with_rows(docs, row, as_read)
     rows = settle(stored.select(F.col(row).alias("row"), named(key).alias("key"), digest(named(text)).alias("digest")))
-    keep = classes(rows, support).where("row = top.row").select(F.col("row").alias(row))
-    return stored.join(keep, row, "left_semi").select(*[named(c) for c in docs.columns])
+    return stay(stored, classes(rows, support).where("row = top.row").select("row"), row, docs.columns)

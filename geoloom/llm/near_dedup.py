@@ -1,12 +1,12 @@
 """Near-duplicates by the Jaccard similarity of five-word shingles.
 
-SimHash cannot find these at bounded cost: a similarity of 0.8 moves about 10 of 64 bits, and deletion variants for 10 bits
-leave keys of about 10 bits, under which a fixed share of all documents meets. So candidates come from min-hashes: each text
-has ``BANDS`` keys of ``ROWS`` min-hashes, and two texts of similarity s share one with probability 1 - (1 - s^5)^24 (0.99993 at
-0.8). Every candidate is verified on the words themselves, in two rounds: first each text against the first one under
-each of its keys, then, under keys that still hold several components, all pairs between different components.
-A key that still holds more than ``most`` texts is not compared pair by pair: its texts meet ``LEADERS`` of them, and each other where
-they share the next key too.
+Candidates come from two sources, and every one is verified on the words themselves. The first is SimHash with deletion variants
+(``simhash.links``, to three bits) over five-word shingles. It cannot find a similarity of 0.8 at bounded cost: that moves about 10 of 64
+bits, and deletion variants for 10 bits leave keys of about 10 bits, under which a fixed share of all documents meets. So the second
+source are min-hashes: each text has ``BANDS`` keys of ``ROWS`` min-hashes, and two texts of similarity s share one with
+probability 1 - (1 - s^5)^24 (0.99993 at 0.8). Under each key the texts meet a few leaders a round, twice as many in each
+round; what is linked needs no further comparison, and a key is done when its texts that have not led are one component. So every
+pair of different components under a key is compared in the end, and copies of one text meet one leader, however many they are.
 """
 
 from __future__ import annotations
@@ -17,17 +17,18 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import BooleanType
 
-from geoloom.llm.common import Memo, free, named
+from geoloom.llm import simhash
+from geoloom.llm.common import Memo, free, named, stay, with_rows
 from geoloom.llm.links import components
 from geoloom.session import settle
 
-BANDS, ROWS, LEADERS = 24, 5, 8
+BANDS, ROWS = 24, 5
 RANDOM = np.random.default_rng(42).integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64)
 FLIPS, FACTORS = RANDOM[0][:, None], RANDOM[1][:, None] | np.uint64(1)
-SKETCH = "row bigint, key bigint, digest binary, n int, bands array<bigint>"
+SKETCH = "row bigint, key bigint, digest binary, n int, fp bigint, bands array<bigint>"
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -43,24 +44,27 @@ def shingles(text: str, width: int) -> set[bytes]:
     return {b" ".join(words[i:i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
 
 
-def sketch_of(text: str, width: int, memo) -> tuple[bytes, int, list[int]]:
-    """Digest of the set of shingles, its size, and the keys of its bands."""
+def sketch_of(text: str, width: int, memo) -> tuple[bytes, int, int, list[int]]:
+    """Digest of the set of shingles, its size, its SimHash, and the keys of its bands."""
     words = text.encode().lower().split()
     if not words:
-        return b"", 0, []
+        return b"", 0, 0, []
     w = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
     n = max(1, w.size - width + 1)
     h = np.full(n, len(words) if len(words) < width else 0, np.uint64)
     for k in range(min(width, w.size)):
         h = mixed(h + w[k:k + n])
     h = np.unique(h)
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
+    least, ones = np.full(BANDS * ROWS, np.iinfo(np.uint64).max), np.zeros(64, np.int64)
     for x in range(0, h.size, 2048):
-        least = np.minimum(least, ((h[x:x + 2048] ^ FLIPS) * FACTORS).min(axis=1))
+        block = h[x:x + 2048]
+        least = np.minimum(least, ((block ^ FLIPS) * FACTORS).min(axis=1))
+        ones += np.unpackbits(block.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     key = np.arange(BANDS, dtype=np.uint64)
     for column in least.reshape(BANDS, ROWS).T:
         key = mixed(key + column)
-    return hashlib.blake2b(h.tobytes(), digest_size=16).digest(), int(h.size), key.view(np.int64).tolist()
+    fp = int(np.packbits(2 * ones > h.size, bitorder="little").view(np.int64)[0])
+    return hashlib.blake2b(h.tobytes(), digest_size=16).digest(), int(h.size), fp, key.view(np.int64).tolist()
 
 
 def sketches(docs: DataFrame, width: int) -> DataFrame:
@@ -68,9 +72,10 @@ def sketches(docs: DataFrame, width: int) -> DataFrame:
     def made(batches):
         memo = Memo(lambda word: xxhash.xxh64_intdigest(word, 42), most=50_000, longest=32)  # small, as idle workers keep it
         for batch in batches:
-            rows = list(zip(*(sketch_of(t or "", width, memo) for t in batch.column(2).to_pylist()))) or [()] * 3
+            rows = list(zip(*(sketch_of(t or "", width, memo) for t in batch.column(2).to_pylist()))) or [()] * 4
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows[0], pa.binary()), pa.array(rows[1], pa.int32()),
-                                              pa.array(rows[2], pa.list_(pa.int64()))], ["row", "key", "digest", "n", "bands"])
+                                              pa.array(rows[2], pa.int64()), pa.array(rows[3], pa.list_(pa.int64()))],
+                                             ["row", "key", "digest", "n", "fp", "bands"])
 
     return docs.mapInArrow(made, SKETCH)
 
@@ -87,7 +92,8 @@ def verified(pairs: DataFrame, texts: DataFrame, width: int, least: float) -> Da
             out.append(both >= least * (len(x) + len(y) - both) - 1e-9)
         return pa.array(out, pa.bool_())
 
-    used = settle(texts.join(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "row", "left_semi"))
+    # The texts of the pairs are read once; both joins hash one side at every size.
+    used = settle(texts.join(pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct().hint("shuffle_hash"), "row", "left_semi"))
     with_texts = (pairs.select("a", "b").join(used.select(F.col("row").alias("a"), F.col("text").alias("x")), "a")
                   .join(used.select(F.col("row").alias("b"), F.col("text").alias("y")), "b"))
     return settle(with_texts.where(close("x", "y")).select("a", "b"))
@@ -98,57 +104,65 @@ def similar_sizes(one: str, other: str, least: float):
     return F.least(one, other) >= least * F.greatest(one, other) - 1e-9
 
 
-def first_pairs(met: DataFrame, least: float) -> DataFrame:
-    """Each text with the first one under each of its keys."""
-    return settle(met.where("row <> first").where(similar_sizes("n", "first_n", least)).select(F.col("first").alias("a"), F.col("row").alias("b")).distinct())
-
-
-def further_pairs(met: DataFrame, roots: DataFrame, least: float, most: int) -> DataFrame:
-    """Pairs of different components under one key."""
-    rooted = met.select("band", "next", "row", "n").join(roots.select(F.col("node").alias("row"), "root"), "row", "left").withColumn("root", F.coalesce("root", "row"))
-    sizes = rooted.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band", "size")
-    open_ = settle(rooted.join(sizes, "band"))
-    crowded = open_.where(F.col("size") > most)
-    within = crowded.groupBy("band", "next").agg(F.count(F.lit(1)).alias("part")).where(F.col("part").between(2, most)).select("band", "next")
-    slots = crowded.withColumn("slot", F.pmod(F.xxhash64("row", "band"), F.lit(LEADERS)))
-    leaders = slots.groupBy("band", "slot").agg(F.min(F.struct("row", "n", "root")).alias("l")).select("band", "l.*")
+def simhash_pairs(heads: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) whose fingerprints deletion variants link to three bits; of equal fingerprints each row meets the first."""
+    firsts = settle(heads.groupBy("fp").agg(F.min(F.struct("row", "n")).alias("f")).select("fp", F.col("f.row").alias("first"), F.col("f.n").alias("first_n")))
+    end = lambda c: firsts.select(F.col("fp").alias(c), F.col("first").alias("row_" + c), F.col("first_n").alias("n_" + c))
+    across = simhash.links(firsts.select("fp"), distance=3).select("a", "b").join(end("a"), "a").join(end("b"), "b")
+    across = across.where(similar_sizes("n_a", "n_b", least)).select(F.least("row_a", "row_b").alias("a"), F.greatest("row_a", "row_b").alias("b"))
+    within = heads.join(firsts, "fp").where("row <> first").where(similar_sizes("n", "first_n", least)).select(F.col("first").alias("a"), F.col("row").alias("b"))
+    return across.unionByName(within)
 
-    def across(one: DataFrame, other: DataFrame, on: list[str]) -> DataFrame:
-        other = other.select(*on, F.col("row").alias("row2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
-        pairs = one.join(other, on).where("root <> root2").where(similar_sizes("n", "n2", least))
-        return pairs.select(F.least("row", "row2").alias("a"), F.greatest("row", "row2").alias("b"))
 
-    small, parts_ = open_.where(F.col("size") <= most), settle(crowded.join(within, ["band", "next"]))
-    return settle(across(small, small, ["band"]).unionByName(across(parts_, parts_, ["band", "next"]))
-                  .unionByName(across(crowded, leaders, ["band"])).distinct())
-
-
-def classes(rows: DataFrame, texts: DataFrame, width: int, least: float, most: int) -> DataFrame:
+def first_pairs(met: DataFrame, least: float) -> DataFrame:
+    """Each text with the first one under each of its keys."""
+    return met.where("row <> first").where(similar_sizes("n", "first_n", least)).select(F.col("first").alias("a"), F.col("row").alias("b"))
+
+
+def further_links(met: DataFrame, links: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
+    """All links: ``links`` and those between different components under one key, a round of leaders at a time."""
+    open_, leaders = met.where("row <> first").select("band", "row", "n"), 2
+    while True:
+        roots = settle(components(links))
+        rooted = open_.join(roots.select(F.col("node").alias("row"), "root"), "row", "left").withColumn("root", F.coalesce("root", "row"))
+        several = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
+        open_ = settle(rooted.join(several, "band", "left_semi"))
+        if open_.isEmpty():
+            return links
+        turn = F.row_number().over(Window.partitionBy("band").orderBy(F.xxhash64("row", F.lit(leaders)), "row"))
+        lead = settle(open_.withColumn("turn", turn).where(F.col("turn") <= leaders).select("band", F.col("row").alias("row2"), F.col("n").alias("n2"), F.col("root").alias("root2")))
+        pairs = open_.join(lead, "band").where("root <> root2").where(similar_sizes("n", "n2", least))
+        pairs = settle(pairs.select(F.least("row", "row2").alias("a"), F.greatest("row", "row2").alias("b")).distinct())
+        links = settle(links.unionByName(verified(pairs, texts, width, least)))
+        open_ = open_.join(lead.select("band", F.col("row2").alias("row")), ["band", "row"], "left_anti").select("band", "row", "n")
+        leaders *= 2
+
+
+def classes(rows: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
     """(row, key, root) of every sketch: equal roots for the components of all similar pairs found."""
     # One row for each distinct set: copies never meet each other, however many there are.
     heads = settle(rows.groupBy("digest").agg(F.min("row").alias("head")))
-    bands = rows.join(heads.select(F.col("head").alias("row")), "row", "left_semi").select("row", "n", "bands", F.posexplode("bands").alias("at", "band"))
-    bands = bands.select("band", F.get("bands", F.pmod(F.col("at") + 1, F.lit(BANDS))).alias("next"), "row", "n")
+    own = settle(rows.join(heads.select(F.col("head").alias("row")), "row", "left_semi").select("row", "n", "fp", "bands"))
+    bands = own.select("row", "n", F.explode("bands").alias("band"))
     firsts = bands.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("row", "n")).alias("f")).where("size > 1")
     met = settle(bands.join(firsts.select("band", F.col("f.row").alias("first"), F.col("f.n").alias("first_n")), "band"))
-    links = verified(first_pairs(met, least), texts, width, least)
-    more = verified(further_pairs(met, settle(components(links)), least, most), texts, width, least)
-    roots = settle(components(links.unionByName(more)))
+    pairs = settle(simhash_pairs(own.where("n > 0"), least).unionByName(first_pairs(met, least)).distinct())
+    roots = settle(components(further_links(met, verified(pairs, texts, width, least), texts, width, least)))
     return (rows.select("row", "key", "digest").join(heads, "digest").join(roots.withColumnRenamed("node", "head"), "head", "left")
             .select("row", "key", F.coalesce("root", "head").alias("root")))
 
 
-def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, least: float = 0.8, most: int = 100) -> DataFrame:
-    """The documents without near-duplicates: of each class the row with the smallest key (null last) stays.
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, least: float = 0.8, as_read: bool = False) -> DataFrame:
+    """The documents without near-duplicates: of each class the row with the largest key (null only where all are) stays.
 
     A class is a component of the pairs whose sets of ``width``-word shingles have a Jaccard similarity of ``least`` or more; words are
-    cut at white space and A-Z are lowered. Texts without words are one class, null texts are empty. All columns are
-    kept. Of rows with equal keys the first read stays, and an empty table gives no rows.
+    cut at white space and A-Z are lowered. Texts without words are one class, null texts are empty, very long ones are read whole. All columns are
+    kept. Of rows with equal keys the last read stays, as in exact dedup, and an empty table gives no rows. ``as_read`` as in ``common.with_rows``.
     """
     row, = free(docs, "row")
-    stored = settle(docs.select("*", F.monotonically_increasing_id().alias(row)))
+    stored = with_rows(docs, row, as_read)
     rows = settle(sketches(stored.select(F.col(row).alias("row"), named(key).cast("long").alias("key"), named(text).alias("text")), width))
     texts = stored.select(F.col(row).alias("row"), named(text).alias("text"))
-    of = classes(rows, texts, width, least, most)
-    keep = of.groupBy("root").agg(F.min(F.struct(F.col("key").isNull(), "key", "row")).alias("head")).select(F.col("head.row").alias(row))
-    return stored.join(keep, row, "left_semi").select(*[named(c) for c in docs.columns])
+    of = classes(rows, texts, width, least)
+    keep = of.groupBy("root").agg(F.max(F.struct("key", "row")).alias("head")).select(F.col("head.row").alias("row"))
+    return stay(stored, keep, row, docs.columns)

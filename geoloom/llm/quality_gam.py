@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
-from geoloom.llm.common import free, named
+from geoloom.llm.common import named
 from geoloom.session import settle
 
 FEATURES = ("log_words", "word_bytes", "symbols", "shouts", "bars", "capitals", "digits", "stops", "other_marks", "different_words",
@@ -164,16 +164,22 @@ def fold(key: Column) -> Column:
     return F.pmod(F.crc32(key.cast("string")), F.lit(5))
 
 
-def train(rows: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality", most: int = 30_000) -> Gam:
-    """Fit on about ``most`` labelled rows of (key, features) outside fold 0, chosen by a hash of the key.
+def sampled(docs: DataFrame, labels: DataFrame, key: str, label: str, most: int) -> DataFrame:
+    """The rows of ``docs`` whose key is one of about ``most`` labelled keys outside fold 0, with y: the share of ones among the key's labels.
 
-    Rows without a key, a label or a match are not used; a key that has several labels counts with each.
+    Keys are chosen by a hash. Rows without a key, a label or a match are not used.
     """
     told = labels.select(named(key).alias("key"), named(label).cast("int").alias("y")).where("key IS NOT NULL AND y IN (0, 1)").where(fold(F.col("key")) != 0)
+    told = told.groupBy("key").agg(F.avg("y").alias("y"))
     n = told.count()
     share = min(1.0, most / n) if n else 1.0
     some = told.where(F.pmod(F.xxhash64("key", F.lit("sample")), F.lit(1_000_000)) < int(share * 1_000_000))
-    sample = rows.join(some, "key").select("y", "features").toPandas()
+    return docs.join(some.hint("broadcast"), "key")  # about ``most`` rows
+
+
+def train(rows: DataFrame) -> Gam:
+    """Fit on rows of (key, y, features), of which each key gives one to the driver: that with the smallest features."""
+    sample = rows.groupBy("key").agg(F.min("y").alias("y"), F.min("features").alias("features")).toPandas()
     x = np.array(sample["features"].tolist(), np.float64).reshape(-1, len(FEATURES))
     order = np.lexsort((*x.T, sample["y"].to_numpy(float)))  # the same rows give the same sums
     return fit(x[order], sample["y"].to_numpy(float)[order])
@@ -192,11 +198,11 @@ def scored(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
            cut: float = 0.3) -> DataFrame:
     """One row per document: key, held_out, score (0 to 1), predicted (1 if score >= cut).
 
-    Null texts count as empty and get a score like any other; a null key is not held out; repeated rows stay; other
-    columns are not read; without labels every score is 0.5; an empty table gives no rows.
+    Null texts count as empty and get a score like any other; very long ones are read whole; a null key is not held out; repeated rows stay, and the
+    rows of a repeated key train as one; other columns are not read; without labels every score is 0.5; an empty table gives no rows.
     """
     rows = settle(docs.select(named(key).alias("key"), features(named(text)).alias("features")))
-    model = train(rows, labels, key, label, most)
+    model = train(sampled(rows, labels, key, label, most))
     out = rows.select("key", F.coalesce(fold(F.col("key")) == 0, F.lit(False)).alias("held_out"), scorer(model)("features").alias("score"))
     return out.withColumn("predicted", (F.col("score") >= cut).cast("int"))
 
@@ -204,7 +210,6 @@ def scored(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
 def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality", most: int = 30_000,
               cut: float = 0.3) -> DataFrame:
     """The documents whose score reaches ``cut``, with all their columns."""
-    row, made = free(docs, "row", "features")
-    stored = settle(docs.select("*", F.monotonically_increasing_id().alias(row), features(named(text)).alias(made)))
-    model = train(stored.select(named(key).alias("key"), F.col(made).alias("features")), labels, key, label, most)
-    return stored.where(scorer(model)(F.col(made)) >= cut).select(*[named(c) for c in docs.columns])
+    told = sampled(docs.select(named(key).alias("key"), named(text).alias("text")), labels, key, label, most)
+    model = train(told.select("key", "y", features("text").alias("features")))
+    return docs.where(scorer(model)(features(named(text))) >= cut)

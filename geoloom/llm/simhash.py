@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType
 
-from geoloom.llm.common import free, named, numbered, parts
+from geoloom.llm.common import named, numbered, parts
 from geoloom.llm.links import components
 from geoloom.session import settle
 
@@ -72,9 +72,13 @@ def forest(prints: np.ndarray, distance: int) -> list[tuple[int, int]]:
 
 
 def links(prints: DataFrame, distance: int = 2, most: int = 1500) -> DataFrame:
-    """Links a, b (long) whose components are those of all pairs of ``prints`` (fp long, distinct) within two bits."""
-    if distance != 2:
-        raise ValueError("two segments and one wiped bit find distances up to two")
+    """Links a, b (long) whose components are those of all pairs of ``prints`` (fp long, distinct) within ``distance`` bits.
+
+    One of two segments holds at most one of three differing bits, so distances to three are found by the same keys. Under crowded keys
+    the links are those within two bits at any ``distance``.
+    """
+    if distance not in (2, 3):
+        raise ValueError("two segments and one wiped bit find distances up to three")
 
     def variants(batches):
         for batch in batches:
@@ -168,15 +172,3 @@ def classes(rows: DataFrame) -> DataFrame:
     named_ = rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.min(F.struct(F.col("low").isNull(), "low", "low_row")).alias("head"))
     of = settle(rooted.select("fp", "root").join(named_, "root").select("fp", "component_id", F.col("head.low_row").alias("head")))
     return rows.join(of, "fp")
-
-
-def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents without near-duplicates: of each class the row with the smallest key (null last) stays.
-
-    All columns are kept. Of rows with equal keys the first read stays.
-    """
-    row, fp, head = free(docs, "row", "fp", "head")
-    stored = settle(docs.select("*", F.monotonically_increasing_id().alias(row)))
-    prints = settle(stored.select(F.col(row).alias("row"), named(key).cast("long").alias("key"), fingerprints(named(text)).alias("fp")))
-    keep = classes(prints).where("row = head").select(F.col("row").alias(row))
-    return stored.join(keep, row, "left_semi").select(*[named(c) for c in docs.columns])
