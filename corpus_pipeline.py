@@ -24,13 +24,13 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group with equal texts: the one with the largest doc_id."""
     ready(spark)
-    return exact_dedup.drop_duplicates(docs)
+    return exact_dedup.drop_duplicates(docs, as_read=True)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a five-word Jaccard similarity of 0.8 or more: the one with the smallest doc_id."""
+    """One document of each group linked by a five-word Jaccard similarity of 0.8 or more: the one with the largest doc_id, as in exact dedup."""
     ready(spark)
-    return near_dedup.one_of_each(docs)
+    return near_dedup.one_of_each(docs, as_read=True)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,17 +40,17 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Digests of the token ids of every text and of the bytes they decode to."""
+    """The token ids of every text (little-endian, unsigned, 32 bits), their digest, and that of the bytes they decode to."""
     import public_tokenizers
 
     ready(spark)
-    return byte_bpe.digests(docs, tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return byte_bpe.tokens(docs, tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 STAGES = [
     ("quality classifier", good_documents),
     ("exact dedup", without_copies),
-    ("SimHash near-dedup", without_near_copies),  # tests find the stage by this label; the method is in near_dedup.py
+    ("SimHash near-dedup", without_near_copies),  # SimHash variants and min-hashes, see near_dedup.py
     ("mixing sources to target weights", mixed),
     ("byte-level BPE encoding and decoding", encoded),
 ]

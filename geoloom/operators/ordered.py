@@ -66,13 +66,18 @@ def pair_up(df: DataFrame, keys: list[str], idx: str, values: list[str], size: s
     return out.where(good).drop("blk", "_next")
 
 
-def rank_links(links: DataFrame, keys: list[str], longest: int) -> DataFrame:
-    """Order linked rows by pointer doubling.
+def rank_links(links: DataFrame, keys: list[str], longest: int, doubled: int = 256) -> DataFrame:
+    """Order linked rows: arc, ``low`` (the smallest arc reachable, itself included), ``tail`` (the last arc; null on a cycle), ``hops`` to it.
 
-    ``links`` has the keys, ``arc`` and ``nxt`` (null at an end). Returns arc, ``low`` (the smallest arc
-    reachable, itself included), ``tail`` (the last arc; null on a cycle) and ``hops`` to it. Each of the
-    log2(longest) rounds is one join on unique arcs, so neither long chains nor hot groups gather.
+    ``links`` has the keys, ``arc`` and ``nxt`` (null at an end). Lists of up to ``doubled`` rows take log2(longest) joins of all arcs
+    with all arcs; longer ones are contracted, whose joins together move a few times the arcs however long the lists are.
+    Both give the same rows.
     """
+    return _double(links, keys, longest) if longest <= doubled else _contract(links, keys)
+
+
+def _double(links: DataFrame, keys: list[str], longest: int) -> DataFrame:
+    """Pointer doubling: each round is one join on unique arcs, so neither long chains nor hot groups gather."""
     state = links.select(*keys, "arc", "nxt", F.col("arc").alias("low"), F.col("arc").alias("tail"),
                          F.lit(0).cast("long").alias("hops"))
     rounds = max(1, math.ceil(math.log2(max(2, longest + 1))))
@@ -88,6 +93,42 @@ def rank_links(links: DataFrame, keys: list[str], longest: int) -> DataFrame:
     return state.withColumn("tail", F.when(F.col("nxt").isNull(), F.col("tail"))).drop("nxt")
 
 
+def _contract(links: DataFrame, keys: list[str]) -> DataFrame:
+    """List ranking by contraction.
+
+    In each round a hash gives every arc heads or tails, and an arc with tails whose predecessor has heads is spliced out: about a quarter of
+    all. Lists that are down to one arc leave, cycles as an arc that follows itself. Then the spliced arcs are put back
+    in reverse order, each from the arc it was followed by.
+    """
+    state = settle(links.select(*keys, "arc", "nxt", F.lit(1).cast("long").alias("hops"), F.col("arc").alias("low")))
+    columns, rounds, finished = [*keys, "arc", "nxt", "hops", "low"], [], None
+    while not state.isEmpty():
+        tails = lambda c: F.pmod(F.xxhash64(*keys, F.col(c), F.lit(len(rounds))), F.lit(2)) == 1  # noqa: E731, B023
+        goes_on = F.col("nxt").isNotNull() & (F.col("nxt") != F.col("arc"))
+        before = state.where(goes_on).select(*keys, F.col("nxt").alias("arc"), F.col("arc").alias("_arc"), F.col("hops").alias("_hops"), F.col("low").alias("_low"))
+        spliced = F.coalesce(~tails("_arc") & tails("arc"), F.lit(False))
+        splices = F.coalesce(goes_on & ~tails("arc") & tails("nxt"), F.lit(False))
+        fate = F.when(F.col("_arc").isNull() & ~goes_on, "done").when(spliced, "out").when(splices, "changed").otherwise("stays")
+        met = settle(state.join(before, [*keys, "arc"], "left").withColumn("_fate", fate))
+        alone = met.where("_fate = 'done'").select(*columns)
+        finished = alone if finished is None else finished.unionByName(alone)
+        out = met.where("_fate = 'out'")
+        rounds.append(out.select(*columns))
+        state = met.where("_fate = 'stays'").select(*columns).unionByName(out.select(
+            *keys, F.col("_arc").alias("arc"), "nxt", (F.col("_hops") + F.col("hops")).alias("hops"), F.least("_low", "low").alias("low")))
+    if finished is None:
+        return links.select(*keys, "arc", F.col("arc").alias("low"), F.col("arc").alias("tail"), F.lit(0).cast("long").alias("hops"))
+    end = F.col("nxt").isNull()
+    done = settle(finished.select(*keys, "arc", "low", F.when(end, F.col("arc")).alias("tail"), F.lit(0).cast("long").alias("hops")))
+    for out in reversed(rounds):
+        ahead = done.select(*keys, F.col("arc").alias("nxt"), F.col("low").alias("_low"), F.col("tail").alias("_tail"), F.col("hops").alias("_hops"))
+        back = out.join(ahead, [*keys, "nxt"], "left").select(
+            *keys, "arc", F.least("low", "_low").alias("low"), F.when(end, F.col("arc")).otherwise(F.col("_tail")).alias("tail"),
+            F.when(end, F.lit(0)).otherwise(F.col("hops") + F.col("_hops")).cast("long").alias("hops"))
+        done = done.unionByName(settle(back))
+    return done
+
+
 def top_per_key(df: DataFrame, keys: list[str], order: list, limit: int, out: str, salts: int = 256) -> DataFrame:
     """The first ``limit`` rows of each key with their place, for keys of any size.
 

@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from geoloom.functions.tags import unit_multiplier
+from geoloom.operators.tiles import gradient, nearest_along_rows, over_tiles, sampled, smoothed
 from geoloom.operators.tiling import points_in_boxes
 from geoloom.session import settle
 from geoloom.spec import GridSpec
@@ -88,37 +90,43 @@ def source_contribution(samples: DataFrame, chosen: DataFrame, by: list[str], to
     return have.join(won, [*by, "source"], "left").select(*by, "source", "available", n.alias("contributed"), (n * 100.0 / total).alias("percent"))
 
 
-def _cubic(t: Column) -> list[Column]:
+def _cubic(t: np.ndarray) -> list[np.ndarray]:
     """Convolution weights (a = -0.5) of the four neighbours at -1, 0, 1, 2 for an offset t."""
     near = lambda d: 1.5 * d * d * d - 2.5 * d * d + 1
     far = lambda d: -0.5 * d * d * d + 2.5 * d * d - 4 * d + 2
-    return [far(t + 1), near(t), near(F.lit(1) - t), far(F.lit(2) - t)]
+    return [far(t + 1), near(t), near(1 - t), far(2 - t)]
+
+
+def _taps(method: str):
+    """Function of fractional rows and columns that lists their neighbours and weights."""
+    def nearest(fr, fc):
+        yield np.floor(fr + 0.5), np.floor(fc + 0.5), np.ones(fr.size)
+
+    def weighted(fr, fc):
+        r0, c0 = np.floor(fr), np.floor(fc)
+        t, u = fr - r0, fc - c0
+        wr, wc, first = ([1 - t, t], [1 - u, u], 0) if method == "Bilinear" else (_cubic(t), _cubic(u), -1)
+        for i, a in enumerate(wr):
+            for j, b in enumerate(wc):
+                yield r0 + (first + i), c0 + (first + j), a * b
+
+    return nearest if method == "Nearest" else weighted
 
 
 def resample_grid(source: DataFrame, targets: DataFrame, by: list[str], ids: list[str], method: str = "Bilinear",
                   edge: tuple[int, int] | None = None) -> DataFrame:
     """Source heights at fractional places (frow, fcol): by, ids, z.
 
-    Each target asks for its 1, 4 or 16 neighbours by exact cell, so source cells shuffle once whatever
-    their number. Weights are renormalised over the neighbours that exist; none gives null. ``edge``
-    (rows, columns) repeats the border outward instead.
+    Targets meet the source tile under them, once each. Weights are renormalised over the neighbours that exist; none gives null.
+    ``edge`` (rows, columns) repeats the border outward instead. Null places give null.
     """
-    r0, c0 = F.floor("frow"), F.floor("fcol")
-    if method == "Nearest":
-        taps = [(F.floor(F.col("frow") + 0.5), F.floor(F.col("fcol") + 0.5), F.lit(1.0))]
-    else:
-        t, u = F.col("frow") - r0, F.col("fcol") - c0
-        wr, wc, first = ([F.lit(1) - t, t], [F.lit(1) - u, u], 0) if method == "Bilinear" else (_cubic(t), _cubic(u), -1)
-        taps = [(r0 + (first + i), c0 + (first + j), a * b) for i, a in enumerate(wr) for j, b in enumerate(wc)]
+    base = [F.floor(F.col(c) + (0.5 if method == "Nearest" else 0.0)) for c in ("frow", "fcol")]
     if edge:
-        clamp = lambda v, n: F.least(F.greatest(v, F.lit(0)), F.lit(n - 1))
-        taps = [(clamp(r, edge[0]), clamp(c, edge[1]), w) for r, c, w in taps]
-    need = F.array(*[F.struct(r.cast("long").alias("row"), c.cast("long").alias("col"), w.cast("double").alias("w")) for r, c, w in taps])
-    asked = targets.select(*by, *ids, F.inline(need)).where("w <> 0")
-    found = asked.join(source.select(*by, "row", "col", F.col("z").alias("_z")), [*by, "row", "col"]).where("_z IS NOT NULL")
-    sums = found.groupBy(*by, *ids).agg(F.sum(F.col("w") * F.col("_z")).alias("_s"), F.sum("w").alias("_w"))
-    value = sums.select(*by, *ids, F.when(F.abs("_w") > 1e-9, F.col("_s") / F.col("_w")).alias("z"))
-    return targets.select(*by, *ids).join(value, [*by, *ids], "left")
+        base = [F.least(F.greatest(v, F.lit(0)), F.lit(n - 1)) for v, n in zip(base, edge)]
+    placed = targets.where("frow IS NOT NULL AND fcol IS NOT NULL AND NOT isnan(frow) AND NOT isnan(fcol)")
+    out = sampled(source, placed, by, ids, _taps(method), tuple(base), edge)
+    lost = targets.where("frow IS NULL OR fcol IS NULL OR isnan(frow) OR isnan(fcol)")
+    return out.unionByName(lost.select(*by, *ids, F.lit(None).cast("double").alias("z")))
 
 
 def sample_at_points(cells: DataFrame, points: DataFrame, by: list[str], ids: list[str], grid: GridSpec) -> DataFrame:
@@ -195,29 +203,27 @@ def mosaic_sources(cells: DataFrame, sources: DataFrame, targets: DataFrame, by:
 def nearest_valid(cells: DataFrame, by: list[str], valid: Column, dx: float, dy: float, reach: float) -> DataFrame:
     """For every cell that is not valid, the nearest valid one within ``reach`` metres: d2, vrow, vcol, vz.
 
-    First the nearest valid cell up and down each column, by one window; then a row looks only as many
-    columns aside as the reach allows. Ties go to the smaller row, then column.
+    First the nearest valid cell up and down each column, by one window; then every row that has a gap settles its cells over all
+    columns at once. No cell is repeated, however far the reach. Ties go to the smaller row, then column.
     """
     flagged = cells.withColumn("_ok", valid)
     column = Window.partitionBy(*by, "col").orderBy("row")
     up, down = column.rowsBetween(Window.unboundedPreceding, 0), column.rowsBetween(0, Window.unboundedFollowing)
     mark = F.when(F.col("_ok"), F.struct(F.col("row").alias("r"), F.col("z").alias("z")))
     near = flagged.withColumns({"_u": F.last(mark, True).over(up), "_d": F.first(mark, True).over(down)})
-    side = math.floor(reach / dx + 1e-9)
-    asks = flagged.where(~F.col("_ok")).select(*by, "row", "col", F.explode(F.sequence(F.col("col") - side, F.col("col") + side)).alias("_c"))
-    seen = near.select(*by, "row", F.col("col").alias("_c"), F.explode(F.array("_u", "_d")).alias("_v")).where("_v IS NOT NULL").distinct()
+    # Of a column's two the nearer counts, the upper one where they tie.
+    upper = F.col("_d").isNull() | (F.col("row") - F.col("_u.r") <= F.col("_d.r") - F.col("row"))
+    lines = near.select(*by, "row", "col", (~F.col("_ok")).alias("asks"), F.when(F.col("_u").isNotNull() & upper, F.col("_u")).otherwise(F.col("_d")).alias("_v"))
     # A grid whose last row is unfinished: columns that end early stand for the rows below their end.
     ends = near.groupBy(*by, "col").agg(F.max("row").alias("_end"), F.max_by("_u", "row").alias("_v"))
     bottom = ends.groupBy(*by).agg(F.max("_end").alias("_bottom"))
     short = ends.join(bottom, by) if by else ends.join(bottom, F.lit(True))
     short = short.where("_end < _bottom AND _v IS NOT NULL").select(*by, F.explode(F.sequence(F.col("_end") + 1, F.col("_bottom"))).alias("row"),
-                                                                    F.col("col").alias("_c"), "_v")
-    seen = seen.unionByName(short)
-    pairs = asks.join(seen, [*by, "row", "_c"])
-    gy, gx = (F.col("_v.r") - F.col("row")) * dy, (F.col("_c") - F.col("col")) * dx
-    pairs = pairs.withColumn("d2", gx * gx + gy * gy).where(F.col("d2") <= reach * reach + 1e-9)
-    best = pairs.groupBy(*by, "row", "col").agg(F.min(F.struct("d2", F.col("_v.r").alias("vrow"), F.col("_c").alias("vcol"), F.col("_v.z").alias("vz"))).alias("b"))
-    return best.select(*by, "row", "col", "b.d2", "b.vrow", "b.vcol", "b.vz")
+                                                                    "col", F.lit(False).alias("asks"), "_v")
+    lines = lines.unionByName(short).select(*by, "row", "col", "asks", F.col("_v.r").alias("vr"), F.col("_v.z").cast("double").alias("vz"))
+    # Lines without a gap end here; the window deals rows as the search needs them.
+    wanting = lines.withColumn("_some", F.max("asks").over(Window.partitionBy(*by, "row"))).where("_some").drop("_some")
+    return nearest_along_rows(wanting, by, dx, dy, reach)
 
 
 def fill_gaps(cells: DataFrame, by: list[str], dx: float, dy: float, reach: float) -> DataFrame:
@@ -242,37 +248,19 @@ def kernel(sigma: float) -> list[float]:
     return [v / total for v in raw]
 
 
-def _along(df: DataFrame, parts: list, order: str, value: str, sigma: float) -> Column:
-    """Gaussian along an order whose border values repeat outward."""
-    weights = kernel(sigma)
-    radius = len(weights) // 2
-    if radius == 0:
-        return F.col(value)
-    base = Window.partitionBy(*parts).orderBy(order)
-    seen = F.collect_list(value).over(base.rowsBetween(-radius, radius))
-    left = F.count(value).over(base.rowsBetween(-radius, -1)).cast("int")
-    right = F.count(value).over(base.rowsBetween(1, radius)).cast("int")
-    heads = [sum(weights[:i]) for i in range(radius + 1)]
-    w = F.array(*[F.lit(v) for v in weights])
-    h = F.array(*[F.lit(v) for v in heads])
-    body = F.aggregate(F.zip_with(F.slice(w, F.lit(radius + 1) - left, left + right + 1), seen, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    first, last = F.get(seen, F.lit(0)), F.element_at(seen, -1)
-    return body + F.get(h, F.lit(radius) - left) * first + F.get(h, F.lit(radius) - right) * last
-
-
 def gaussian_smooth(cells: DataFrame, by: list[str], sigma_rows: float, sigma_cols: float) -> DataFrame:
-    """Separable Gaussian over a gap-free grid; sigmas in cells. Rows and columns bound the windows."""
-    across = cells.withColumn("z", _along(cells, [*by, "row"], "col", "z", sigma_cols))
-    return across.withColumn("z", _along(across, [*by, "col"], "row", "z", sigma_rows))
+    """Separable Gaussian over a gap-free grid; sigmas in cells. The ends of every line count outward."""
+    down, across = kernel(sigma_rows), kernel(sigma_cols)
+    border = (len(down) // 2, len(across) // 2)
+    if border == (0, 0):
+        return cells
+    out = over_tiles(cells, by, "z", border, ["_smooth"], lambda a: [smoothed(smoothed(a, across, 1), down, 0)])
+    return out.withColumn("z", F.col("_smooth")).drop("_smooth")
 
 
 def with_gradient(cells: DataFrame, by: list[str], dx: float, dy: float) -> DataFrame:
     """Add _gx and _gy: rise per metre to the east and to the south, central inside and one-sided at borders."""
-    def along(line, order, step):
-        w = Window.partitionBy(*by, line).orderBy(order).rowsBetween(-1, 1)
-        return (F.last("z", True).over(w) - F.first("z", True).over(w)) / (step * F.greatest(F.count("z").over(w) - 1, F.lit(1)))
-
-    return cells.withColumn("_gx", along("row", "col", dx)).withColumn("_gy", along("col", "row", dy))
+    return over_tiles(cells, by, "z", (1, 1), ["_gx", "_gy"], lambda a: [gradient(a, dx, 1), gradient(a, dy, 0)])
 
 
 def terrain_slope(cells: DataFrame, by: list[str], dx: float, dy: float) -> DataFrame:

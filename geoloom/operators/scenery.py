@@ -115,10 +115,11 @@ def dedupe_places(labels: DataFrame, apart: float = 300.0) -> DataFrame:
     Greedy by rank, in rounds. Cells are so small that two labels of one name in a cell exclude each
     other, so only the best label of each cell can be kept next; it is kept when no neighbouring cell
     holds a better one. A round compares cells with cells, and labels with at most one kept per cell, so
-    a name with a third of all labels costs no more than its labels.
+    a name with a third of all labels costs no more than its labels. Labels without a name share the name null.
     """
     side = apart / 1.5
     reach = 2
+    plain, labels = labels, labels.withColumns({"_name": F.col("name"), "name": F.coalesce(F.concat(F.lit("="), F.col("name").cast("string")), F.lit(""))})
     open_ = settle(labels.withColumns({"_i": F.floor(F.col("x") / side).cast("long"), "_j": F.floor(F.col("y") / side).cast("long")}))
     around = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(-reach, reach + 1) for b in range(-reach, reach + 1)]
     spread = lambda df, cols: df.select("name", *cols, F.explode(F.array(*around)).alias("_o"), "_i", "_j").select(
@@ -134,7 +135,7 @@ def dedupe_places(labels: DataFrame, apart: float = 300.0) -> DataFrame:
         gone = (open_.select("name", "rank", "x", "y", "_i", "_j").join(near, ["name", "_i", "_j"])
                 .where(dist("x", "y", "kx", "ky") < apart).select("name", "rank").distinct())
         open_ = settle(open_.join(gone, ["name", "rank"], "left_anti"))
-    return (labels.limit(0) if kept is None else kept.drop("_i", "_j"))
+    return plain.limit(0) if kept is None else kept.withColumn("name", F.col("_name")).select(*plain.columns)
 
 
 def union_features(**stages: DataFrame) -> DataFrame:
@@ -146,38 +147,102 @@ def union_features(**stages: DataFrame) -> DataFrame:
     return out
 
 
+BEST = "struct<name:string,tier:int,swapped:boolean,score:double,cx:double,cy:double>"
+RINGS = (0.7, 2.8, None)  # how far sizes may lie apart, as logarithms, in each round; the last has no end
+
+
+def _order(m: str) -> Column:
+    return F.struct(f"{m}.tier", f"{m}.score", f"{m}.name", f"{m}.swapped")
+
+
+def ring_search(open_: DataFrame, models: DataFrame, axes: list[tuple[str, str, bool]], score: Column, fits: Column, bound) -> DataFrame:
+    """(sig, found): the best model of every signature, searched outward from its size.
+
+    ``axes`` pair a coordinate of the signature with the model's and say whether models above it count too. A round joins on grid cells as wide
+    as its ring, so a signature asks two or three cells an axis whatever the round, weighs only models that lie in this ring and in no
+    earlier one and that would beat its best so far, and leaves when ``bound`` of the ring, the least score beyond it, is worse than its best.
+    Only models of the lowest tier that its classes have let it leave early.
+    """
+    done, earlier = None, F.lit(False)
+    for ring in RINGS:
+        asked, keyed, on = open_.select("*", F.explode("ckinds").alias("ckind")), models, ["ckind"]
+        inside = F.lit(True)
+        if ring is not None:
+            for n, (own, other, both) in enumerate(axes):
+                cell = lambda c: F.floor(c / ring).cast("long")  # noqa: E731, B023
+                far = F.col(own) + (ring if both else 0.0)
+                asked = asked.withColumn(f"_c{n}", F.explode(F.sequence(cell(F.col(own) - ring), cell(far))))
+                keyed = keyed.withColumn(f"_c{n}", cell(F.col(other)))
+                inside = inside & (F.col(other) > F.col(own) - ring) & (F.col(other) <= far)
+                on.append(f"_c{n}")
+        pairs = asked.join(keyed, on).where(inside & ~earlier).withColumn("score", F.round(score, 9))  # nine decimals tie alike everywhere and go by name
+        pairs = pairs.withColumn("m", F.struct("name", "tier", "swapped", "score", "cx", "cy")).where(F.col("found").isNull() | (_order("m") < _order("found")))
+        best = pairs.where(fits).groupBy("sig").agg(F.min_by("m", _order("m")).alias("m"))
+        leaves = F.lit(True)
+        if ring is not None:
+            leaves = F.coalesce((F.col("found.tier") <= F.col("lowest")) & (F.col("found.score") < bound(ring) - 1e-6), F.lit(False))
+        after = settle(open_.join(best, "sig", "left").withColumn("found", F.coalesce("m", "found")).drop("m").withColumn("_leaves", leaves))
+        rest, left = after.where("_leaves").select("sig", "found"), after.where("NOT _leaves").drop("_leaves")
+        done = rest if done is None else done.unionByName(rest)
+        if ring is None or left.isEmpty():
+            return done
+        open_, earlier = left, inside
+    return done
+
+
 def match_candidates(objects: DataFrame, candidates: DataFrame, tiers: int | None = None, curated: dict[str, str] | None = None) -> DataFrame:
     """Best fitting candidate per object: tier first, then score, name and orientation.
 
     Objects carry item_id, kind, height, width and length (null without footprint) and shape (footprint
-    around the object's position and along its axis). Equal objects are matched once, equal candidates
-    keep their first name, and the pairs of a class are weighed by a minimum that combines before it
-    shuffles. Both sides are written, so their true sizes decide how they meet. With ``tiers`` only candidates of
+    around the object's position and along its axis). Equal objects are matched once, and of candidates of one size the first name counts.
+    Footprints search a grid of sizes ring after ring, objects without footprint a grid of heights; an outline into which its whole
+    box fits takes any smaller box without a test. With ``tiers`` only candidates of
     lower tiers are taken. ``curated`` names the candidate that an object without footprint should get, by kind. Objects
     with x, y and rotation also get px, py and turn: where the candidate's origin goes, so that its centre is on the object.
     """
     if tiers is not None:
         candidates = candidates.where(F.col("tier") < tiers)
     sig = ["kind", "height", "width", "length", "shape"]
-    wanted = settle(objects.select(*sig).distinct().withColumn("sig", F.sha2(F.to_json(F.struct(*sig)), 256)))
-    models = candidates.groupBy("tier", F.col("kind").alias("ckind"), F.col("width").alias("cw"), F.col("length").alias("cl"),
-                                F.col("height").alias("ch"), "cx", "cy", F.col("name").isin(*(curated or {}).values(), "").alias("_known")).agg(F.min("name").alias("name"))
-    accepts = F.when(F.col("kind") == "building", F.array(F.lit("residential"), F.lit("commercial"), F.lit("industrial"))
-                     ).otherwise(F.array("kind"))
-    pairs = wanted.withColumn("ckind", F.explode(accepts)).join(settle(models), "ckind")
-    both = pairs.withColumn("swapped", F.explode(F.array(F.lit(False), F.lit(True))))
-    w = F.when(F.col("swapped"), F.col("cl")).otherwise(F.col("cw"))
-    l = F.when(F.col("swapped"), F.col("cw")).otherwise(F.col("cl"))
-    room = F.col("width").isNull() | ((w <= F.col("width") + 0.01) & (l <= F.col("length") + 0.01))
-    fits = F.col("shape").isNull() | G.box_in_face(F.lit(0.0), F.lit(0.0), F.lit(0.0), w, l, F.col("shape"))
-    tall = F.when((F.col("height") > 0) & (F.col("ch") > 0), 0.25 * F.abs(F.log(F.col("ch") / F.col("height")))).otherwise(0.0)
-    wish = F.create_map(*[F.lit(x) for pair in {"": "", **(curated or {})}.items() for x in pair])[F.col("kind")]
+    accepts = F.when(F.col("kind") == "building", F.array(F.lit("residential"), F.lit("commercial"), F.lit("industrial"))).otherwise(F.array("kind"))
+    names = {k: n for k, n in (curated or {}).items()}
+    known = F.col("name").isin(*names.values()) if names else F.lit(False)
+    models = settle(candidates.groupBy(F.col("tier").cast("int").alias("tier"), F.col("kind").alias("ckind"), F.col("width").alias("cw"), F.col("length").alias("cl"),
+                                       F.col("height").alias("ch"), known.alias("known"))
+                    .agg(F.min(F.struct("name", "cx", "cy")).alias("m")).select("tier", "ckind", "cw", "cl", "ch", "known", "m.*"))
+    lowest = models.groupBy("ckind").agg(F.min("tier").alias("tier"))
+    wanted = objects.select(*sig).distinct().withColumn("sig", F.sha2(F.to_json(F.struct(*sig)), 256)).withColumn("ckinds", accepts)
+    low = wanted.select("sig", F.explode("ckinds").alias("ckind")).join(lowest, "ckind").groupBy("sig").agg(F.min("tier").alias("lowest"))
+    box = F.col("shape").isNull() | G.box_in_face(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.col("width"), F.col("length"), F.col("shape"))
+    # Signatures whose classes have no candidate end here.
+    wanted = settle(wanted.join(low, "sig").withColumns({
+        "u": F.log(F.col("width") + 0.01), "v": F.log(F.col("length") + 0.01), "t": F.when(F.col("height") > 0, F.log("height")), "roomy": box}))
+    tall = F.when(F.col("t").isNotNull() & (F.col("ch") > 0), 0.25 * F.abs(F.log("ch") - F.col("t"))).otherwise(0.0)
+
+    both = models.withColumn("swapped", F.explode(F.array(F.lit(False), F.lit(True)))).withColumns({
+        "w": F.when(F.col("swapped"), F.col("cl")).otherwise(F.col("cw")), "l": F.when(F.col("swapped"), F.col("cw")).otherwise(F.col("cl"))})
+    sized = both.drop("cw", "cl", "known").withColumns({"x": F.log("w"), "y": F.log("l")}).where("x IS NOT NULL AND y IS NOT NULL")
+    width, length, w, l = (F.col(c) for c in ("width", "length", "w", "l"))
+    room = (w <= width + 0.01) & (l <= length + 0.01)
+    held = room & ((F.col("roomy") & (w <= width) & (l <= length)) | F.col("shape").isNull() | G.box_in_face(F.lit(0.0), F.lit(0.0), F.lit(0.0), w, l, F.col("shape")))
+    slack = F.greatest(F.col("u") - F.log(width), F.col("v") - F.log(length))
+    outlined = ring_search(wanted.where("width IS NOT NULL").withColumn("found", F.lit(None).cast(BEST)), settle(sized), [("u", "x", False), ("v", "y", False)],
+                           F.abs(F.log(w / width)) + F.abs(F.log(l / length)) + tall, held, lambda ring: ring - slack)
+
+    # Without footprint only heights tell candidates apart: first those that no height or a wished name decides, then the nearest heights.
+    wish = F.create_map(*[F.lit(x) for pair in {"": "", **names}.items() for x in pair])[F.col("kind")]
     plain = F.when(F.col("name") == wish, 0.0).otherwise(1.0)
-    score = F.when(F.col("width").isNotNull(), F.abs(F.log(w / F.col("width"))) + F.abs(F.log(l / F.col("length")))).otherwise(plain) + tall
-    # Nine decimals, so that equal fits tie on every machine and go by name.
-    scored = both.where(room).where(fits).withColumn("score", F.round(score, 9))
-    best = scored.groupBy("sig").agg(F.min_by(F.struct("name", "tier", "swapped", "score", "cx", "cy"),
-                                              F.struct("tier", "score", "name", "swapped")).alias("m"))
+    heights = models.withColumn("swapped", F.lit(False)).groupBy("tier", "ckind", "ch", "known", "swapped").agg(F.min(F.struct("name", "cx", "cy")).alias("m")).select("tier", "ckind", "ch", "known", "swapped", "m.*")
+    heights = settle(heights.withColumn("x", F.when(F.col("ch") > 0, F.log("ch"))))
+    bare = wanted.where("width IS NULL")
+    first = heights.groupBy("ckind", "tier").agg(F.min(F.struct("name", "cx", "cy")).alias("m"), F.min(F.when(F.col("x").isNull(), F.struct("name", "cx", "cy"))).alias("flat"))
+    pick = lambda m: F.struct(m["name"].alias("name"), F.col("tier"), F.lit(False).alias("swapped"), F.lit(1.0).alias("score"), m["cx"].alias("cx"), m["cy"].alias("cy"))
+    asked = bare.select("sig", "kind", "t", F.explode("ckinds").alias("ckind"))
+    start = asked.join(first, "ckind").withColumn("p", F.when(F.col("t").isNull(), pick(F.col("m"))).when(F.col("flat").isNotNull(), pick(F.col("flat")))).select("sig", "p")
+    wished = asked.join(heights.where("known"), "ckind").select("sig", F.struct("name", "tier", "swapped", F.round(plain + tall, 9).alias("score"), "cx", "cy").alias("p"))
+    found = start.where("p IS NOT NULL").unionByName(wished).groupBy("sig").agg(F.min_by(F.col("p").cast(BEST), _order("p")).alias("found"))
+    bare = settle(bare.join(found, "sig", "left"))
+    near = ring_search(bare.where("t IS NOT NULL"), heights.where("x IS NOT NULL"), [("t", "x", True)], plain + tall, F.lit(True), lambda ring: 1 + 0.25 * ring)
+    best = outlined.unionByName(near).unionByName(bare.where("t IS NULL").select("sig", "found")).select("sig", F.col("found").alias("m"))
     keyed = objects.withColumn("sig", F.sha2(F.to_json(F.struct(*sig)), 256))
     turn = F.col("rotation") + F.when(F.col("m.swapped"), F.lit(math.pi / 2)).otherwise(0.0)
     spot = [] if not {"x", "y", "rotation"} <= set(objects.columns) else [

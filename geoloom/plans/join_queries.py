@@ -497,7 +497,11 @@ def preview_slice(v):
     return out.unionByName(parts[4].select(F.lit("limited").alias("part"), F.col("limited").cast("long").alias("total")))
 
 
-@query("fingerprint", """WITH h AS (SELECT layer, sha256(concat_ws(chr(31), CAST(col AS VARCHAR), CAST(layer AS VARCHAR), CAST(row AS VARCHAR), COALESCE(CAST(z AS VARCHAR), '\\N'))) AS h FROM cell),
+FRAMED = " || ".join(f"COALESCE(LENGTH(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("col", "layer", "row", "z"))
+FRAMES = "".join(f"{len(c)}:{c}{len(k)}:{k}" for c, k in (("col", "bigint"), ("layer", "bigint"), ("row", "bigint"), ("z", "double")))
+
+
+@query("fingerprint", f"""WITH h AS (SELECT layer, sha256('{FRAMES}' || {FRAMED}) AS h FROM cell),
  s AS (SELECT layer, SUM(CAST('0x' || SUBSTR(h, 1, 12) AS BIGINT)) AS a, SUM(CAST('0x' || SUBSTR(h, 13, 12) AS BIGINT)) AS b, SUM(CAST('0x' || SUBSTR(h, 25, 12) AS BIGINT)) AS c,
   SUM(CAST('0x' || SUBSTR(h, 37, 12) AS BIGINT)) AS d, COUNT(*) AS n FROM h GROUP BY layer)
  SELECT layer, SUBSTR(sha256(concat_ws('|', CAST(a AS VARCHAR), CAST(b AS VARCHAR), CAST(c AS VARCHAR), CAST(d AS VARCHAR), CAST(n AS VARCHAR))), 1, 24) AS fingerprint, n AS rows FROM s""", "cell")

@@ -17,12 +17,14 @@ REPORT = ("dataset STRING, input STRING, bounds ARRAY<DOUBLE>, mapSize ARRAY<DOU
 def fingerprint(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     """24 hex digits that depend on the rows and their number, not on their order or partitioning.
 
-    A row is hashed as the texts of its values in the order of their names; four numbers of the hash are added up
-    over the rows, which combine in any order, and the totals are hashed.
+    Names and types of the columns are hashed too. A row is hashed as its values in the order of their names, each with its length before it and
+    null apart from every text; four numbers of the hash are added up over the rows, which combine in any order, and the totals are hashed.
     """
     by = by or []
-    texts = [F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in sorted(df.columns)]
-    hashed = df.select(*by, F.sha2(F.concat_ws("\x1f", *texts), 256).alias("h"))
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    schema = "".join(f"{len(c)}:{c}{len(kinds[c])}:{kinds[c]}" for c in sorted(kinds))
+    framed = lambda c: F.coalesce(F.concat(F.octet_length(c.cast("string")).cast("string"), F.lit(":"), c.cast("string")), F.lit("-"))
+    hashed = df.select(*by, F.sha2(F.concat(F.lit(schema), *[framed(F.col(c)) for c in sorted(df.columns)]), 256).alias("h"))
     word = lambda i: F.conv(F.substring("h", 1 + 12 * i, 12), 16, 10).cast("decimal(20,0)")
     sums = hashed.groupBy(*by).agg(*[F.sum(word(i)).alias(f"w{i}") for i in range(4)], F.count(F.lit(1)).alias("n"))
     whole = F.sha2(F.concat_ws("|", *[F.col(f"w{i}").cast("string") for i in range(4)], F.col("n").cast("string")), 256)

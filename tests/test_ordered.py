@@ -80,3 +80,23 @@ def test_audit_verdict(spark):
     rows = spark.createDataFrame([("edges", 0), ("nodes", 0)], "metric string, problems long")
     state = lambda df, partial=False: audit_verdict(df, partial).first().state
     assert (state(rows), state(rows, True), state(rows.withColumn("problems", F.lit(2)))) == ("ok", "partial", "problems")
+
+
+def test_list_ranking_by_contraction_equals_doubling(spark):
+    import random
+
+    rng, rows, want = random.Random(2), [], {}
+    for g in range(6):
+        ids = rng.sample(range(10_000), 400)
+        while ids:
+            n = min(len(ids), rng.choice([1, 2, 3, 7, 60, 300]))
+            part, ids = ids[:n], ids[n:]
+            ring = rng.random() < 0.4
+            rows += [(g, a, part[(i + 1) % n] if ring or i + 1 < n else None) for i, a in enumerate(part)]
+            for i, a in enumerate(part):
+                want[g, a] = (min(part), None, None) if ring else (min(part[i:]), part[-1], n - 1 - i)
+    links = spark.createDataFrame(rows, "g int, arc long, nxt long")
+    for most in (0, 512):  # contraction, doubling
+        got = {(r.g, r.arc): (r.low, r.tail, r.hops if r.tail is not None else None) for r in O.rank_links(links, ["g"], 400, most).collect()}
+        assert got == want
+    assert O.rank_links(links.limit(0), ["g"], 400).collect() == []
