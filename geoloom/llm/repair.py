@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -56,12 +57,17 @@ class WordBpe:
         self.words = Memo(self._word)
 
     def _piece(self, piece: str) -> bytes:
-        mapped = piece.encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.model.tokenize(mapped)], "<u4").tobytes()
+        # Printable ASCII bytes are their own letters.
+        mapped = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.letters)
+        ids = [t.id for t in self.model.tokenize(mapped)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _word(self, word: str) -> bytes:
+        if word.isalpha() and word.isascii():  # one piece, remembered as a word
+            return self._piece(word.lower())
         if PLAIN.fullmatch(word) and "<|" not in word:
-            return b"".join(map(self.pieces.__getitem__, SPLIT.findall(word.lower())))
+            parts = SPLIT.findall(word.lower())
+            return self.pieces[parts[0]] if len(parts) == 1 else b"".join(map(self.pieces.__getitem__, parts))
         return np.array(self.full.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
