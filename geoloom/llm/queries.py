@@ -86,10 +86,13 @@ QUERIES = {f.__name__: f for f in (op1_license_scan, op2_token_file, op3_quality
 
 LINES_SQL = r"""
 WITH l AS (SELECT doc_id, t[i] AS line, i FROM (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS t FROM documents))),
-f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
-r AS (SELECT doc_id, k, line || chr(10) || lead(line, 1) OVER w || chr(10) || lead(line, 2) OVER w AS run FROM f WINDOW w AS (PARTITION BY doc_id ORDER BY k)),
-later AS (SELECT doc_id, k FROM (SELECT doc_id, k, row_number() OVER (PARTITION BY run ORDER BY doc_id, k) AS nth FROM r WHERE run IS NOT NULL) WHERE nth > 1),
-gone AS (SELECT DISTINCT doc_id, k + s AS k FROM later, range(0, 3) t(s)),
+f AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k, least(3, 1 + len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) // 10) AS size FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+u AS (SELECT doc_id, k, part, line || chr(10) || part AS unit FROM f, LATERAL (SELECT unnest(range(0, size)) AS part)
+  UNION ALL SELECT doc_id, NULL, part, chr(10) || part FROM (SELECT doc_id, sum(size)::INT AS n FROM f GROUP BY doc_id HAVING sum(size) < 3), LATERAL (SELECT unnest(range(0, 3 - n)) AS part)),
+p AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY k NULLS LAST, part) AS p FROM u),
+r AS (SELECT doc_id, p, unit || chr(10) || lead(unit, 1) OVER w || chr(10) || lead(unit, 2) OVER w AS run FROM p WINDOW w AS (PARTITION BY doc_id ORDER BY p)),
+later AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY run ORDER BY doc_id, p) AS nth FROM r WHERE run IS NOT NULL) WHERE nth > 1),
+gone AS (SELECT DISTINCT doc_id, k FROM p JOIN (SELECT DISTINCT doc_id, p + s AS p FROM later, range(0, 3) t(s)) USING (doc_id, p) WHERE k IS NOT NULL),
 j AS (SELECT l.doc_id, l.i, l.line, f.k IS NOT NULL AS full_line, gone.k IS NOT NULL AS gone FROM l LEFT JOIN f USING (doc_id, i) LEFT JOIN gone ON gone.doc_id = f.doc_id AND gone.k = f.k)
 SELECT doc_id, count(*) FILTER (full_line) AS n_lines, count(*) FILTER (gone) AS n_removed,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM j GROUP BY doc_id

@@ -46,12 +46,15 @@ def later_runs(rows, run=3):
         own.append((k, lines, [i for i, x in enumerate(lines) if x.strip(SPACES)]))
     seen, out = set(), []
     for k, lines, full in own:
+        units = [(i, lines[i], part) for i in full for part in range(min(run, 1 + len(words(lines[i])) // 10))]
+        units += [(None, None, part) for part in range(run - len(units))] if units else []
         gone = set()
-        for i in range(len(full) - run + 1):
-            content = tuple(lines[j] for j in full[i:i + run])
+        for i in range(len(units) - run + 1):
+            content = tuple(u[1:] for u in units[i:i + run])
             if content in seen:
-                gone.update(full[i:i + run])
+                gone.update(u[0] for u in units[i:i + run])
             seen.add(content)
+        gone.discard(None)
         out.append((k, len(full), len(gone), sha("\n".join(x for i, x in enumerate(lines) if i not in gone))))
     return Counter(out)
 
@@ -206,3 +209,14 @@ def test_components_of_a_long_path(spark_text):
     for r in got:
         roots[r.root].add(r.node)
     assert sorted(map(len, roots.values())) == [2, n + 1]
+
+
+def test_long_lines_and_short_documents_are_found_alone(spark_text):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(k, f"own {k}\n{long}\nown too {k}") for k in range(5)] + [(10 + k, "a short document") for k in range(5)] + [(20, "a short document\nand more")]
+    rows += [(30 + k, f"x{k}\n" + " ".join(f"p{i}" for i in range(12)) + "\n" + " ".join(f"q{i}" for i in range(12))) for k in range(3)]
+    df = spark_text.createDataFrame(rows, "doc_id bigint, text string")
+    assert plain(line_dedup.remove_later_runs(df)) == later_runs(rows)
+    got = {r.key: r.n_removed for r in line_dedup.remove_later_runs(df).collect()}
+    assert [got[k] for k in range(5)] == [0, 1, 1, 1, 1] and [got[10 + k] for k in range(5)] == [0, 1, 1, 1, 1] and got[20] == 0
+    assert [got[30 + k] for k in range(3)] == [0, 2, 2]
