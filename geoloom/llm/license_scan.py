@@ -1,7 +1,9 @@
 """License scan: an exact set-similarity join of text blocks with license notices.
 
-A block is 64 consecutive words of a text, from every 32nd word on, so any 33 neighbouring words lie in one. A
-notice is found in a block that holds at least ``threshold`` of its different words. Words are ordered by how many
+A block is 64 consecutive words of a text, from every 32nd word on, so any 33 neighbouring words lie in one; with longer notices stride and
+block grow, so that the longest notice always lies in one block. A
+notice is found in a block that holds at least ``threshold`` of its different words, and a notice of up to ``WHOLE`` words only in one that holds
+them all, as one word may tell it from another license. Words are ordered by how many
 documents hold them, over all documents, and the join compares as little as that order allows:
 
 * prefix: a block and a notice with o common words share one of the first |block| - o + 1 of the block's words and
@@ -26,7 +28,7 @@ from geoloom.llm.common import named
 from geoloom.session import settle
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")  # of a text whose A-Z are in lower case
-BLOCK, STRIDE = 64, 32
+STRIDE, WHOLE, MOST_WORDS = 32, 8, 30_000
 # Phrases that are found word by word, and their labels (fixed values).
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 # Notices by label: short public sentences of common licenses (fixed values).
@@ -63,7 +65,11 @@ class Vocabulary:
         self.words = sorted({w for _, ws in sets for w in ws} | {w for _, ws in self.phrases for w in ws})
         self.id = {w: i for i, w in enumerate(self.words)}
         self.sets = [(label, [self.id[w] for w in ws]) for label, ws in sets]
-        self.needs = [max(1, math.ceil(threshold * len(ws) - 1e-9)) for _, ws in sets]
+        self.needs = [len(ws) if len(ws) <= WHOLE else max(1, math.ceil(threshold * len(ws) - 1e-9)) for _, ws in sets]
+        # Any stride + 1 neighbouring words lie in a block of two strides.
+        self.stride = max(STRIDE, *(len(words_of(text)) for _, text in notices))
+        if len(self.words) > MOST_WORDS:
+            raise ValueError(f"the notices have {len(self.words)} different words; at most {MOST_WORDS} are searched at once")
         self.in_notices = np.zeros(len(self.words) + 1, bool)
         self.in_notices[[i for _, ws in self.sets for i in ws]] = True
 
@@ -72,7 +78,7 @@ def scan(docs: DataFrame, vocabulary: Vocabulary, key: str, text: str) -> DataFr
     """One row per document: word counts, phrase places, its notice words, and the blocks that are long enough."""
     known, phrases, flag, least = vocabulary.id, vocabulary.phrases, vocabulary.in_notices, min(vocabulary.needs)
     phrases = [(label, [known[w] for w in ws]) for label, ws in phrases]
-    size = len(known)
+    size, stride = len(known), vocabulary.stride
 
     def one(text: str):
         ids = list(map(known.get, WORD.findall(text.encode().lower()), repeat(-1)))
@@ -91,7 +97,7 @@ def scan(docs: DataFrame, vocabulary: Vocabulary, key: str, text: str) -> DataFr
         blocks, held = [], []
         if at.size:
             # A word lies in the block of its stride and in the one before.
-            home = at // STRIDE
+            home = at // stride
             pairs = np.unique(np.concatenate([home, np.maximum(home - 1, 0)]) * size + np.concatenate([w[at], w[at]]))
             block, word = pairs // size, pairs % size
             heads, starts, n = np.unique(block, return_index=True, return_counts=True)
@@ -125,7 +131,8 @@ def matches(scanned: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     for number, ((label, words), need) in enumerate(zip(vocabulary.sets, vocabulary.needs)):
         ranks = sorted(rank[w] for w in words)
         prefix += [(r, number, label, p, len(ranks), need, ranks) for p, r in enumerate(ranks[:len(ranks) - need + 1])]
-    notices = F.broadcast(spark.createDataFrame(prefix, "r int, notice int, label string, p int, size int, need int, ranks array<int>"))
+    # At most MOST_WORDS words of each notice; a side that is larger than Spark broadcasts by itself is joined by a shuffle.
+    notices = (F.broadcast if sum(len(row[-1]) for row in prefix) <= 1_000_000 else lambda df: df)(spark.createDataFrame(prefix, "r int, notice int, label string, p int, size int, need int, ranks array<int>"))
     ranks = F.array(*[F.lit(rank[i]) for i in range(len(vocabulary.words))])
     blocks = scanned.select("row", F.explode("blocks").alias("b")).select(
         "row", "b.block", F.sort_array(F.transform("b.words", lambda w: F.get(ranks, w))).alias("mine"))
@@ -144,7 +151,7 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text", noti
 
     Words are runs of digits, letters and characters beyond ASCII after lower-casing A-Z. The base columns describe the
     places of PHRASES; ``labels`` adds those of the notices found, ``n_blocks`` counts pairs of block and notice, and ``score`` is
-    the largest share of a notice found in a block, 1 where a phrase stands. Null texts are empty; null keys and repeated rows
+    the largest share of a notice found in a block, 1 where a phrase stands. Null texts are empty, very long ones are scanned whole; null keys and repeated rows
     stay; other columns are not read; an empty table gives no rows.
     """
     vocabulary = Vocabulary(notices, threshold)

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from geoloom.llm import (byte_bpe, divergence, exact_dedup, license_scan, line_dedup, mixing, periodic_runs, quality_gam, quality_rules,
                          repair, simhash, substring_dedup, url_filter)
 from geoloom.llm.common import place, table
+from geoloom.session import settle
 
 
 def tokenizer_file(name: str) -> bytes:
@@ -30,7 +31,7 @@ def op2_token_file(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
-    rows = quality_rules.ledger(table(spark, folder, "documents"))
+    rows = settle(quality_rules.ledger(table(spark, folder, "documents")))  # the ledger is stored; policies read its bits
     both = quality_rules.judged(quality_rules.judged(rows, "base", "base_kept"))
     return both.withColumn("base_failed", ~F.col("base_kept")).drop("base_kept").withColumnRenamed("key", "doc_id")
 

@@ -33,11 +33,11 @@ def licenses(rows, threshold=0.8):
             at += here
             labels |= {label} if here else set()
         base, best, n = ",".join(sorted(labels)), 0.0, 0
-        for start in range(0, max(len(w), 1), license_scan.STRIDE):
-            block = set(w[start:start + license_scan.BLOCK])
+        for start in range(0, max(len(w), 1), 32):
+            block = set(w[start:start + 64])
             for label, notice in license_scan.NOTICES:
                 need = set(license_words(notice))
-                if len(need & block) >= threshold * len(need) - 1e-9:
+                if len(need & block) >= (1 if len(need) <= 8 else threshold) * len(need) - 1e-9:
                     labels.add(label)
                     n += 1
                     best = max(best, len(need & block) / len(need))
@@ -73,10 +73,18 @@ def test_license_filter_loses_nothing_on_random_sets(spark_text):
     got = license_scan.scan_licenses(spark_text.createDataFrame(rows, "doc_id bigint, text string"), notices=notices, threshold=0.7).collect()
     for r in got:
         w = rows[r.key][1].split()
-        want = {label for s in range(0, max(len(w), 1), 32) for label, n in notices if len({*n.split()} & {*w[s:s + 64]}) >= 0.7 * len({*n.split()}) - 1e-9}
+        want = {label for s in range(0, max(len(w), 1), 32) for label, n in notices if len({*n.split()} & {*w[s:s + 64]}) >= (1 if len({*n.split()}) <= 8 else 0.7) * len({*n.split()}) - 1e-9}
         assert set(filter(None, r.labels.split(","))) == want
 
 
+def test_long_notices_and_near_names(spark_text):
+    long = " ".join(f"n{i}" for i in range(80))
+    rows = [(1, "x " * 50 + long + " y" * 9), (2, "Released under the Apache License"), (3, "Licensed under CC BY 4.0"), (4, "Licensed under CC BY-NC 4.0")]
+    df = spark_text.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.key: r.labels for r in license_scan.scan_licenses(df, notices=(*license_scan.NOTICES, ("long", long))).collect()}
+    assert got == {1: "long", 2: "apache", 3: "", 4: "cc-by-nc"}
+
+
 def rules(rows):
     out = []
     for key, text in rows:
