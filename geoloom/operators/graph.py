@@ -39,11 +39,11 @@ def reachable_entities(seeds: DataFrame, children: DataFrame, known: DataFrame)
 
 
 def multipolygon_tree(roots: DataFrame, members: DataFrame, relations: DataFrame, ways: DataFrame,
-                      deepest: int = 64) -> tuple[DataFrame, DataFrame]:
+                      deepest: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Member ways of each root relation with their effective role, and the roots that fail.
 
     Below an inner relation outer and inner swap. A root fails on a cycle, a missing relation or a
-    missing way. Returns ways (root, role, mseq, way_id), in depth-first member order, and issues
+    missing way, and where ``deepest`` is given on relations nested deeper than that. Returns ways (root, role, mseq, way_id), in depth-first member order, and issues
     (root, reason). ``members`` has rel_id, seq, type, ref, role.
     """
     role = F.when(F.coalesce("role", F.lit("")) == "", "outer").otherwise(F.col("role"))
@@ -52,7 +52,9 @@ def multipolygon_tree(roots: DataFrame, members: DataFrame, relations: DataFrame
                                 F.array(F.col("rel_id")).alias("path"), F.array().cast("array<long>").alias("place")))
     found, broken = None, None
     grow = lambda have, more: more if have is None else have.unionByName(more)
-    for _ in range(deepest):
+    depth = 0
+    while True:
+        depth += 1
         step = open_.join(table, "rel_id").select(
             "root", "type", "ref", "path", F.concat("place", F.array(F.col("seq").cast("long"))).alias("place"),
             F.when(F.col("as_role") == "outer", F.col("role")).otherwise(
@@ -70,8 +72,9 @@ def multipolygon_tree(roots: DataFrame, members: DataFrame, relations: DataFrame
             F.concat("path", F.array("ref")).alias("path"), "place"))
         if open_.isEmpty():
             break
-    else:
-        raise ValueError("relations nest too deeply")
+        if depth == deepest:
+            broken = grow(broken, open_.select("root", F.lit("relations nest too deeply").alias("reason")))
+            break
     broken = grow(broken, found.join(ways.select("way_id"), "way_id", "left_anti").select("root", F.lit("missing way").alias("reason")))
     issues = settle(broken.distinct())
     good = found.join(issues.select("root").distinct(), "root", "left_anti")

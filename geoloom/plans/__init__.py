@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["network_queries", "scalar_queries", "polygon_queries", "join_queries", "raster_queries", "stream_queries"]
+MODULES = ["network_queries", "scalar_queries", "polygon_queries", "join_queries", "raster_queries", "stream_queries", "source_queries"]
 
 
 def all_queries():

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,9 +23,26 @@ RUNTIME = {
 }
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package to the Python workers, once for each application."""
+    context, root = spark.sparkContext, os.path.dirname(os.path.abspath(__file__))
+    if getattr(context, "_geoloom_shipped", False):
+        return
+    archive = os.path.join(tempfile.mkdtemp(prefix="spark-"), "geoloom.zip")  # read by the driver now and served to every executor
+    with zipfile.ZipFile(archive, "w") as out:
+        for folder, _, names in os.walk(root):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(root)))
+    context.addPyFile(archive)
+    context._geoloom_shipped = True
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     for key, value in RUNTIME.items():
         spark.conf.set(key, value)
+    ship(spark)
     return spark
 
 

@@ -6,6 +6,7 @@ import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import BooleanType
 
 from geoloom.operators.ordered import top_per_key
 
@@ -69,8 +70,15 @@ def _swap(spark: SparkSession, new: str, name: str) -> None:
         fs.delete(path(old), True)
 
 
-def read_map_dataset(spark: SparkSession, folder: str, schemas: dict, verify: bool = True) -> tuple[dict[str, DataFrame], dict]:
-    manifest = json.loads(spark.read.text(f"{folder}/manifest").first()[0])
+def read_map_dataset(spark: SparkSession, folder: str, schemas: dict, verify: bool = True, expected: dict | None = None) -> tuple[dict[str, DataFrame], dict]:
+    """Tables and manifest of a dataset, the tables compared with the manifest's counts and marks unless ``verify`` is off.
+
+    ``expected`` names what the caller built for, such as dataset, bounds, size or settings; a manifest that says otherwise is an error.
+    """
+    manifest = json.loads(spark.read.text(f"{folder}/manifest").first()[0], object_pairs_hook=_no_repeats)
+    for name, value in (expected or {}).items():
+        if manifest.get(name) != value:
+            raise ValueError(f"the dataset's {name} is {manifest.get(name)!r}, not {value!r}")
     tables = {name: spark.read.schema(schemas[name]).parquet(f"{folder}/data-{manifest['version']}/{name}") for name in manifest["counts"]}
     if verify:
         for mark in manifest["marks"]:
@@ -81,9 +89,22 @@ def read_map_dataset(spark: SparkSession, folder: str, schemas: dict, verify: bo
     return tables, manifest
 
 
+def _no_repeats(pairs: list) -> dict:
+    names = [name for name, _ in pairs]
+    if len(set(names)) < len(names):
+        raise ValueError(f"a JSON object names {next(n for n in names if names.count(n) > 1)!r} twice")
+    return dict(pairs)
+
+
 def read_report(spark: SparkSession, path: str) -> DataFrame:
-    """The sixteen alignment fields of a conversion report; everything else is parsed and dropped."""
-    out = spark.read.schema(REPORT).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    """The sixteen alignment fields of a conversion report; everything else is parsed and dropped. Repeated names are an error."""
+    @F.udf(BooleanType())
+    def names_once(text: str) -> bool:
+        json.loads(text, object_pairs_hook=_no_repeats)
+        return True
+
+    text = spark.read.text(path, wholetext=True).where(names_once("value"))
+    out = text.select(F.from_json("value", REPORT, {"mode": "FAILFAST"}).alias("r")).select("r.*")
     good = (F.coalesce("dataset", F.lit("")) != "") & (F.size("bounds") == 4) & (F.size("mapSize") == 2)
     return out.where(F.assert_true(good, F.lit("not a conversion report")).isNull())
 

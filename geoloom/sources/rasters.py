@@ -8,8 +8,12 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from geoloom.session import settle
+from geoloom.sources.files import write_whole
+
 TILE_NAME = re.compile(r"([NS])(\d{2})([EW])(\d{3})\.hgt(?:\.gz)?$", re.I)
 NODATA = -32768
 MOST_BYTES = 32 * 1024 * 1024
@@ -59,6 +63,36 @@ def read_hgt(spark: SparkSession, path: str) -> DataFrame:
 HEADER = ["ncols", "nrows", "xllcorner", "yllcorner", "xllcenter", "yllcenter", "cellsize", "nodata_value"]
 
 
+def write_grids(cells: DataFrame, folder: str, body) -> DataFrame:
+    """One file for each ``source``, which is its name, from cells (source, row, col, z): source and cells of each.
+
+    ``body`` turns an array of heights, nan where there is none, into the file's bytes. A tile is one group.
+    """
+    def write(table: pa.Table) -> pa.Table:
+        rows, cols = table["row"].to_numpy(), table["col"].to_numpy()
+        grid = np.full((int(rows.max()) + 1, int(cols.max()) + 1), np.nan)
+        grid[rows, cols] = table["z"].to_numpy().astype(np.float64)
+        name = table["source"][0].as_py()
+        write_whole(f"{folder}/{name}", body(grid))
+        return pa.table({"source": [name], "cells": [table.num_rows]})
+
+    return settle(cells.select("source", "row", "col", "z").groupBy("source").applyInArrow(write, "source string, cells long"))
+
+
+def write_hgt(cells: DataFrame, folder: str) -> DataFrame:
+    """Square tiles of big-endian 16-bit heights, void where there is none."""
+    return write_grids(cells, folder, lambda grid: np.where(np.isnan(grid), NODATA, grid).astype(">i2").tobytes())
+
+
+def write_ascii_grid(cells: DataFrame, folder: str, cellsize: float, nodata: float = -9999.0) -> DataFrame:
+    """ESRI ASCII grids whose lower left corner is the origin."""
+    def body(grid: np.ndarray) -> bytes:
+        head = f"ncols {grid.shape[1]}\nnrows {grid.shape[0]}\nxllcorner 0\nyllcorner 0\ncellsize {cellsize}\nNODATA_value {nodata}\n"
+        return (head + "".join(" ".join(repr(float(nodata if np.isnan(z) else z)) for z in line) + "\n" for line in grid)).encode()
+
+    return write_grids(cells, folder, body)
+
+
 def read_ascii_grid(spark: SparkSession, path: str) -> DataFrame:
     """Cells of ESRI ASCII grids: source, row, col, x, y (cell centres) and z.
 
