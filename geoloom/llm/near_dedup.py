@@ -4,7 +4,7 @@ Candidates come from two sources, and every one is verified on the words themsel
 (``simhash.links``, to three bits) over five-word shingles. It cannot find a similarity of 0.8 at bounded cost: that moves about 10 of 64
 bits, and deletion variants for 10 bits leave keys of about 10 bits, under which a fixed share of all documents meets. So the second
 source are min-hashes: each text has ``BANDS`` keys of ``ROWS`` min-hashes, and two texts of similarity s share one with
-probability 1 - (1 - s^5)^24 (0.99993 at 0.8). Under each key the texts meet a few leaders a round, twice as many in each
+probability 1 - (1 - s^5)^24 (0.99993 at 0.8). Under each key the texts meet a few leaders a round, four times as many in each
 round; what is linked needs no further comparison, and a key is done when its texts that have not led are one component. So every
 pair of different components under a key is compared in the end, and copies of one text meet one leader, however many they are.
 """
@@ -119,23 +119,33 @@ def first_pairs(met: DataFrame, least: float) -> DataFrame:
     return met.where("row <> first").where(similar_sizes("n", "first_n", least)).select(F.col("first").alias("a"), F.col("row").alias("b"))
 
 
-def further_links(met: DataFrame, links: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
-    """All links: ``links`` and those between different components under one key, a round of leaders at a time."""
-    open_, leaders = met.where("row <> first").select("band", "row", "n"), 2
+def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (node, root) after some more links, found on the graph of the roots alone."""
+    ends = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    every = settle(roots.unionByName(ends.join(roots, "node", "left_anti").withColumn("root", F.col("node"))))
+    root_of = lambda c: every.select(F.col("node").alias(c), F.col("root").alias("root_" + c))
+    between = links.join(root_of("a"), "a").join(root_of("b"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b"))
+    step = settle(components(between)).select(F.col("node").alias("root"), F.col("root").alias("to"))
+    return settle(every.join(step, "root", "left").select("node", F.coalesce("to", "root").alias("root")))
+
+
+def final_roots(met: DataFrame, roots: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
+    """Components of all similar pairs: ``roots`` and the pairs between different components under one key, a round of leaders at a time."""
+    open_, leaders = met.where("row <> first").select("band", "row", "n"), 8
     while True:
-        roots = settle(components(links))
         rooted = open_.join(roots.select(F.col("node").alias("row"), "root"), "row", "left").withColumn("root", F.coalesce("root", "row"))
         several = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
         open_ = settle(rooted.join(several, "band", "left_semi"))
         if open_.isEmpty():
-            return links
+            return roots
         turn = F.row_number().over(Window.partitionBy("band").orderBy(F.xxhash64("row", F.lit(leaders)), "row"))
         lead = settle(open_.withColumn("turn", turn).where(F.col("turn") <= leaders).select("band", F.col("row").alias("row2"), F.col("n").alias("n2"), F.col("root").alias("root2")))
         pairs = open_.join(lead, "band").where("root <> root2").where(similar_sizes("n", "n2", least))
-        pairs = settle(pairs.select(F.least("row", "row2").alias("a"), F.greatest("row", "row2").alias("b")).distinct())
-        links = settle(links.unionByName(verified(pairs, texts, width, least)))
+        fresh = verified(settle(pairs.select(F.least("row", "row2").alias("a"), F.greatest("row", "row2").alias("b")).distinct()), texts, width, least)
+        if not fresh.isEmpty():
+            roots = merged(roots, fresh)
         open_ = open_.join(lead.select("band", F.col("row2").alias("row")), ["band", "row"], "left_anti").select("band", "row", "n")
-        leaders *= 2
+        leaders *= 4
 
 
 def classes(rows: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
@@ -147,7 +157,7 @@ def classes(rows: DataFrame, texts: DataFrame, width: int, least: float) -> Data
     firsts = bands.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("row", "n")).alias("f")).where("size > 1")
     met = settle(bands.join(firsts.select("band", F.col("f.row").alias("first"), F.col("f.n").alias("first_n")), "band"))
     pairs = settle(simhash_pairs(own.where("n > 0"), least).unionByName(first_pairs(met, least)).distinct())
-    roots = settle(components(further_links(met, verified(pairs, texts, width, least), texts, width, least)))
+    roots = final_roots(met, settle(components(verified(pairs, texts, width, least))), texts, width, least)
     return (rows.select("row", "key", "digest").join(heads, "digest").join(roots.withColumnRenamed("node", "head"), "head", "left")
             .select("row", "key", F.coalesce("root", "head").alias("root")))
 
