@@ -160,3 +160,16 @@ def mm(value) -> Column:
 def dist(x0, y0, x1, y1) -> Column:
     dx, dy = col(x1) - col(x0), col(y1) - col(y0)
     return F.sqrt(dx * dx + dy * dy)
+
+
+# The sides and vertices that a height grid may have.
+LEAST_SIDE, MOST_SIDE, MOST_VERTICES = 33, 16385, 53_000_000
+
+
+def grid_side(length: Column | str, spacing: float) -> Column:
+    """Vertices along a side: one more than the spacings that fit best."""
+    return F.round((F.col(length) if isinstance(length, str) else length) / spacing).cast("long") + 1
+
+
+def valid_grid(nx: str, ny: str) -> Column:
+    return F.col(nx).between(LEAST_SIDE, MOST_SIDE) & F.col(ny).between(LEAST_SIDE, MOST_SIDE) & (F.col(nx) * F.col(ny) <= MOST_VERTICES)

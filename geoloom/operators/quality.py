@@ -137,7 +137,8 @@ def retry_safety(failed: DataFrame, journal: DataFrame, items: DataFrame, built:
     """May a failed range of source items be replayed? dataset_id, safe, reason.
 
     ``failed`` has dataset_id, first, last; ``journal`` dataset_id, first, last, entity (one row per
-    entity); ``items`` dataset_id, index, selected, ground (a face), collapses; ``built`` dataset_id, entity.
+    entity); ``items`` dataset_id, index, selected, ground (a face), collapses; ``built`` dataset_id, entity. Where ``failed`` has found_id, the
+    dataset that was found to replay from must be that one, and where ``items`` has resolved, every selected item of the range must be.
     """
     f = failed.select("dataset_id", F.col("first").alias("lo"), F.col("last").alias("hi"))
     late = (f.join(journal.groupBy("dataset_id").agg(F.max("last").alias("top"), F.min(F.col("last") - F.col("first")).alias("span")), "dataset_id")
@@ -151,15 +152,20 @@ def retry_safety(failed: DataFrame, journal: DataFrame, items: DataFrame, built:
     sound = inside.where("COALESCE(collapsed, 0) = 0").select("dataset_id", F.lit(4).alias("order"), F.lit("no collapsed face in range").alias("reason"))
     stray = (built.join(journal.select("dataset_id", "entity"), ["dataset_id", "entity"], "left_anti").select("dataset_id").distinct()
              .select("dataset_id", F.lit(5).alias("order"), F.lit("construction outside the journal").alias("reason")))
-    blocks = late.unionByName(twice).unionByName(mixed).unionByName(sound).unionByName(stray)
+    other = failed.where(~F.col("dataset_id").eqNullSafe(F.col("found_id"))) if "found_id" in failed.columns else failed.limit(0)
+    other = other.select("dataset_id", F.lit(0).alias("order"), F.lit("the original dataset is required").alias("reason"))
+    lost = f.join(items, "dataset_id").where("index BETWEEN lo AND hi AND selected")
+    lost = lost.where(~F.coalesce("resolved", F.lit(False))) if "resolved" in items.columns else lost.limit(0)
+    lost = lost.select("dataset_id").distinct().select("dataset_id", F.lit(2).alias("order"), F.lit("a selected item cannot be resolved").alias("reason"))
+    blocks = other.unionByName(lost).unionByName(late).unionByName(twice).unionByName(mixed).unionByName(sound).unionByName(stray)
     worst = blocks.groupBy("dataset_id").agg(F.min_by("reason", "order").alias("reason"))
     return failed.select("dataset_id").join(worst, "dataset_id", "left").select(
         "dataset_id", F.col("reason").isNull().alias("safe"), F.coalesce("reason", F.lit("safe to replay")).alias("reason"))
 
 
 def check_map_dataset(edges: DataFrame, nodes: DataFrame, faces: DataFrame, labels: DataFrame, known: DataFrame,
-                      width: float, height: float) -> DataFrame:
-    """Every broken rule of a dataset as rows: rule, entity.
+                      width: float, height: float, target: tuple[float, float] | None = None) -> DataFrame:
+    """Every broken rule of a dataset as rows: rule, entity. ``target`` is the size of the world it is meant for.
 
     faces: item_id, category, cls, corners, x, y (extreme corner); known: cls that exist; labels: label_id, name, town.
     """
@@ -178,6 +184,8 @@ def check_map_dataset(edges: DataFrame, nodes: DataFrame, faces: DataFrame, labe
              rule(unknown, "unknown resource", "item_id"), rule(thin, "face with under three corners", "item_id"),
              rule(faces.where(~on_map("x", "y", width, height)), "face off the map", "item_id"),
              rule(water, "water face is no triangle", "item_id"), rule(twins, "town name used twice", "name")]
+    if target is not None and (width > target[0] or height > target[1]):
+        parts.append(nodes.sparkSession.range(1).select(F.lit("map does not fit its target").alias("rule"), F.lit(f"{width:g} x {height:g}").alias("entity")))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

@@ -418,8 +418,17 @@ def classify_biomes(cells: DataFrame, by: list[str], options, cover: DataFrame |
     return rows.select(*at, value.cast("int").alias("biome"))
 
 
-def import_biomes(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Grey codes to biome ids, and the cells whose code is none."""
+def scale_offset(z: Column | str, scale: float, offset: float) -> Column:
+    """Heights scaled and moved, as the last step before a target's own range."""
+    return (F.col(z) if isinstance(z, str) else z) * scale + offset
+
+
+def import_biomes(cells: DataFrame, by: list[str] | None = None, shape: tuple[int, int] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Grey codes to biome ids, and the cells whose code is none. With ``shape`` a grid of other rows and columns is an error."""
+    if shape is not None:
+        size = cells.groupBy(*(by or [])).agg(F.max("row").alias("r"), F.max("col").alias("c"), F.count(F.lit(1)).alias("n"))
+        if not size.where((F.col("r") != shape[0] - 1) | (F.col("c") != shape[1] - 1) | (F.col("n") != shape[0] * shape[1])).isEmpty():
+            raise ValueError(f"biome grids have {shape[0]} rows and {shape[1]} columns")
     found = F.array_position(F.array(*[F.lit(c) for c in CODES]), F.col("code").cast("int")) - 1
     rows = cells.withColumn("biome", found.cast("int"))
     return rows.where("biome >= 0"), rows.where("biome < 0")

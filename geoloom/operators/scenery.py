@@ -212,7 +212,7 @@ def match_candidates(objects: DataFrame, candidates: DataFrame, tiers: int | Non
     lowest = models.groupBy("ckind").agg(F.min("tier").alias("tier"))
     wanted = objects.select(*sig).distinct().withColumn("sig", F.sha2(F.to_json(F.struct(*sig)), 256)).withColumn("ckinds", accepts)
     low = wanted.select("sig", F.explode("ckinds").alias("ckind")).join(lowest, "ckind").groupBy("sig").agg(F.min("tier").alias("lowest"))
-    box = F.col("shape").isNull() | G.box_in_face(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.col("width"), F.col("length"), F.col("shape"))
+    box = F.col("shape").isNull() | G.upright_box_in_face(F.col("width"), F.col("length"), F.col("shape"))
     # Signatures whose classes have no candidate end here.
     wanted = settle(wanted.join(low, "sig").withColumns({
         "u": F.log(F.col("width") + 0.01), "v": F.log(F.col("length") + 0.01), "t": F.when(F.col("height") > 0, F.log("height")), "roomy": box}))
@@ -223,7 +223,7 @@ def match_candidates(objects: DataFrame, candidates: DataFrame, tiers: int | Non
     sized = both.drop("cw", "cl", "known").withColumns({"x": F.log("w"), "y": F.log("l")}).where("x IS NOT NULL AND y IS NOT NULL")
     width, length, w, l = (F.col(c) for c in ("width", "length", "w", "l"))
     room = (w <= width + 0.01) & (l <= length + 0.01)
-    held = room & ((F.col("roomy") & (w <= width) & (l <= length)) | F.col("shape").isNull() | G.box_in_face(F.lit(0.0), F.lit(0.0), F.lit(0.0), w, l, F.col("shape")))
+    held = room & ((F.col("roomy") & (w <= width) & (l <= length)) | F.col("shape").isNull() | G.upright_box_in_face(w, l, F.col("shape")))
     slack = F.greatest(F.col("u") - F.log(width), F.col("v") - F.log(length))
     outlined = ring_search(wanted.where("width IS NOT NULL").withColumn("found", F.lit(None).cast(BEST)), settle(sized), [("u", "x", False), ("v", "y", False)],
                            F.abs(F.log(w / width)) + F.abs(F.log(l / length)) + tall, held, lambda ring: ring - slack)
@@ -262,6 +262,21 @@ def match_summary(matches: DataFrame, examples: int) -> tuple[DataFrame, DataFra
     return counts, first_rows(matches.select(label.alias("label")).distinct(), ["label"], examples)[0]
 
 
+def uncovered_ways(ways: DataFrame, members: DataFrame, roles: tuple[str, ...] | None = None, closed: DataFrame | None = None) -> DataFrame:
+    """Ways that no relation of ``members`` draws already.
+
+    With ``roles`` only members in one of these roles cover their way (a missing role is the empty one), and with ``closed`` (way_id) only closed
+    ways are covered, as an open one may be drawn as a line beside the area it bounds.
+    """
+    drawn = members.where("type = 'way'")
+    if roles is not None:
+        drawn = drawn.where(F.coalesce("role", F.lit("")).isin(*roles))
+    drawn = drawn.select(F.col("ref").alias("way_id"))
+    if closed is not None:
+        drawn = drawn.join(closed.select("way_id"), "way_id", "left_semi")
+    return ways.join(drawn, "way_id", "left_anti")
+
+
 def closed_way_areas(ways: DataFrame, totals: DataFrame, kind: Column, covered: DataFrame) -> DataFrame:
     """Closed ways of at least four references with a kind, unless an accepted relation draws them already."""
     chosen = ways.select("way_id", "tags", kind.alias("kind")).where("kind IS NOT NULL")

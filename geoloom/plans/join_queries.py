@@ -38,8 +38,7 @@ def relation_members(v):
 
 @query("covered_ways", f"WITH m AS ({MEMBERS}) SELECT way_id FROM way WHERE {WATER_KIND} IS NOT NULL AND way_id NOT IN (SELECT ref FROM m WHERE type = 'way')", "way")
 def covered_ways(v):
-    water = v.ways.where(T.water_kind("tags").isNotNull()).select("way_id")
-    return water.join(members(v).where("type = 'way'").select(F.col("ref").alias("way_id")), "way_id", "left_anti")
+    return S.uncovered_ways(v.ways.where(T.water_kind("tags").isNotNull()).select("way_id"), members(v))
 
 
 TREE = f"""WITH RECURSIVE m AS ({MEMBERS}),
@@ -551,9 +550,9 @@ def catalog_access(v):
     return C.catalog_access(ingested(v), 9)
 
 
-@query("newest_assets", INGEST + "SELECT catalog_id, url, rank AS place FROM kept", "asset")
+@query("newest_assets", "SELECT catalog_id, url, date, ROW_NUMBER() OVER (PARTITION BY catalog_id ORDER BY date DESC, url) AS place FROM asset", "asset")
 def newest_assets(v):
-    return C.newest_assets(ingested(v)).select("catalog_id", "url", "place")
+    return C.newest_assets(v.view("asset")).select("catalog_id", "url", "date", "place")
 
 
 @query("select_assets", INGEST + """, sized AS (SELECT catalog_id, COUNT(*) AS n FROM kept GROUP BY 1), one AS (SELECT catalog_id, url, ANY_VALUE(minx) AS minx, ANY_VALUE(miny) AS miny FROM asset GROUP BY 1, 2)

@@ -136,7 +136,7 @@ def build_terrain(samples: DataFrame, by: list[str], grid: GridSpec, options: Te
     every = samples.select(*by, "row", "col").distinct()
     best = R.first_valid(samples, by)
     base = settle(R.fill_gaps(every.join(best, [*by, "row", "col"], "left"), by, grid.dx, grid.dy, options.fill_m))
-    base = base.select(*by, "row", "col", (F.col("z") * options.scale + options.offset).alias("z"))
+    base = base.select(*by, "row", "col", R.scale_offset("z", options.scale, options.offset).alias("z"))
     if options.smoothing_m:
         base = R.gaussian_smooth(base, by, options.smoothing_m / grid.dy, options.smoothing_m / grid.dx)
     base = settle(base)

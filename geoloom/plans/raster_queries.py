@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from geoloom.functions import geo as G
 from geoloom.functions.geo import mm
 from geoloom.operators import editing as E, networks as N, raster as R
 from geoloom.operators.raster import kernel
@@ -71,7 +72,7 @@ def calibrate(v):
 
 @query("scale_offset", "SELECT layer, row, col, CAST(FLOOR((z * 15e-1 - 20) * 1000 + 0.5) AS BIGINT) AS z FROM cell", "cell")
 def scale_offset(v):
-    return v.view("cell").select("layer", "row", "col", mm(F.col("z") * 1.5 - 20).alias("z"))
+    return v.view("cell").select("layer", "row", "col", mm(R.scale_offset("z", 1.5, -20.0)).alias("z"))
 
 
 @query("apply_mask", "SELECT layer, row, col, CASE WHEN (row + col) % 5 <> 0 THEN CAST(z AS BIGINT) END AS z FROM cell", "cell")
@@ -89,9 +90,8 @@ def crop_window(v):
 @query("grid_spec", "SELECT id, nx, ny, nx * ny AS cells FROM (SELECT c_custkey AS id, CAST(ROUND((256 + c_custkey % 1000 * 4) / 4e0) AS BIGINT) + 1 AS nx, CAST(ROUND((128 + c_custkey % 500 * 8) / 4e0) AS BIGINT) + 1 AS ny FROM customer) WHERE nx >= 33 AND ny >= 33")
 def grid_spec(v):
     rows = v.table("customer").selectExpr("c_custkey AS id", "256 + c_custkey % 1000 * 4 AS w", "128 + c_custkey % 500 * 8 AS h")
-    side = lambda c: (F.round(F.col(c) / 4.0).cast("long") + 1)
-    return rows.select("id", side("w").alias("nx"), side("h").alias("ny")).where("nx >= 33 AND ny >= 33 AND nx <= 16385 AND ny <= 16385 AND nx * ny <= 53000000").withColumn(
-        "cells", F.col("nx") * F.col("ny"))
+    rows = rows.select("id", G.grid_side("w", 4.0).alias("nx"), G.grid_side("h", 4.0).alias("ny"))
+    return rows.where(G.valid_grid("nx", "ny")).withColumn("cells", F.col("nx") * F.col("ny"))
 
 
 REACH = 12.0

@@ -92,11 +92,15 @@ def write_map_dataset(v):
     return total("cells", "row").unionByName(total("items", "item_id"))
 
 
-@query("write_height_tiles", "SELECT layer, CAST(FLOOR(row / 16) AS INT) AS tr, CAST(FLOOR(col / 16) AS INT) AS tc, COUNT(*) AS n, CAST(SUM(z) AS BIGINT) AS total FROM dense GROUP BY 1, 2, 3", "dense")
+@query("write_height_tiles", """WITH r AS (SELECT layer, FLOOR(MIN(z)) AS lo, CASE WHEN CEIL(MAX(z)) = FLOOR(MIN(z)) THEN FLOOR(MIN(z)) + 1 ELSE CEIL(MAX(z)) END AS hi FROM dense GROUP BY layer)
+ SELECT layer, CAST(FLOOR(row / 16) AS INT) AS tr, CAST(FLOOR(col / 16) AS INT) AS tc, COUNT(*) AS n, CAST(SUM(z) AS BIGINT) AS total, CAST(SUM(ROUND_EVEN((z - lo) / (hi - lo) * 65535, 0)) AS BIGINT) AS codes,
+  CAST(SUM(row % 5) AS BIGINT) AS biomes, CAST(lo AS BIGINT) AS lo, CAST(hi AS BIGINT) AS hi FROM dense JOIN r USING (layer) GROUP BY ALL""", "dense")
 def write_height_tiles(v):
     path = scratch(v, "tiles")
-    D.write_height_tiles(v.view("dense"), path, 16)
-    return v.spark.read.parquet(path).groupBy("layer", "tr", "tc").agg(F.count(F.lit(1)).alias("n"), F.sum("z").cast("long").alias("total"))
+    D.write_height_tiles(v.view("dense").withColumn("biome", (F.col("row") % 5).cast("int")), path, ["layer"], 16)
+    tiles = v.spark.read.parquet(f"{path}/tiles").groupBy("layer", "tr", "tc").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("z").cast("long").alias("total"), F.sum("code").cast("long").alias("codes"), F.sum("biome").cast("long").alias("biomes"))
+    return tiles.join(v.spark.read.parquet(f"{path}/ranges").select("layer", F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi")), "layer")
 
 
 @query("read_osm", f"""WITH m AS ({MEMBERS}) SELECT 'node' AS kind, COUNT(*) AS n, CAST(SUM(node_id) AS BIGINT) AS ids, COUNT(t_natural) AS tagged, CAST(FLOOR(SUM(lat) * 1e6 + 0.5) AS BIGINT) AS content FROM node

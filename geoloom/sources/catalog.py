@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from geoloom.functions.geo import bbox_intersects, bbox_touches, finite
-from geoloom.operators.ordered import first_rows, global_row_number, top_per_key
+from geoloom.operators.ordered import block_row_number, first_rows, global_row_number, top_per_key
 from geoloom.session import settle
 from geoloom.spec import Bounds
 
@@ -48,8 +48,13 @@ def catalog_access(assets: DataFrame, limit: int) -> DataFrame:
 
 
 def newest_assets(assets: DataFrame) -> DataFrame:
-    """Date order within each ingested catalogue (its asset cap bounds the window), newest first."""
-    return assets.withColumn("place", F.row_number().over(Window.partitionBy("catalog_id").orderBy(F.desc("date"), "url")))
+    """Date order within each catalogue, newest first, then by url; dates that are none come last.
+
+    A catalogue is numbered in blocks of a month, so one with a third of all assets is many tasks' work.
+    """
+    days = F.coalesce(-F.datediff(F.to_date("date"), F.lit("1970-01-01")), F.lit(1 << 30))
+    numbered = block_row_number(assets.withColumn("_days", days), ["catalog_id"], ["_days", "url"], F.floor(F.col("_days") / 30), "place")
+    return numbered.drop("_days")
 
 
 def select_assets(assets: DataFrame, box: tuple[float, float, float, float], limit: int, most_bytes: int) -> DataFrame:
@@ -159,8 +164,8 @@ def classify_sources(sources: DataFrame) -> DataFrame:
 def source_priority(sources: DataFrame, finest_first: bool = True) -> DataFrame:
     """Number the sources of each map: finest first by their coarser axis, ties and the other mode in list order."""
     coarse = F.round(F.greatest("rx", "ry"), 6)
-    order = [coarse, "file_pos"] if finest_first else ["file_pos"]
-    return sources.withColumn("priority", F.row_number().over(Window.partitionBy("map_id").orderBy(*order)))
+    block = F.floor(coarse) if finest_first else F.floor(F.col("file_pos") / 4096)
+    return block_row_number(sources.withColumn("_coarse", coarse), ["map_id"], ["_coarse", "file_pos"] if finest_first else ["file_pos"], block, "priority").drop("_coarse")
 
 
 def dedupe_paths(files: DataFrame, path: str, order: str) -> DataFrame:

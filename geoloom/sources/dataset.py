@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import BooleanType
 
 from geoloom.operators.ordered import top_per_key
+from geoloom.operators.raster import encode_heights
+from geoloom.session import settle
 
 REPORT = ("dataset STRING, input STRING, bounds ARRAY<DOUBLE>, mapSize ARRAY<DOUBLE>, settings MAP<STRING, STRING>, sourceSha256 STRING, "
           "luaSha256 STRING, alignment MAP<STRING, STRING>, output STRING, report STRING, edges BIGINT, sceneryItems BIGINT, "
@@ -126,8 +128,14 @@ def head_with_omitted(rows: DataFrame, by: list[str], order: list, most: int) ->
     return top.join(size, by)
 
 
-def write_height_tiles(cells: DataFrame, folder: str, side: int = 128) -> None:
-    """Heights, encoded heights and biomes as tiles in tile folders."""
-    tile = cells.withColumns({"tr": F.floor(F.col("row") / side).cast("int"), "tc": F.floor(F.col("col") / side).cast("int")})
-    keys = [c for c in ("tr", "tc", "layer", "map_id", "map") if c in tile.columns]
-    tile.repartition(*keys).sortWithinPartitions(*keys, "row", "col").write.partitionBy("tr", "tc").parquet(folder)
+def write_height_tiles(cells: DataFrame, folder: str, by: list[str], side: int = 128, manual: tuple[float, float] | None = None) -> None:
+    """Heights, 16-bit codes and biomes (where ``cells`` has biome) as tiles under ``folder``/tiles, and what each grid's codes mean under ``folder``/ranges.
+
+    The ranges hold lo, hi, the real lowest and highest height, cells and how many were clipped to a given range ``manual``.
+    """
+    rows = settle(encode_heights(cells, by, manual))
+    ranges = rows.groupBy(*by, "lo", "hi").agg(F.min("z").alias("lowest"), F.max("z").alias("highest"), F.count(F.lit(1)).alias("cells"), F.count_if("clipped").alias("clipped"))
+    tile = rows.drop("lo", "hi", "clipped").withColumns({"tr": F.floor(F.col("row") / side).cast("int"), "tc": F.floor(F.col("col") / side).cast("int")})
+    keys = ["tr", "tc", *by]
+    tile.repartition(*keys).sortWithinPartitions(*keys, "row", "col").write.partitionBy("tr", "tc").parquet(f"{folder}/tiles")
+    ranges.write.parquet(f"{folder}/ranges")

@@ -17,6 +17,8 @@ SCHEMAS = {
 }
 
 
+VERSION = "0.6"  # fixed value: the version of the extract format
+
 def _tags():
     entries = F.transform(F.coalesce("tag", F.array()), lambda t: F.struct(t["_k"].alias("key"), t["_v"].alias("value")))
     return F.map_from_entries(entries)
@@ -61,8 +63,9 @@ def relation_members(relations: DataFrame) -> DataFrame:
     return relations.select("rel_id", F.posexplode("members").alias("seq", "m")).select("rel_id", "seq", "m.type", "m.ref", "m.role")
 
 
-def validate_osm(nodes: DataFrame, ways: DataFrame, relations: DataFrame, notes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(counts per kind, rejects: kind, id, reason). ``notes`` holds service remarks (kind, text)."""
+def validate_osm(nodes: DataFrame, ways: DataFrame, relations: DataFrame, notes: DataFrame | None = None,
+                 formats: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(counts per kind, rejects: kind, id, reason). ``notes`` holds service remarks (kind, text), ``formats`` the versions that files state (file, version)."""
     blank = lambda c: F.col(c).isNull() | (F.col(c).cast("string") == "")
     where = finite("lat") & finite("lon") & F.col("lat").between(-90, 90) & F.col("lon").between(-180, 180)
     n = nodes.select(F.lit("node").alias("kind"), F.col("node_id").cast("string").alias("id"),
@@ -77,6 +80,9 @@ def validate_osm(nodes: DataFrame, ways: DataFrame, relations: DataFrame, notes:
     rejects = rows.where("reason IS NOT NULL")
     if notes is not None:
         rejects = rejects.unionByName(notes.select("kind", F.lit(None).cast("string").alias("id"), F.concat(F.lit("service said: "), "text").alias("reason")))
+    if formats is not None:
+        wrong = formats.where(~F.coalesce(F.col("version").cast("string"), F.lit("")).isin(VERSION))
+        rejects = rejects.unionByName(wrong.select(F.lit("file").alias("kind"), F.col("file").cast("string").alias("id"), F.lit("unsupported format version").alias("reason")))
     return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n")), rejects
 
 

@@ -231,3 +231,26 @@ def test_places_without_a_name(spark):
     rows = [(1, None, 0.0, 0.0), (2, None, 10.0, 0.0), (3, "a", 0.0, 0.0), (4, "", 0.0, 0.0), (5, None, 900.0, 0.0)]
     out = S.dedupe_places(spark.createDataFrame(rows, "rank long, name string, x double, y double"))
     assert {(r.rank, r.name) for r in out.collect()} == {(1, None), (3, "a"), (4, ""), (5, None)}
+
+
+def test_rules_of_partial_inputs(spark):
+    from geoloom.operators import quality as Q, raster as R
+    from geoloom.sources.osm import validate_osm
+
+    empty = spark.createDataFrame([], "node_id long, lat double, lon double")
+    ways, rels = spark.createDataFrame([], "way_id long"), spark.createDataFrame([], "rel_id long")
+    _, rejects = validate_osm(empty, ways, rels, formats=spark.createDataFrame([("a.osm", "0.6"), ("b.osm", "0.5"), ("c.osm", None)], "file string, version string"))
+    assert sorted(r.id for r in rejects.collect()) == ["b.osm", "c.osm"]
+    grid = spark.createDataFrame([(r, c, 63) for r in range(2) for c in range(3)], "row long, col long, code int")
+    assert R.import_biomes(grid, shape=(2, 3))[0].count() == 6
+    with pytest.raises(ValueError):
+        R.import_biomes(grid, shape=(3, 2))
+    failed = spark.createDataFrame([(1, 5, 6, 1), (2, 5, 6, 9), (3, 5, 6, 3)], "dataset_id long, first long, last long, found_id long")
+    journal = spark.createDataFrame([(1, 1, 2, 7)], "dataset_id long, first long, last long, entity long")
+    items = spark.createDataFrame([(d, i, True, True, True, d != 3) for d in (1, 2, 3) for i in (5, 6)], "dataset_id long, index long, selected boolean, ground boolean, collapses boolean, resolved boolean")
+    out = {r.dataset_id: r.reason for r in Q.retry_safety(failed, journal, items, journal.select("dataset_id", "entity").limit(0)).collect()}
+    assert out == {1: "safe to replay", 2: "the original dataset is required", 3: "a selected item cannot be resolved"}
+    members = spark.createDataFrame([(1, "way", 1, "outer"), (1, "way", 2, None), (1, "node", 3, "outer"), (1, "way", 4, "label")], "rel_id long, type string, ref long, role string")
+    some = spark.createDataFrame([(k,) for k in range(1, 5)], "way_id long")
+    left = lambda **kw: sorted(r.way_id for r in S.uncovered_ways(some, members, **kw).collect())
+    assert left() == [3] and left(roles=("outer", "")) == [3, 4] and left(closed=some.where("way_id = 2")) == [1, 3, 4]
