@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import os
 import re
-import tempfile
 import uuid
-import zipfile
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -22,25 +20,8 @@ TEXT_SETTINGS = {
 }
 
 
-def ship(spark: SparkSession) -> None:
-    """Send the package to the Python workers, once for each application."""
-    context, root = spark.sparkContext, os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    if getattr(context, "_geoloom_shipped", False):
-        return
-    archive = os.path.join(tempfile.mkdtemp(prefix="spark-"), "geoloom.zip")
-    with zipfile.ZipFile(archive, "w") as out:
-        for folder, _, names in os.walk(root):
-            for name in sorted(names):
-                if name.endswith(".py"):
-                    path = os.path.join(folder, name)
-                    out.write(path, os.path.relpath(path, os.path.dirname(root)))
-    context.addPyFile(archive)  # read by the driver now and served to every executor
-    context._geoloom_shipped = True
-
-
 def ready(spark: SparkSession) -> SparkSession:
     prepare(spark)
-    ship(spark)
     for key, value in TEXT_SETTINGS.items():
         spark.conf.set(key, value)
     return spark
