@@ -70,13 +70,17 @@ def split_dense_parts(points: DataFrame, boxes: DataFrame, keys: list[str], limi
 
     A point belongs to every box, and to the one half-open part of it, that it lies in; ``part`` is the path of halves,
     from 'p'. A round counts points per open part and sends the points of the dense ones down one half, so a crowded
-    corner is split again and again. Boxes need distinct keys.
+    corner is split again and again. Boxes with the same corners are split once, and points at one place are counted before, so
+    the rounds grow with the different boxes and places. Boxes need distinct keys.
     """
-    parts = settle(boxes.select(*keys, F.lit("p").alias("part"), "south", "west", "north", "east"))
-    member = settle(points_in_boxes(points.select("lat", "lon"), parts, keys).withColumn("part", F.lit("p")))
+    corners = ["south", "west", "north", "east"]
+    named, keys, shape = keys, ["_shape"], settle(boxes.select(*corners).distinct().withColumn("_shape", F.monotonically_increasing_id()))
+    parts = settle(shape.select("_shape", F.lit("p").alias("part"), *corners))
+    spots = settle(points.groupBy("lat", "lon").agg(F.count(F.lit(1)).alias("_w")))
+    member = settle(points_in_boxes(spots, parts, keys).withColumn("part", F.lit("p")))
     done = None
     while True:
-        counts = member.groupBy(*keys, "part").agg(F.count(F.lit(1)).alias("rows"))
+        counts = member.groupBy(*keys, "part").agg(F.sum("_w").alias("rows"))
         sized = parts.join(counts, [*keys, "part"], "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
         w, h = G.ground_extent("south", "west", "north", "east")
         sized = settle(sized.withColumns({"wide": w >= h, "open": (F.col("rows") > limit) & (F.greatest(w, h) > smallest_m)}))
@@ -84,7 +88,9 @@ def split_dense_parts(points: DataFrame, boxes: DataFrame, keys: list[str], limi
         done = closed if done is None else done.unionByName(closed)
         dense = sized.where("open")
         if dense.isEmpty():
-            return done
+            found = done.select("_shape", "part", "rows", *[F.col(c).alias("_" + c) for c in corners])
+            back = boxes.select(*named, *corners).join(shape, corners).drop(*corners).join(found, "_shape")
+            return back.select(*named, "part", "rows", *[F.col("_" + c).alias(c) for c in corners])
         mid_lat, mid_lon = (F.col("south") + F.col("north")) / 2, (F.col("west") + F.col("east")) / 2
         wide = F.col("wide")
         halves = F.array(
@@ -96,7 +102,7 @@ def split_dense_parts(points: DataFrame, boxes: DataFrame, keys: list[str], limi
                      F.col("east").alias("east")))
         upper = F.when(wide, F.col("lon") >= mid_lon).otherwise(F.col("lat") >= mid_lat)
         member = settle(member.join(dense, [*keys, "part"]).select(
-            *keys, "lat", "lon", F.concat("part", F.when(upper, "1").otherwise("0")).alias("part")))
+            *keys, "lat", "lon", "_w", F.concat("part", F.when(upper, "1").otherwise("0")).alias("part")))
         parts = settle(dense.select(*keys, F.inline(halves)))
 
 
