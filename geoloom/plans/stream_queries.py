@@ -16,6 +16,7 @@ from geoloom.sources import dataset as D, osm as O
 from geoloom.streaming.apply import latest_cells, store_cells, stream_apply_features, stream_strokes
 from geoloom.streaming.ground_grid import stream_ground_grid
 
+FILE_ROWS = 500_000  # rows of a file, which one task reads
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -24,14 +25,16 @@ def scratch(v, name):
 
 
 def stream(v, table, order, pieces=3):
-    """A given table as a stream of several batches: it is cut into files that arrive one after another, by ``order``."""
+    """A given table as a stream of several batches: it is cut into pieces that arrive one after another, by ``order``, each in as many files as its rows ask."""
     df, path = v.table(table), scratch(v, table)
     cuts = df.agg(F.percentile_approx(order, [i / pieces for i in range(1, pieces)], 1000)).first()[0] or []
-    bounds = [None, *cuts, None]
+    bounds, files = [None, *cuts, None], max(1, -(-df.count() // (pieces * FILE_ROWS)))
     for low, high in zip(bounds[:-1], bounds[1:]):
         part = df if low is None else df.where(F.col(order) > low)
-        (part if high is None else part.where(F.col(order) <= high)).coalesce(1).write.mode("append").parquet(path)
-    return v.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        (part if high is None else part.where(F.col(order) <= high)).repartition(files).write.mode("append").parquet(path)
+    if len(v.spark.read.parquet(path).inputFiles()) != pieces * files:
+        raise RuntimeError("a piece of the stream lacks files, so batches would not be pieces")
+    return v.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def view_stream(v, name, order):
