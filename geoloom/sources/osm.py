@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from geoloom.functions.geo import finite, valid_position
@@ -95,11 +97,14 @@ def merge_osm_parts(entities: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     attrs = F.array_sort(F.map_entries("attrs"))
     sig = F.sha2(F.to_json(F.struct(attrs.alias("a"), F.col("children").alias("c"))), 256)
-    rows = entities.withColumn("sig", sig)
-    out = rows.groupBy("kind", "id").agg(F.min("part").alias("part"), F.min("sig").alias("sig"), F.max("sig").alias("_other"),
-                                         F.count(F.lit(1)).alias("copies"), F.first(F.struct("attrs", "children")).alias("_body"))
-    conflict = F.col("sig") != F.col("_other")
-    whole = out.where(~conflict).select("kind", "id", "part", "sig", "copies", "_body.attrs", "_body.children")
+    # As four whole numbers, signatures are compared in a hash table of fixed rows; as text they would be sorted in every task.
+    words = [f"_s{i}" for i in range(4)]
+    rows = entities.withColumn("_sig", sig).withColumns({w: F.conv(F.substring("_sig", 16 * i + 1, 16), 16, -10).cast("long") for i, w in enumerate(words)}).drop("_sig")
+    out = rows.groupBy("kind", "id").agg(F.min("part").alias("part"), F.count(F.lit(1)).alias("copies"), F.first(F.struct("attrs", "children")).alias("_body"),
+                                         *[F.min(w).alias(w) for w in words], *[F.max(w).alias(w + "x") for w in words])
+    conflict = reduce(lambda a, b: a | b, [F.col(w) != F.col(w + "x") for w in words])
+    text = F.concat(*[F.lpad(F.lower(F.hex(w)), 16, "0") for w in words]).alias("sig")
+    whole = out.where(~conflict).select("kind", "id", "part", text, "copies", "_body.attrs", "_body.children")
     return whole, out.where(conflict).select("kind", "id")
 
 
