@@ -97,21 +97,21 @@ def reconcile_items(expected: DataFrame, found: DataFrame) -> DataFrame:
 def reconcile_positions(expected: DataFrame, observed: DataFrame, tolerance: float = 0.01, turn: float = 1e-4) -> DataFrame:
     """Observed models without an expected one of the same name within a centimetre and the same angle.
 
-    Both sides are first reduced to distinct placements with counts; a placement then looks into its own
-    and the eight neighbouring centimetre buckets.
+    Both sides are first reduced to distinct placements, observed ones with counts. An expected placement goes to every bucket of eight
+    centimetres that lies within the tolerance, mostly its own alone; an observed one looks into its own bucket.
     """
     cols = ["model", "x", "y", "rotation"]
     seen = observed.groupBy(*cols).agg(F.count(F.lit(1)).alias("n"))
     want = expected.select(*cols).distinct()
-    cell = lambda c: F.floor(F.col(c) / tolerance).cast("long")
-    want = want.select("model", F.col("x").alias("wx"), F.col("y").alias("wy"), F.col("rotation").alias("wr"), cell("x").alias("i"), cell("y").alias("j"))
-    offsets = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-    probe = seen.withColumn("o", F.explode(offsets)).select(*cols, (cell("x") + F.col("o.a")).alias("i"), (cell("y") + F.col("o.b")).alias("j"))
+    side = 8 * tolerance
+    cell = lambda c: F.floor(c / side).cast("long")
+    span = lambda c: F.explode(F.sequence(cell(F.col(c) - 1.001 * tolerance), cell(F.col(c) + 1.001 * tolerance)))
+    want = want.withColumn("_i", span("x")).withColumn("_j", span("y")).select(F.col("model").alias("wm"), F.col("x").alias("wx"), F.col("y").alias("wy"), F.col("rotation").alias("wr"), "_i", "_j")
     two_pi = 2 * 3.141592653589793
     gap = F.abs(F.pmod(F.col("rotation") - F.col("wr") + two_pi / 2, F.lit(two_pi)) - two_pi / 2)
     hit = (F.abs(F.col("x") - F.col("wx")) <= tolerance) & (F.abs(F.col("y") - F.col("wy")) <= tolerance) & (gap <= turn)
-    good = probe.join(want, ["model", "i", "j"]).where(hit).select(*cols).distinct()
-    return seen.join(good, cols, "left_anti")
+    here = (F.col("model") == F.col("wm")) & (cell(F.col("x")) == F.col("_i")) & (cell(F.col("y")) == F.col("_j"))
+    return seen.join(want, here & hit, "left_anti")
 
 
 def import_progress(expected: DataFrame, counters: DataFrame) -> DataFrame:
