@@ -148,8 +148,8 @@ def build_terrain(samples: DataFrame, by: list[str], grid: GridSpec, options: Te
         mask = R.rasterize_polygons(lakes, "lake", values, grid, by)
         cells = settle(R.carve_lakes(cells, mask, by, grid.dx, grid.dy, options.water_level - options.lake_depth, options.lake_feather))
     if lines:
-        pulls = [E.corridor_targets(base, vertices, by, grid, **getattr(options, kind)) for kind, vertices in lines.items()]
-        cells = settle(E.fold_targets(cells, reduce(DataFrame.unionByName, pulls), by))
+        pulls = [E.corridor_segments(base, vertices, by, grid, **getattr(options, kind)) for kind, vertices in lines.items()]
+        cells = settle(E.fold_corridors(cells, reduce(DataFrame.unionByName, pulls), by, grid))
     if strokes is not None:
         cells = settle(E.apply_strokes(cells, strokes, by, grid))
     out = {"cells": cells, "baseline": base, "range": R.elevation_range(cells, base, by)}
