@@ -129,15 +129,15 @@ def prepare_water(nodes: DataFrame, ways: DataFrame, relations: DataFrame, membe
         F.concat(F.lit("way:"), F.col("way_id").cast("string")).alias("fid"), F.col("seq").alias("idx"), "x0", "y0", "x1", "y1", "width",
         (F.col("n") - 2).alias("last"), F.col("closed"))
     ribbons = G.ribbon_faces(seg, ["fid"])
-    strip, _ = G.triangulate(_strip_edges(ribbons), ["fid", "idx", "part"])
+    strip = G.face_triangles(ribbons, ["fid", "idx", "part"])
     raw = (filled.select("fid", F.concat_ws(".", "band", "pair", "half").alias("no"), "face")
            .unionByName(strip.select("fid", F.concat_ws(".", F.col("idx"), F.col("part"), "band", "pair", "half").alias("no"), "face")))
-    cut = settle(G.clip_polygons(raw, width - 0.02, height - 0.02).where(F.size("face") >= 3))
-    thin, _ = G.triangulate(_named_edges(cut), ["fid", "no"])
-    pieces = G.split_triangles(thin.select("fid", F.concat_ws(".", "no", "band", "pair", "half").alias("no"), "face"))
+    cut = G.clip_polygons(raw, width - 0.02, height - 0.02).where(F.size("face") >= 3)
+    thin = settle(G.face_triangles(cut, ["fid", "no"]).select("fid", F.concat_ws(".", "no", "band", "pair", "half").alias("no"), "face"))
+    pieces = G.split_triangles(thin)
     x0, y0, x1, y1 = P.box_of("face")
     faces = settle(pieces.select("fid", F.concat_ws(".", "no", "piece").alias("face_id"), "face", x0.alias("minx"), y0.alias("miny"),
-                                 x1.alias("maxx"), y1.alias("maxy")))
+                                 x1.alias("maxx"), y1.alias("maxy"), F.monotonically_increasing_id().alias("_f")))
     free = settle(_free(faces, corridors, options.corridor_margin))
     counts = faces.groupBy("fid").agg(F.count(F.lit(1)).alias("made")).join(
         free.groupBy("fid").agg(F.count(F.lit(1)).alias("faces")), "fid", "left").select(
@@ -169,14 +169,6 @@ def prepare_water(nodes: DataFrame, ways: DataFrame, relations: DataFrame, membe
     return out, kept
 
 
-def _strip_edges(ribbons: DataFrame) -> DataFrame:
-    rows = G.face_edges(ribbons.withColumnRenamed("idx", "at"), ["fid", "at", "part"])
-    return rows.drop("idx").withColumnRenamed("at", "idx")
-
-
-def _named_edges(faces: DataFrame) -> DataFrame:
-    return G.face_edges(faces, ["fid", "no"]).drop("idx")
-
-
 def _free(faces: DataFrame, corridors: DataFrame, margin: float) -> DataFrame:
-    return reserve_corridors(faces.withColumn("_f", F.struct("fid", "face_id")), corridors, [], "_f", margin).drop("_f")
+    """``faces`` are written with a number, which moves to the cells of the join in place of their two names."""
+    return reserve_corridors(faces, corridors, [], "_f", margin).drop("_f")
