@@ -4,9 +4,10 @@ Candidates come from two sources, and every one is verified on the words themsel
 (``simhash.links``, to three bits) over five-word shingles. It cannot find a similarity of 0.8 at bounded cost: that moves about 10 of 64
 bits, and deletion variants for 10 bits leave keys of about 10 bits, under which a fixed share of all documents meets. So the second
 source are min-hashes: each text has ``BANDS`` keys of ``ROWS`` min-hashes, and two texts of similarity s share one with
-probability 1 - (1 - s^5)^24 (0.99993 at 0.8). Under each key the texts meet a few leaders a round, four times as many in each
-round; what is linked needs no further comparison, and a key is done when its texts that have not led are one component. So every
-pair of different components under a key is compared in the end, and copies of one text meet one leader, however many they are.
+probability 1 - (1 - s^5)^24 (0.99993 at 0.8). Under each key the texts meet the first one, so copies of one text meet one other, however
+many they are. Where that leaves several components under a key, its texts are joined by an exact set-similarity join (``prefix_pairs``): their
+shingles are ordered by frequency, rarest first, and a pair is compared on the words only if it shares a shingle so early in both orders
+that it may be similar. Of a shingle's texts those that fit none of another component are dropped before any pair is made.
 """
 
 from __future__ import annotations
@@ -44,17 +45,28 @@ def shingles(text: str, width: int) -> set[bytes]:
     return {b" ".join(words[i:i + width]) for i in range(max(1, len(words) - width + 1))} if words else set()
 
 
-def sketch_of(text: str, width: int, memo) -> tuple[bytes, int, int, list[int]]:
-    """Digest of the set of shingles, its size, its SimHash, and the keys of its bands."""
+def word_memo() -> Memo:
+    return Memo(lambda word: xxhash.xxh64_intdigest(word, 42), most=50_000, longest=32)  # small, as idle workers keep it
+
+
+def hashes_of(text: str, width: int, memo) -> np.ndarray:
+    """A 64-bit hash of each different shingle, sorted."""
     words = text.encode().lower().split()
     if not words:
-        return b"", 0, 0, []
+        return np.empty(0, np.uint64)
     w = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
     n = max(1, w.size - width + 1)
     h = np.full(n, len(words) if len(words) < width else 0, np.uint64)
     for k in range(min(width, w.size)):
         h = mixed(h + w[k:k + n])
-    h = np.unique(h)
+    return np.unique(h)
+
+
+def sketch_of(text: str, width: int, memo) -> tuple[bytes, int, int, list[int]]:
+    """Digest of the set of shingles, its size, its SimHash, and the keys of its bands."""
+    h = hashes_of(text, width, memo)
+    if not h.size:
+        return b"", 0, 0, []
     least, ones = np.full(BANDS * ROWS, np.iinfo(np.uint64).max), np.zeros(64, np.int64)
     for x in range(0, h.size, 2048):
         block = h[x:x + 2048]
@@ -70,7 +82,7 @@ def sketch_of(text: str, width: int, memo) -> tuple[bytes, int, int, list[int]]:
 def sketches(docs: DataFrame, width: int) -> DataFrame:
     """The sketch of each row of ``docs`` (row, key, text)."""
     def made(batches):
-        memo = Memo(lambda word: xxhash.xxh64_intdigest(word, 42), most=50_000, longest=32)  # small, as idle workers keep it
+        memo = word_memo()
         for batch in batches:
             rows = list(zip(*(sketch_of(t or "", width, memo) for t in batch.column(2).to_pylist()))) or [()] * 4
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows[0], pa.binary()), pa.array(rows[1], pa.int32()),
@@ -129,23 +141,60 @@ def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
     return settle(every.join(step, "root", "left").select("node", F.coalesce("to", "root").alias("root")))
 
 
+def shingle_rows(docs: DataFrame, width: int) -> DataFrame:
+    """(row, h) for the hash of each different shingle of ``docs`` (row, text)."""
+    def made(batches):
+        memo = word_memo()
+        for batch in batches:
+            sets = [hashes_of(t or "", width, memo) for t in batch.column(1).to_pylist()]
+            rows = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [h.size for h in sets])
+            hashes = np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(hashes)], ["row", "h"])
+
+    return docs.mapInArrow(made, "row bigint, h bigint")
+
+
+def prefix_pairs(rooted: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
+    """Pairs (a, b) of ``rooted`` (row, n, root) with different roots, among them all that have this similarity.
+
+    Shingles are ordered by the number of texts that have them, rarest first. The first common shingle of two texts with m in common has m
+    or more from it on in both. A text of n shingles with ``left`` from one on can so be similar only to texts of at most ``reach`` shingles.
+    """
+    words = settle(shingle_rows(texts.join(rooted.select("row").hint("shuffle_hash"), "row", "left_semi").select("row", "text"), width))
+    often = words.groupBy("h").agg(F.count(F.lit(1)).alias("f")).where("f > 1")  # the others come first and meet nobody
+    left = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("f"), "h"))
+    bound = max(least, 1e-9)
+    reach = F.col("left") * ((1 + bound) / bound) - F.col("n") + 1e-6
+    entries = (words.join(often, "h").select("row", "h", left.alias("left")).join(rooted, "row")
+               .where(F.col("left") >= least * F.col("n") - 1e-6).select("h", "row", "n", "root", reach.alias("reach")))
+    entries = settle(entries)
+    # For each shingle the smallest text and the furthest reach of two components, so that each text is held against another's.
+    by_root = settle(entries.groupBy("h", "root").agg(F.min("n").alias("low"), F.max("reach").alias("far"), F.count(F.lit(1)).alias("size")))
+    first = by_root.groupBy("h").agg(F.count(F.lit(1)).alias("roots"), F.min(F.struct("low", "root")).alias("l"), F.max(F.struct("far", "root")).alias("r"),
+                                     F.max(F.struct("size", "root")).alias("s")).where("roots > 1")
+    other = lambda best, value: F.when(F.col("root") != F.col(f"{best}.root"), F.col(value))
+    first = settle(first)
+    second = by_root.join(first, "h").groupBy("h").agg(F.min(other("l", "low")).alias("low2"), F.max(other("r", "far")).alias("far2"))
+    low, far = (F.when(F.col("root") == F.col(f"{best}.root"), F.col(two)).otherwise(F.col(f"{best}.{one}")) for best, one, two in (("l", "low", "low2"), ("r", "far", "far2")))
+    fit = settle(entries.join(first.join(second, "h"), "h").where((low <= F.col("reach")) & (F.col("n") <= far))
+                 .select("h", "row", "n", "root", "reach", (F.col("s.root") == F.col("root")).alias("largest")))
+    # The largest component of a shingle meets the others, not itself.
+    ends = fit.where("NOT largest").drop("largest")
+    with_all = fit.select("h", *[F.col(c).alias(c + "2") for c in ("row", "n", "root", "reach")])
+    met = ends.join(with_all, "h").where("root <> root2 AND n <= reach2 AND n2 <= reach")
+    return met.select(F.least("row", "row2").alias("a"), F.greatest("row", "row2").alias("b")).distinct()
+
+
 def final_roots(met: DataFrame, roots: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
-    """Components of all similar pairs: ``roots`` and the pairs between different components under one key, a round of leaders at a time."""
-    open_, leaders = met.where("row <> first").select("band", "row", "n"), 8
-    while True:
-        rooted = open_.join(roots.select(F.col("node").alias("row"), "root"), "row", "left").withColumn("root", F.coalesce("root", "row"))
-        several = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
-        open_ = settle(rooted.join(several, "band", "left_semi"))
-        if open_.isEmpty():
-            return roots
-        turn = F.row_number().over(Window.partitionBy("band").orderBy(F.xxhash64("row", F.lit(leaders)), "row"))
-        lead = settle(open_.withColumn("turn", turn).where(F.col("turn") <= leaders).select("band", F.col("row").alias("row2"), F.col("n").alias("n2"), F.col("root").alias("root2")))
-        pairs = open_.join(lead, "band").where("root <> root2").where(similar_sizes("n", "n2", least))
-        fresh = verified(settle(pairs.select(F.least("row", "row2").alias("a"), F.greatest("row", "row2").alias("b")).distinct()), texts, width, least)
-        if not fresh.isEmpty():
-            roots = merged(roots, fresh)
-        open_ = open_.join(lead.select("band", F.col("row2").alias("row")), ["band", "row"], "left_anti").select("band", "row", "n")
-        leaders *= 4
+    """Components of all similar pairs: ``roots`` and the pairs between different components under one key."""
+    rooted = met.where("row <> first").join(roots.select(F.col("node").alias("row"), "root"), "row", "left").withColumn("root", F.coalesce("root", "row"))
+    rooted = settle(rooted.select("band", "row", "n", "root"))
+    several = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
+    open_ = settle(rooted.join(several, "band", "left_semi").select("row", "n", "root").distinct())
+    if open_.isEmpty():
+        return roots
+    fresh = verified(settle(prefix_pairs(open_, texts, width, least)), texts, width, least)
+    return roots if fresh.isEmpty() else merged(roots, fresh)
 
 
 def classes(rows: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:

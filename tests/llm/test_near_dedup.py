@@ -85,6 +85,43 @@ def test_texts_that_share_most_passages_but_are_not_similar(spark_text):
     assert got == set(similar_classes([r[:2] for r in rows])) and len(rows) - 60 < len(got) < len(rows)
 
 
+def test_family_with_many_components_is_compared_by_few_pairs(spark_text, monkeypatch):
+    """A text with slight and heavy changes: most texts share keys with all others, few are similar to one of another component."""
+    rng, rows, made = random.Random(4), [], []
+    base = [f"b{i}" for i in range(160)]
+    for k in range(400):
+        words = list(base)
+        for at in rng.sample(range(160), rng.choice([1, 2, 3, 6, 8, 9])):
+            words[at] = f"x{rng.randrange(10**6)}"
+        rows.append((k, " ".join(words), "en", "s", 1))
+    real = near_dedup.verified
+
+    def counted(pairs, *more):
+        made.append(pairs.count())
+        return real(pairs, *more)
+
+    monkeypatch.setattr(near_dedup, "verified", counted)
+    got = {r.doc_id for r in near_dedup.one_of_each(spark_text.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == set(similar_classes([r[:2] for r in rows])) and 50 < len(got) < 350
+    assert sum(made) < 30 * len(rows)
+
+
+@pytest.mark.parametrize("least", [0.5, 0.8, 0.95])
+def test_prefix_pairs_hold_every_similar_pair(spark_text, least):
+    rng, texts = random.Random(6), []
+    for g in range(8):
+        base = [f"g{g}w{i % 50}" for i in range(rng.choice([4, 30, 90]))]
+        for _ in range(12):
+            words = [w if rng.random() < 0.96 else f"x{rng.randrange(40)}" for w in base][rng.randrange(4):]
+            texts.append(" ".join(words) or "none")
+    sets = [near_dedup.shingles(t, 5) for t in texts]
+    rooted = spark_text.createDataFrame([(k, len(s), k // 2) for k, s in enumerate(sets)], "row long, n int, root long")
+    rows = spark_text.createDataFrame(list(enumerate(texts)), "row long, text string")
+    got = {(r.a, r.b) for r in near_dedup.prefix_pairs(rooted, rows, 5, least).collect()}
+    want = {(a, b) for b in range(len(texts)) for a in range(b) if a // 2 != b // 2 and len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])}
+    assert want <= got and want and all(a < b and a // 2 != b // 2 for a, b in got)
+
+
 def test_row_numbers_of_a_table_as_read(spark_text, tmp_path, odd):
     from geoloom.llm.common import with_rows
 
