@@ -7,7 +7,8 @@ source are min-hashes: each text has ``BANDS`` keys of ``ROWS`` min-hashes, and
 probability 1 - (1 - s^5)^24 (0.99993 at 0.8). Under each key the texts meet the first one, so copies of one text meet one other, however
 many they are. Where that leaves several components under a key, its texts are joined by an exact set-similarity join (``prefix_pairs``): their
 shingles are ordered by frequency, rarest first, and a pair is compared on the words only if it shares a shingle so early in both orders
-that it may be similar. Of a shingle's texts those that fit none of another component are dropped before any pair is made.
+that it may be similar. Of a shingle's texts those that fit none of another component are dropped before any pair is made, and the most
+typical one of the rest meets the others first.
 """
 
 from __future__ import annotations
@@ -154,47 +155,59 @@ def shingle_rows(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(made, "row bigint, h bigint")
 
 
-def prefix_pairs(rooted: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
-    """Pairs (a, b) of ``rooted`` (row, n, root) with different roots, among them all that have this similarity.
+def prefix_entries(docs: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
+    """(h, row, n, reach) for the early shingles of ``docs`` (row, n), which any two that have this similarity share in part.
 
     Shingles are ordered by the number of texts that have them, rarest first. The first common shingle of two texts with m in common has m
     or more from it on in both. A text of n shingles with ``left`` from one on can so be similar only to texts of at most ``reach`` shingles.
     """
-    words = settle(shingle_rows(texts.join(rooted.select("row").hint("shuffle_hash"), "row", "left_semi").select("row", "text"), width))
+    words = settle(shingle_rows(texts.join(docs.select("row").hint("shuffle_hash"), "row", "left_semi").select("row", "text"), width))
     often = words.groupBy("h").agg(F.count(F.lit(1)).alias("f")).where("f > 1")  # the others come first and meet nobody
     left = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("f"), "h"))
     bound = max(least, 1e-9)
     reach = F.col("left") * ((1 + bound) / bound) - F.col("n") + 1e-6
-    entries = (words.join(often, "h").select("row", "h", left.alias("left")).join(rooted, "row")
-               .where(F.col("left") >= least * F.col("n") - 1e-6).select("h", "row", "n", "root", reach.alias("reach")))
-    entries = settle(entries)
-    # For each shingle the smallest text and the furthest reach of two components, so that each text is held against another's.
+    return settle(words.join(often, "h").select("row", "h", left.alias("left")).join(docs, "row")
+                  .where(F.col("left") >= least * F.col("n") - 1e-6).select("h", "row", "n", reach.alias("reach")))
+
+
+def fitting(entries: DataFrame) -> DataFrame:
+    """Those of ``entries`` (h, row, n, reach, root) that may fit one of another root, and whether their root is the largest of the shingle."""
+    # For each shingle the smallest text and the furthest reach of two roots, so that each text is held against another's.
     by_root = settle(entries.groupBy("h", "root").agg(F.min("n").alias("low"), F.max("reach").alias("far"), F.count(F.lit(1)).alias("size")))
-    first = by_root.groupBy("h").agg(F.count(F.lit(1)).alias("roots"), F.min(F.struct("low", "root")).alias("l"), F.max(F.struct("far", "root")).alias("r"),
-                                     F.max(F.struct("size", "root")).alias("s")).where("roots > 1")
+    first = settle(by_root.groupBy("h").agg(F.count(F.lit(1)).alias("roots"), F.min(F.struct("low", "root")).alias("l"), F.max(F.struct("far", "root")).alias("r"),
+                                            F.max(F.struct("size", "root")).alias("s")).where("roots > 1"))
     other = lambda best, value: F.when(F.col("root") != F.col(f"{best}.root"), F.col(value))
-    first = settle(first)
     second = by_root.join(first, "h").groupBy("h").agg(F.min(other("l", "low")).alias("low2"), F.max(other("r", "far")).alias("far2"))
     low, far = (F.when(F.col("root") == F.col(f"{best}.root"), F.col(two)).otherwise(F.col(f"{best}.{one}")) for best, one, two in (("l", "low", "low2"), ("r", "far", "far2")))
-    fit = settle(entries.join(first.join(second, "h"), "h").where((low <= F.col("reach")) & (F.col("n") <= far))
-                 .select("h", "row", "n", "root", "reach", (F.col("s.root") == F.col("root")).alias("largest")))
-    # The largest component of a shingle meets the others, not itself.
-    ends = fit.where("NOT largest").drop("largest")
-    with_all = fit.select("h", *[F.col(c).alias(c + "2") for c in ("row", "n", "root", "reach")])
-    met = ends.join(with_all, "h").where("root <> root2 AND n <= reach2 AND n2 <= reach")
+    return settle(entries.join(first.join(second, "h"), "h").where((low <= F.col("reach")) & (F.col("n") <= far))
+                  .select("h", "row", "n", "reach", "root", (F.col("s.root") == F.col("root")).alias("largest")))
+
+
+def prefix_pairs(some: DataFrame, fit: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different roots from ``some`` and ``fit`` (h, row, n, reach, root) that share a shingle within both reaches."""
+    ends = fit.select("h", *[F.col(c).alias(c + "2") for c in ("row", "n", "reach", "root")])
+    met = some.join(ends, "h").where("root <> root2 AND n <= reach2 AND n2 <= reach")
     return met.select(F.least("row", "row2").alias("a"), F.greatest("row", "row2").alias("b")).distinct()
 
 
 def final_roots(met: DataFrame, roots: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
     """Components of all similar pairs: ``roots`` and the pairs between different components under one key."""
-    rooted = met.where("row <> first").join(roots.select(F.col("node").alias("row"), "root"), "row", "left").withColumn("root", F.coalesce("root", "row"))
-    rooted = settle(rooted.select("band", "row", "n", "root"))
+    root_of = lambda df: df.join(roots.select(F.col("node").alias("row"), "root"), "row", "left").withColumn("root", F.coalesce("root", "row"))
+    rooted = settle(root_of(met.where("row <> first").select("band", "row", "n")))
     several = rooted.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
-    open_ = settle(rooted.join(several, "band", "left_semi").select("row", "n", "root").distinct())
+    open_ = settle(rooted.join(several, "band", "left_semi").select("row", "n").distinct())
     if open_.isEmpty():
         return roots
-    fresh = verified(settle(prefix_pairs(open_, texts, width, least)), texts, width, least)
-    return roots if fresh.isEmpty() else merged(roots, fresh)
+    entries = prefix_entries(open_, texts, width, least)
+    # Of near copies of one text the one with the fewest shingles of its own reaches furthest; it meets all others first and links most, then all meet.
+    # The largest root of a shingle meets the others, not itself.
+    furthest = lambda fit: fit.groupBy("h").agg(F.max(F.struct("reach", "row", "n", "root")).alias("e")).select("h", "e.row", "e.n", "e.reach", "e.root")
+    for meeting in (furthest, lambda fit: fit.where("NOT largest").drop("largest")):
+        fit = fitting(settle(root_of(entries)))
+        fresh = verified(settle(prefix_pairs(meeting(fit), fit)), texts, width, least)
+        if not fresh.isEmpty():
+            roots = merged(roots, fresh)
+    return roots
 
 
 def classes(rows: DataFrame, texts: DataFrame, width: int, least: float) -> DataFrame:
