@@ -125,7 +125,7 @@ def prepare_water(nodes: DataFrame, ways: DataFrame, relations: DataFrame, membe
     size, source = T.waterway_width("tags", options.waterway_width)
     lines = settle(good.where("NOT area").select("way_id", "n", "closed", size.alias("width"), source.alias("width_source"), "kind"))
     lines_ok = lines.where("width IS NOT NULL AND kind = 'shallow'")
-    seg = way_segments(refs.join(lines_ok.select("way_id"), "way_id", "left_semi"), position).join(lines_ok, "way_id").select(
+    seg = way_segments(refs.join(lines_ok.select("way_id"), "way_id", "left_semi"), position, refs.count()).join(lines_ok, "way_id").select(
         F.concat(F.lit("way:"), F.col("way_id").cast("string")).alias("fid"), F.col("seq").alias("idx"), "x0", "y0", "x1", "y1", "width",
         (F.col("n") - 2).alias("last"), F.col("closed"))
     ribbons = G.ribbon_faces(seg, ["fid"])

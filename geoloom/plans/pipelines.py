@@ -94,7 +94,7 @@ def terrain_context(nodes: DataFrame, ways: DataFrame, relations: DataFrame, spe
     flowing = T.one_of(T.tag("tags", "waterway"), T.STREAMS)
     kinds = ways.select("way_id", F.when(flowing, "river").otherwise(T.network_class("tags", network)).alias("kind"),
                         (T.structure_flag("tags", "bridge") | T.structure_flag("tags", "tunnel")).alias("structure")).where("kind IS NOT NULL")
-    segments = N.way_segments(way_node.join(kinds.select("way_id"), "way_id", "left_semi"), position)
+    segments = N.way_segments(way_node.join(kinds.select("way_id"), "way_id", "left_semi"), position, way_node.count())
     cut = N.clip_segments(segments, w, h).where((F.col("cx0") != F.col("cx1")) | (F.col("cy0") != F.col("cy1")))
     chains = settle(N.line_chains(cut, ["way_id"]).join(kinds, "way_id").select(
         F.lit(0).alias("map_id"), "kind", "way_id", F.concat_ws(":", F.lpad(F.col("way_id").cast("string"), 20, "0"), F.lpad(F.col("chain").cast("string"), 8, "0")).alias("line"),

@@ -162,7 +162,7 @@ def split_triangles(v):
 @query("ribbon_faces", f"""SELECT way_id, SUM(CASE WHEN {D} >= 1e-6 THEN 1 ELSE 0 END) AS quads, SUM(CASE WHEN seq > 0 THEN 1 ELSE 0 END) AS joins,
  CAST(FLOOR(SUM({D} * 4) * 1000 + 0.5) AS BIGINT) AS area FROM seg WHERE x0 IS NOT NULL AND x1 IS NOT NULL AND (seq > 0 OR {D} >= 1e-6) GROUP BY way_id""", "seg")
 def ribbon_faces(v):
-    seg = N.way_segments(v.way_node, v.position).where("x0 IS NOT NULL AND x1 IS NOT NULL").select(
+    seg = N.way_segments(v.way_node, v.position, v.references).where("x0 IS NOT NULL AND x1 IS NOT NULL").select(
         "way_id", F.col("seq").alias("idx"), "x0", "y0", "x1", "y1", F.lit(4.0).alias("width"), F.lit(9).alias("last"), F.lit(False).alias("closed"))
     quad = F.col("part") == "quad"
     return G.ribbon_faces(seg, ["way_id"]).groupBy("way_id").agg(
