@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 from geoloom.functions import faces as P, tags as T
 from geoloom.operators import graph, polygons as G
 from geoloom.operators.networks import way_segments, way_totals
 from geoloom.operators.ordered import top_per_key
-from geoloom.operators.spatial import reserve_corridors
-from geoloom.session import settle
+from geoloom.operators.spatial import Cover, boxes_at_rim, clear_of_boxes, corridor_boxes, cover_of, held
+from geoloom.session import settle, spread
 from geoloom.spec import SceneryOptions
 
 DEPTH = 0.5  # fixed bed depth of prepared shallow water, metres
@@ -134,12 +137,11 @@ def prepare_water(nodes: DataFrame, ways: DataFrame, relations: DataFrame, membe
            .unionByName(strip.select("fid", F.concat_ws(".", F.col("idx"), F.col("part"), "band", "pair", "half").alias("no"), "face")))
     cut = G.clip_polygons(raw, width - 0.02, height - 0.02).where(F.size("face") >= 3)
     thin = settle(G.face_triangles(cut, ["fid", "no"]).select("fid", F.concat_ws(".", "no", "band", "pair", "half").alias("no"), "face"))
-    pieces = G.split_triangles(thin)
-    x0, y0, x1, y1 = P.box_of("face")
-    faces = settle(pieces.select("fid", F.concat_ws(".", "no", "piece").alias("face_id"), "face", x0.alias("minx"), y0.alias("miny"),
-                                 x1.alias("maxx"), y1.alias("maxy"), F.monotonically_increasing_id().alias("_f")))
-    free = settle(_free(faces, corridors, options.corridor_margin))
-    counts = faces.groupBy("fid").agg(F.count(F.lit(1)).alias("made")).join(
+    boxes = corridor_boxes(corridors, [], options.corridor_margin)
+    cover = cover_of(boxes, width, height)
+    faces = settle(_pieces(spread(thin, ["fid", "no"]), cover))
+    free = settle(_free(faces.where("made IS NULL").drop("made"), boxes, cover))
+    counts = faces.groupBy("fid").agg(F.sum("made").alias("made")).where("made > 0").join(
         free.groupBy("fid").agg(F.count(F.lit(1)).alias("faces")), "fid", "left").select(
         "fid", "made", F.coalesce("faces", F.lit(0)).alias("faces"))
     stage_of = F.when(F.col("fid").startswith("relation:"), 0).otherwise(1)
@@ -169,6 +171,47 @@ def prepare_water(nodes: DataFrame, ways: DataFrame, relations: DataFrame, membe
     return out, kept
 
 
-def _free(faces: DataFrame, corridors: DataFrame, margin: float) -> DataFrame:
-    """``faces`` are written with a number, which moves to the cells of the join in place of their two names."""
-    return reserve_corridors(faces, corridors, [], "_f", margin).drop("_f")
+def _pieces(thin: DataFrame, cover: Cover, limit: float = 8.0, most: int = 1 << 15) -> DataFrame:
+    """Split triangles (fid, no, face): fid, face_id, face, open, made.
+
+    A piece that touches a full cell of the cover is reserved: it is counted and not written. The others have a row, ``open`` where only the boxes
+    can tell, and null as made; one row more for each triangle has the number of its pieces and no face.
+    """
+    rows = thin.select("fid", "no", F.col("face").cast(P.FACE).alias("face")).where(F.size("face") == 3)
+    schema = StructType([*rows.schema.fields, StructField("piece", StringType()), StructField("open", BooleanType()), StructField("made", LongType())])
+
+    def run(batches):
+        full, met = cover.tables()
+
+        def spans(p):
+            return cover.spans(*p.min(1).T, *p.max(1).T)
+
+        def ruled_out(p):
+            i0, j0, i1, j1 = span = spans(p)
+            return held(full, *span) == (i1 - i0) * (j1 - j0)
+
+        for batch in batches:
+            made = np.zeros(batch.num_rows, np.int64)
+            for of, piece, p in G.bisected(G.corners(batch), limit, most, ruled_out, made):
+                span = spans(p)
+                left = np.flatnonzero(held(full, *span) == 0)
+                if left.size:
+                    i0, j0, i1, j1 = span = [v[left] for v in span]
+                    inside = (i0 >= 0) & (j0 >= 0) & (i1 < met.shape[1]) & (j1 < met.shape[0])
+                    kept = batch.take(pa.array(of[left]))
+                    yield pa.RecordBatch.from_arrays([kept.column("fid"), kept.column("no"), G.triangles(p[left]), pa.array(piece[left].tolist(), pa.string()),
+                                                      pa.array(~inside | (held(met, *span) > 0)), pa.nulls(left.size, pa.int64())], schema.names)
+            size = batch.num_rows
+            yield pa.RecordBatch.from_arrays([batch.column("fid"), batch.column("no"), pa.nulls(size, batch.column("face").type), pa.nulls(size, pa.string()),
+                                              pa.nulls(size, pa.bool_()), pa.array(made)], schema.names)
+
+    return rows.mapInArrow(run, schema).select("fid", F.concat_ws(".", "no", "piece").alias("face_id"), "face", "open", "made")
+
+
+def _free(faces: DataFrame, boxes: DataFrame, cover: Cover) -> DataFrame:
+    """Faces that meet no box. Open ones are written with a number, which moves to the cells of the join in place of their two names."""
+    x0, y0, x1, y1 = P.box_of("face")
+    open_ = settle(faces.where("open").select("fid", "face_id", "face", x0.alias("minx"), y0.alias("miny"), x1.alias("maxx"), y1.alias("maxy"),
+                                              F.monotonically_increasing_id().alias("_f")))
+    names = ["fid", "face_id", "face"]
+    return faces.where("NOT open").select(*names).unionByName(clear_of_boxes(open_, settle(boxes_at_rim(boxes, cover)), [], "_f").select(*names))
