@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from geoloom.operators.editing import apply_strokes
+from geoloom.session import settle
 from geoloom.spec import GridSpec
 
 KEYS = ["dataset_id", "section", "index"]
@@ -69,7 +70,11 @@ def store_cells(cells: DataFrame, path: str, by: list[str], side: int = 32, vers
 
 
 def _cells(spark: SparkSession, path: str, listed: DataFrame, by: list[str]) -> DataFrame:
-    """Cells of the listed tiles in the listed versions; the tile and version folders prune the files."""
+    """Cells of the listed tiles in the listed versions; the tile and version folders prune the files.
+
+    ``listed`` is read from files, a row for up to a tile of cells, so that it is the smaller side by size as well as by rows: files of cells are so small for their
+    rows that a table of many million cells would be broadcast.
+    """
     first = spark.read.parquet(f"{path}/cells/version=0").schema
     plain = [f for f in first.fields if f.name not in ("tr", "tc")]
     schema = _wider(StructType(plain), version=LongType(), tr=IntegerType(), tc=IntegerType())
@@ -92,7 +97,7 @@ def stream_strokes(strokes: DataFrame, path: str, by: list[str], grid: GridSpec,
         tile = lambda at, r, step, n: F.sequence(*[F.floor(F.greatest(F.lit(0), F.least(F.lit(n - 1), at + s * (r / step + reach))) / side).cast("int") for s in (-1, 1)])
         reached = (batch.withColumn("tr", F.explode(tile(row, F.col("radius"), grid.dy, grid.ny))).withColumn("tc", F.explode(tile(col, F.col("radius"), grid.dx, grid.nx)))
                    .select(*by, "tr", "tc").distinct())
-        touched = newest.join(reached, [*by, "tr", "tc"])
+        touched = settle(newest.join(reached, [*by, "tr", "tc"]))  # a plan that only guesses its size takes the cells for the smaller table
         apply_strokes(_cells(spark, path, touched, by).drop("tr", "tc", "version"), batch, by, grid).withColumns(
             {"tr": F.floor(F.col("row") / side).cast("int"), "tc": F.floor(F.col("col") / side).cast("int")}).repartition("tr", "tc").write.mode(
             "overwrite").partitionBy("tr", "tc").parquet(f"{path}/cells/version={number + 1}")
